@@ -36,6 +36,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz score and base score of each document."""
+    from loomwork.llm.katz import score_documents
+
+    return score_documents(spark, documents(spark, sf_dir))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best overlap of each document with each benchmark item that it holds a passage of."""
+    from loomwork.llm.decontam import find_overlaps
+
+    return find_overlaps(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and the checksum of the text that stays."""
     from loomwork.llm.linededup import drop_repeated_lines
@@ -61,6 +75,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 400-byte strings of each document, and the checksum of what is left."""
+    from loomwork.llm.suffix import drop_repeats
+
+    out = drop_repeats(spark, documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of each document."""
+    from loomwork.llm.licenses import scan_licenses
+
+    out = scan_licenses(spark, documents(spark, sf_dir))
+    families = F.array_sort(F.array_distinct("found.family"))
+    return out.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_license_paragraphs"), families.alias("families"), "found")
+
+
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, number and checksum of each document's ids, as read back from the files."""
     from loomwork.llm.simple8b import tokens_round_trip
@@ -90,7 +121,7 @@ OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 windows AS (
-  SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), i -> {'i': i, 'w': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]})) AS x FROM d),
+  SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: {'i': i, 'w': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]})) AS x FROM d),
 twice AS (
   SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.w) AS n FROM windows),
 covered AS (
@@ -100,7 +131,7 @@ lines AS (
 real AS (
   SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 s AS (
-  SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, w -> length(w))), 0)::BIGINT AS word_chars,
+  SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(real.dup, 0)::BIGINT AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(real.n, 0) AS n_lines
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN real USING (doc_id))
@@ -111,5 +142,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op10_simple8b": op10_simple8b}
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_licenses": op9_licenses, "op10_simple8b": op10_simple8b}
 SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_quality": OP7_SQL}

@@ -1,8 +1,14 @@
-"""SimHash near-dedup: fingerprints, pigeonhole blocks that close pairs share, Hamming verification, components."""
+"""SimHash near-dedup: fingerprints, blocks that close pairs share, Hamming verification, components.
+
+Two settings. Fingerprints of 64 bits and a small distance: blocks by the pigeonhole principle, so no pair is missed.
+Wide fingerprints for a similarity of shingle sets: at 0.8 about an eighth of the bits differ, which leaves pigeonhole
+blocks of a few bits; there, fixed random blocks serve, enough of them to meet nearly all such pairs (see WIDE_TABLES).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,73 +16,126 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import components, doc_key, from_doc_key, skew_safe_lookup, staged
-from loomwork.llm.textkit import SLICE_BYTES, Words, as_bytes, mix, slices, whole_windows, windows_hash
+from loomwork.llm.textkit import Words, as_bytes, mix, slices, whole_windows, windows_hash
 
-#: A fingerprint falls into distance + EXTRA blocks; a pair within the distance shares EXTRA of them at least.
+#: Pigeonhole: a fingerprint falls into distance + EXTRA blocks; a pair within the distance shares EXTRA of them at least.
 EXTRA = 2
 #: Fingerprints under one key that a worker compares at once; a key with more of them is split by further blocks.
 MAX_BUCKET = 4096
-_SEED = 42
+SEED = 42
+
+#: Wide fingerprints: 64-bit words, and the bits that may differ. Sets of Jaccard similarity J differ in a share
+#: acos(2J / (1 + J)) / pi of the bits: 38.8 of 256 at 0.8, with a standard deviation of 5.7; unrelated ones in 128.
+WIDE_WORDS = 4
+WIDE_DISTANCE = 50
+#: Random blocks and bits of each. A pair at similarity 0.8 meets in one of them with probability 0.96, at 0.85 0.995.
+WIDE_TABLES = 48
+WIDE_BITS = 16
+#: Further blocks, and bits of each, where a key is too large: near copies meet there in nearly all cases.
+SPLIT_TABLES = 8
+SPLIT_BITS = 8
+#: Splits of a key at most; after them a run is compared in parts of this many rows, each with a row of all parts before.
+MAX_LEVELS = 4
+
+Masks = list[tuple[int, ...]]
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows (n, k bytes) have each bit set, the lowest bit of each byte first."""
+    total = np.zeros(8 * rows.shape[1], np.int64)
+    for a in range(0, len(rows), 255):
+        total += np.unpackbits(rows[a : a + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return total
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = _SEED) -> int:
-    """64 bits of one text; a bit is 1 if set in over half the shingles' XXH64. A-Z in lower case, repeats count."""
+def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> np.ndarray:
+    """64 bits of one text, as one uint64; a bit is 1 if set in over half the shingles' XXH64. A-Z in lower case, repeats count."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
-    parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+        return np.zeros(1, np.uint64)
     one = xxhash.xxh64_intdigest
-    bits = _bit_counts(np.array([one(p, seed) for p in parts], np.uint64))
-    return _to_int(2 * bits > len(parts))
-
-
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit set, the lowest bit first."""
-    total = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 15):
-        part = hashes[a : a + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return total
-
-
-def _to_int(bits: np.ndarray) -> int:
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row, fp the fingerprint as a signed long."""
+    hashes = np.array([one(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))], "<u8")
+    return majority(hashes.view(np.uint8).reshape(-1, 8))
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * bit_counts(rows) > len(rows), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def wide_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
+    """WIDE_WORDS words for each text, from the set of its shingles (of all its words, if they are fewer). No words: zeros."""
+    out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
+    salts = mix(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
+    for a, b in slices(texts):
+        words = Words(texts[a:b], lower=True)
+        hashes = words.hashes()
+        at = whole_windows(words, shingle)
+        keys = windows_hash(hashes, shingle)[at]
+        edge = np.searchsorted(at, words.at)
+        for i in range(b - a):
+            mine = np.unique(keys[edge[i] : edge[i + 1]])
+            if not len(mine) and words.at[i + 1] > words.at[i]:
+                mine = windows_hash(hashes[words.at[i] : words.at[i + 1]], int(words.at[i + 1] - words.at[i]))
+            if len(mine):
+                out[a + i] = majority(mix(mine[:, None] ^ salts).astype("<u8").view(np.uint8).reshape(-1, 8 * WIDE_WORDS))
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int, wide: bool = False) -> DataFrame:
+    """(_k, _th, doc_id, f0, f1, ...) of each row: its document key, a hash of its text, its fingerprint as signed longs."""
+    width = WIDE_WORDS if wide else 1
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["_k", "_th", "doc_id", *(f"f{i}" for i in range(width))]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            texts = as_bytes(b.column(3))
+            fps = wide_fingerprints(texts, shingle) if wide else np.array([fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(fps[:, i].view(np.int64)) for i in range(width))], names=names)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), "doc_id", text.alias("text"))
+    return rows.mapInArrow(run, f"_k long, _th long, doc_id {kind}, " + ", ".join(f"f{i} long" for i in range(width)))
+
+
+def _as_words(bits: list[int], width: int) -> tuple[int, ...]:
+    out = [0] * width
+    for b in bits:
+        out[b // 64] |= 1 << b % 64
+    return tuple(out)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
+def pigeonhole_masks(mask: tuple[int, ...], distance: int) -> Masks:
+    """``mask`` with EXTRA of distance + EXTRA blocks of the other bits, each way: whoever differs in ``distance`` of those at most agrees under one."""
+    free = [i for i in range(64 * len(mask)) if not mask[i // 64] >> i % 64 & 1]
+    blocks = np.array_split(np.array(free, dtype=int), distance + EXTRA)
+    chosen = [_as_words([int(b) for k in c for b in blocks[k]], len(mask)) for c in combinations(range(distance + EXTRA), EXTRA)]
+    return [tuple(x | y for x, y in zip(mask, m, strict=True)) for m in chosen]
 
-def block_masks(bits: list[int], distance: int) -> list[int]:
-    """Masks of EXTRA of distance + EXTRA blocks of ``bits``, each way: whoever differs in ``distance`` of these bits at most agrees under one."""
-    blocks = np.array_split(np.array(bits), distance + EXTRA)
-    return [sum(1 << int(b) for k in chosen for b in blocks[k]) for chosen in combinations(range(distance + EXTRA), EXTRA)]
+
+def random_masks(mask: tuple[int, ...], tables: int, bits: int) -> Masks:
+    """``mask`` with ``bits`` of its other bits, ``tables`` times; always the same ones."""
+    free = [i for i in range(64 * len(mask)) if not mask[i // 64] >> i % 64 & 1]
+    rnd = random.Random(f"{mask} {tables} {bits}")
+    chosen = [_as_words(rnd.sample(free, min(bits, len(free))), len(mask)) for _ in range(tables)]
+    return [tuple(x | y for x, y in zip(mask, m, strict=True)) for m in chosen]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linked(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of rows of ``words`` (n, k) within the distance; each row is compared with those not yet reached."""
-    todo, edges = np.arange(1, len(words)), []
-    front = [0]
+def forest(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the rows of ``words`` (n, k) that are within the distance; each row is compared with those not yet reached."""
+    todo, edges, front = np.arange(1, len(words)), [], [0]
     while True:
         while front and len(todo):
             x = front.pop()
-            near = np.bitwise_count(words[todo] ^ words[x]).sum(axis=1) <= distance
+            near = np.bitwise_count(words[todo] ^ words[x]).sum(axis=1, dtype=np.int64) <= distance
             if near.any():
                 got = todo[near]
                 edges += [(x, int(y)) for y in got]
@@ -87,12 +146,12 @@ def _linked(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
         front, todo = [int(todo[0])], todo[1:]
 
 
-def link_sorted(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
-    """(a, b): edges that join all rows within the distance under each key. ``rows``: the keys, id long, words (binary, the fingerprint).
+def link_sorted(rows: DataFrame, distance: int) -> DataFrame:
+    """(a, b): edges that join all rows within the distance under each key. ``rows``: key long, id long, words binary.
 
-    Rows are dealt out by key and sorted, and a worker goes through runs of equal keys; it holds one run at a time.
+    Rows are dealt out by key and sorted, and a worker goes through runs of equal keys. Only forests leave it.
     """
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys).select(F.xxhash64(*keys).alias("k"), "id", "words")
+    rows = rows.repartition("key").sortWithinPartitions("key").select("key", "id", "words")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -100,12 +159,11 @@ def link_sorted(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
         def link(keys, ids, words) -> list[tuple[int, int]]:
             edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             size = np.diff(edge)
-            out = []
             twos = edge[:-1][size == 2]
-            near = np.bitwise_count(words[twos] ^ words[twos + 1]).sum(axis=1) <= distance
-            out += zip(ids[twos[near]].tolist(), ids[twos[near] + 1].tolist(), strict=True)
+            near = np.bitwise_count(words[twos] ^ words[twos + 1]).sum(axis=1, dtype=np.int64) <= distance
+            out = list(zip(ids[twos[near]].tolist(), ids[twos[near] + 1].tolist(), strict=True))
             for a, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                out += [(int(ids[a + x]), int(ids[a + y])) for x, y in _linked(words[a : a + n], distance)]
+                out += [(int(ids[a + x]), int(ids[a + y])) for x, y in forest(words[a : a + n], distance)]
             return out
 
         held = None
@@ -126,52 +184,82 @@ def link_sorted(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def hamming_edges(spark: SparkSession, fps: DataFrame, distance: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(a, b): edges that join all different fingerprints of ``fps`` (fp long, distinct) within the distance, through others or not.
+def hamming_edges(spark: SparkSession, fps: DataFrame, width: int, distance: int, first: Masks, split: Callable[[tuple[int, ...]], Masks], max_bucket: int = MAX_BUCKET, levels: int = MAX_LEVELS) -> DataFrame:
+    """(a, b): edges between ids of ``fps`` (id, f0, ...: different fingerprints) within the distance that share a key.
 
-    A fingerprint goes to each key that EXTRA of its blocks make. Keys with over ``max_bucket`` fingerprints are split by
-    blocks of the bits outside the key, and so on; bits run out before a bucket can stay large, so all pairs are found. Of
-    each bucket only a spanning forest leaves the worker.
+    A fingerprint goes to the key that each mask makes of it. Keys with over ``max_bucket`` fingerprints are split by the
+    longer masks that ``split`` gives, ``levels`` times at most, or until no bits are left. Of each key only a spanning
+    forest leaves the worker. Only the number of large keys comes to the driver.
     """
-    masks = block_masks(list(range(64)), distance)
-    rows = fps.select("fp", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("masked"))
-    paths, found = [0], None
-    while True:
-        fan = [block_masks([i for i in range(64) if not m >> i & 1], distance) if m else masks for m in paths]
-        width = max(map(len, fan))
-        paths = [m | x for m, more in zip(paths, fan, strict=True) for x in more]
-        table = F.array(*(F.lit(_signed(m)).cast("long") for m in paths))
-        index = F.col("path") * width + F.col("_j")
-        rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).select("fp", index.alias("path"), F.col("fp").bitwiseAND(F.element_at(table, (index + 1).cast("int"))).alias("masked"))
-        free = 64 - min(bin(m).count("1") for m in paths)
+    names = [f"f{i}" for i in range(width)]
+    rows = fps.select("id", *names, F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"))
+    paths, found = [first], None
+    for level in range(1, levels + 1):
+        fan = len(paths[0])
+        masks = [m for more in paths for m in more]
+        table = [F.array(*(F.lit(_signed(m[i])).cast("long") for m in masks)) for i in range(width)]
+        rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(fan - 1)))).withColumn("path", F.col("path") * fan + F.col("_j"))
+        masked = [F.col(n).bitwiseAND(F.get(t, F.col("path"))) for n, t in zip(names, table, strict=True)]
+        rows = rows.select("id", *names, "path", F.xxhash64("path", *masked).alias("key"))
         large = None
-        if 1 << free > max_bucket and free > distance + EXTRA:
-            large = staged(spark, rows.groupBy("path", "masked").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_bucket), "large-buckets")
+        if level < levels:
+            large = staged(spark, rows.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_bucket).select("key"), "large-keys")
             n = large.count()
-            large = None if not n else F.broadcast(large.drop("_n")) if n <= 100_000 else large.drop("_n")
-        here = rows if large is None else rows.join(large, ["path", "masked"], "left_anti")
-        words = here.select("path", "masked", F.col("fp").alias("id"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("words"))
-        links = link_sorted(words, ["path", "masked"], distance)
+            large = None if not n else F.broadcast(large) if n <= 100_000 else large
+        here = rows if large is None else rows.join(large, "key", "left_anti")
+        words = F.concat(*(F.unhex(F.lpad(F.hex(n), 16, "0")) for n in names))
+        links = link_sorted(here.select("key", "id", words.alias("words")), distance)
         found = links if found is None else found.unionByName(links)
         if large is None:
-            return found
-        rows = rows.join(large, ["path", "masked"], "left_semi")
+            break
+        rows = rows.join(large, "key", "left_semi")
+        paths = [split(m) for m in masks]
+    return found
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(doc_id, fp, component) of every row of ``docs``: fp as a long, component the smallest doc_id reachable by links, itself included.
+def groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int = 3, wide: bool = False, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(_k, _th, doc_id, f0, ..., component) of every row of ``docs``; component is the smallest document key reachable by links, its own included.
 
     Fingerprints that differ in ``distance`` bits at most are linked; equal ones are one node, so copies are never expanded
     into pairs. A null or empty text, or one without words, has fingerprint 0 and is linked like any other. A null doc_id
-    counts as the largest and comes back as null; a component of such rows alone has a null id. Repeated rows all come back.
-    An empty table gives no rows. Other columns play no part.
+    counts as the largest. Repeated rows all come back. An empty table gives no rows. Other columns play no part.
+    """
+    width = WIDE_WORDS if wide else 1
+    names = [f"f{i}" for i in range(width)]
+    fps = staged(spark, fingerprints(docs, shingle, wide), "fingerprints")
+    ident = F.xxhash64(*names) if wide else F.col("f0")
+    held = fps.groupBy(*names).agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).withColumn("id", ident)
+    held = staged(spark, held, "held")
+    none = (0,) * width
+    if wide:
+        edges = hamming_edges(spark, held, width, distance, random_masks(none, WIDE_TABLES, WIDE_BITS), lambda m: random_masks(m, SPLIT_TABLES, SPLIT_BITS), max_bucket)
+    else:
+        edges = hamming_edges(spark, held, width, distance, pigeonhole_masks(none, distance), lambda m: pigeonhole_masks(m, distance), max_bucket)
+    labels = components(spark, edges)
+    held = staged(spark, held.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    least = staged(spark, held.groupBy("label").agg(F.min("_first").alias("component"), F.count("*").alias("_held")), "components")
+    held = staged(spark, skew_safe_lookup(held, least, ["label"], ["component"], "_held", ["id"]), "held-components")
+    return skew_safe_lookup(fps, held, names, ["component"], "_n", ["_k", "_th"])
+
+
+def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """(doc_id, fp, component) of every row: :func:`groups` with 64-bit fingerprints; a component of rows without ids has a null id."""
+    out = groups(spark, docs, shingle, distance)
+    return out.select("doc_id", F.col("f0").alias("fp"), from_doc_key(F.col("component")).alias("component"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that of the smallest doc_id, with all columns as they are.
+
+    Near copies share shingles of ``shingle`` words to a Jaccard similarity of 0.8 or so, as wide fingerprints tell; see
+    :func:`groups` for nulls and ties. Of rows with equal id and text one stays; of rows with one id and different texts in
+    one group, that whose text has the least hash.
     """
-    fps = staged(spark, fingerprints(docs, shingle).withColumn("_k", doc_key()), "fingerprints")
-    held = staged(spark, fps.groupBy("fp").agg(F.min("_k").alias("_first"), F.count("*").alias("_n")), "held")
-    labels = components(spark, hamming_edges(spark, held.select("fp"), distance, max_bucket))
-    held = staged(spark, held.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
-    least = held.groupBy("label").agg(F.min("_first").alias("component"), F.count("*").alias("_held"))
-    least = staged(spark, least, "components")
-    held = staged(spark, skew_safe_lookup(held, least, ["label"], ["component"], "_held", ["fp"]), "held-components")
-    out = skew_safe_lookup(fps, held, ["fp"], ["component"], "_n", ["_k"])
-    return out.select("doc_id", "fp", from_doc_key(F.col("component")).alias("component"), F.col("_k").alias("_key"))
+    found = staged(spark, groups(spark, docs, shingle, WIDE_DISTANCE, wide=True).select("_k", "_th", "component"), "groups")
+    best = found.filter(F.col("_k") == F.col("component")).groupBy("component").agg(F.min("_th").alias("_th"))
+    keep = best.select(F.col("component").alias("_k"), "_th")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"_k": doc_key(), "_th": F.xxhash64(text)}).join(keep, ["_k", "_th"], "left_semi")
+    again = found.groupBy("_k", "_th").count().filter("count > 1").limit(1).count()
+    rows = rows.dropDuplicates(["_k", "_th"]) if again else rows
+    return rows.select(*(f"`{c}`" for c in docs.columns))

@@ -16,6 +16,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII marks: what is left between them are letters, digits and all beyond ASCII.
+IS_MARK = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -65,13 +67,14 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of some texts: ``start`` and ``end`` in ``buf``; those of text i are ``at[i]:at[i + 1]``."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, breaks: np.ndarray = IS_SPACE):
+        """``breaks``: the bytes that end a word, newline among them."""
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         if lower:
             self.buf = LOWER[self.buf]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_at = np.r_[0, np.cumsum(lengths + 1)]
-        space = IS_SPACE[self.buf]
+        space = breaks[self.buf]
         turn = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(self.buf) and not space[0]:
             turn = np.r_[0, turn]
