@@ -41,10 +41,9 @@ def read_jsonl_dropping(spark: SparkSession, path: str, schema: T.StructType) ->
 
 def read_jsonl_quarantined(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, broken lines as raw_line and reject_reason). Lines that aren't blank are one or the other."""
-    wide = T.StructType([*schema.fields, T.StructField("raw_line", T.StringType())])
-    rows = spark.read.schema(wide).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="raw_line")
-    bad = F.col("raw_line").isNotNull()
-    return rows.filter(~bad).drop("raw_line"), rows.filter(bad).select("raw_line", F.lit("json_decode_error").alias("reject_reason"))
+    rows = parse_lines(spark.read.text(path), schema)
+    bad = F.col("reject_reason").isNotNull()
+    return rows.filter(~bad).select("row.*"), rows.filter(bad).select(F.col("value").alias("raw_line"), "reject_reason")
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:

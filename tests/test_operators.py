@@ -16,7 +16,8 @@ def frame(spark, n=200):
     return spark.createDataFrame([(i, f"s{rnd.randrange(4)}", rnd.randrange(1, 60)) for i in range(n)], "seq long, source string, tokens long")
 
 
-KEY = X.sha_key(F.lit("t"), F.col("seq").cast("string"))
+def key():
+    return X.sha_key(F.lit("t"), F.col("seq").cast("string"))
 
 
 def test_order_statistics(spark):
@@ -38,28 +39,28 @@ def test_mcnemar(spark):
 @pytest.mark.parametrize("target", [0, 1, 500, 10**6])
 def test_running_budget(spark, target):
     df = frame(spark)
-    rows = sorted(df.withColumn("key", KEY).collect(), key=lambda r: r.key)
+    rows = sorted(df.withColumn("key", key()).collect(), key=lambda r: r.key)
     want, total = set(), 0
     for r in rows:
         if total >= target:
             break
         want.add(r.seq)
         total += r.tokens
-    assert {r.seq for r in sel.running_budget(df, "tokens", KEY, target).collect()} == want
-    one = {r.seq for r in sel.running_budget(df, "tokens", KEY, target, take_one=True).collect()}
+    assert {r.seq for r in sel.running_budget(df, "tokens", key(), target).collect()} == want
+    one = {r.seq for r in sel.running_budget(df, "tokens", key(), target, take_one=True).collect()}
     assert one == (want or {rows[0].seq})
 
 
 def test_splits_and_quotas(spark):
     df = frame(spark)
-    out = sel.stratified_holdout(df, ["source"], 50, KEY).groupBy("source", "split").count().collect()
+    out = sel.stratified_holdout(df, ["source"], 50, key()).groupBy("source", "split").count().collect()
     assert sum(r["count"] for r in out if r.split == "validation") == 50 and sum(r["count"] for r in out) == 200
-    parts = {r.split: r["count"] for r in sel.ordered_split(df, KEY).groupBy("split").count().collect()}
+    parts = {r.split: r["count"] for r in sel.ordered_split(df, key()).groupBy("split").count().collect()}
     assert parts == {"train": 190, "validation": 10}
-    assert sel.quota_sample(df, "source", {"s0": 3, "s1": 1000}, KEY).filter("source = 's0'").count() == 3
-    assert sel.mining_pool(df, "source", {"s0": 3, "x": 5}, ["seq"], KEY).count() == 8
+    assert sel.quota_sample(df, "source", {"s0": 3, "s1": 1000}, key()).filter("source = 's0'").count() == 3
+    assert sel.mining_pool(df, "source", {"s0": 3, "x": 5}, ["seq"], key()).count() == 8
     with pytest.raises(Exception, match="too few"):
-        sel.mining_pool(df, "source", {"x": 500}, ["seq"], KEY).collect()
+        sel.mining_pool(df, "source", {"x": 500}, ["seq"], key()).collect()
     with pytest.raises(ValueError):
         sel.parse_quotas(["a=b"])
     assert sel.parse_quotas(["a=b=3"]) == {"a=b": 3}
