@@ -13,6 +13,7 @@ windows have equal anchors at equal places. Successive windows with one anchor a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ GRAM = 32
 SORT_BYTES = 1 << 19
 #: Different contexts of one anchor beyond which its windows are dealt out and counted.
 MAX_CONTEXTS = 1 << 15
-#: Bits of the bitmaps of anchors that the second pass over the texts looks up.
-ANCHOR_BITS = 24
+#: Bits of the bitmaps by which the second pass over the texts knows the units that it must hand on.
+ANCHOR_BITS = 25
 _KEY_BITS = 21
 
 
@@ -133,18 +134,22 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], ends[np.r_[first[1:], len(starts)] - 1] if len(first) else ends
 
 
-def _bitmap(spark: SparkSession, keys: DataFrame) -> np.ndarray:
-    """Bitmap of the top bits of a column of hashes; of a fixed size."""
+def _bitmap(spark: SparkSession, keys: DataFrame) -> bytes:
+    """Bitmap of the top bits of a column of hashes, compressed; of a fixed size, so full ones tell less but nothing is lost."""
 
     def one(rows: Iterator) -> Iterator:
-        bits = np.zeros(1 << ANCHOR_BITS, bool)
-        some = False
-        for r in rows:
-            bits[(r[0] & (1 << 64) - 1) >> 64 - ANCHOR_BITS] = some = True
-        if some:
-            yield np.packbits(bits)
+        top = [(r[0] & (1 << 64) - 1) >> 64 - ANCHOR_BITS for r in rows]
+        if top:
+            bits = np.zeros(1 << ANCHOR_BITS, bool)
+            bits[np.array(top)] = True
+            yield zlib.compress(np.packbits(bits).tobytes(), 1)
 
-    return np.unpackbits(keys.rdd.mapPartitions(one).treeAggregate(np.zeros(1 << ANCHOR_BITS - 3, np.uint8), lambda a, b: a | b, lambda a, b: a | b, 2)).astype(bool)
+    def both(a: bytes, b: bytes) -> bytes:
+        x, y = (np.frombuffer(zlib.decompress(c), np.uint8) for c in (a, b))
+        return zlib.compress((x | y).tobytes(), 1)
+
+    none = zlib.compress(bytes(1 << ANCHOR_BITS - 3), 1)
+    return keys.rdd.mapPartitions(one).treeAggregate(none, both, both, 2)
 
 
 def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
@@ -165,17 +170,25 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
 
     names = ["_k", "_th", "start", "windows", "anchor", "context"]
     units = staged(spark, rows.mapInArrow(cut, ", ".join(f"{n} long" for n in names)), "units")
-    contexts = staged(spark, units.groupBy("anchor", "context").agg(F.count("*").alias("_n")), "contexts")
-    copied = staged(spark, contexts.filter("_n > 1").withColumn("_yes", F.lit(1)), "copied")
+    anchors = staged(spark, units.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_yes", F.lit(1)), "anchors")
+    units = skew_safe_lookup(units, anchors, ["anchor"], ["_yes"], "_n", ["_k", "_th", "start"]).filter("_yes = 1").drop("_yes")
+    units = staged(spark, units, "repeated-units")
+    row = F.xxhash64("_k", "_th")
+    contexts = staged(spark, units.groupBy("anchor", "context").agg(F.count("*").alias("_n"), F.min(row).alias("_row")), "contexts")
+    copied = contexts.filter("_n > 1").withColumn("_yes", F.lit(1))
     whole = skew_safe_lookup(units, copied, ["anchor", "context"], ["_yes"], "_n", ["_k", "_th", "start"]).filter("_yes = 1")
     whole = whole.select("_k", "_th", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
-    mixed = staged(spark, contexts.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1"), "mixed")
-    bits = spark.sparkContext.broadcast((_bitmap(spark, mixed.select("anchor")), _bitmap(spark, mixed.filter(F.col("_n") > max_contexts).select("anchor"))))
+    mixed = staged(spark, contexts.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_yes", F.lit(1)), "mixed")
+    # one unit stands for all with its context: that of one text
+    wanted = skew_safe_lookup(contexts, mixed.filter(F.col("_n") <= max_contexts), ["anchor"], ["_yes"], "_n", ["context"]).filter("_yes = 1")
+    wanted = wanted.select(F.col("_row").bitwiseXOR(F.col("context")).alias("key"))
+    bits = spark.sparkContext.broadcast((_bitmap(spark, wanted), _bitmap(spark, mixed.filter(F.col("_n") > max_contexts).select("anchor"))))
+    rows = rows.select("_k", "_th", "text", row.alias("_row"))
 
     def fetch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        few, many = bits.value
+        some, many = (np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).astype(bool) for x in bits.value)
         top = np.uint64(64 - ANCHOR_BITS)
         for b in batches:
             texts = as_bytes(b.column(2))
@@ -184,7 +197,8 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
                 if not len(u.text):
                     continue
                 large = many[u.anchor >> top]
-                sort = np.flatnonzero(few[u.anchor >> top] & ~large)
+                own = b.column(3).to_numpy()[u.text + x].view(np.uint64)
+                sort = np.flatnonzero(some[(own ^ u.context) >> top] & ~large)
                 # one of several equal contexts in this slice stands for all: those are repeated as a whole
                 sort = sort[np.unique(mix(u.anchor[sort]) + u.context[sort], return_index=True)[1]]
                 keys, where, starts, counts = [u.anchor[sort]], [u.text[sort]], [u.start[sort]], [u.windows[sort]]
