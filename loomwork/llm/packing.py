@@ -13,6 +13,8 @@ from loomwork.llm.common import new_path
 from loomwork.llm.tokens import Encoder
 
 MAX_LENGTH = 1024
+#: Files whose first numbers may be broadcast: some 200 bytes each.
+BROADCAST_FILES = 200_000
 #: Bytes of ids in an Arrow batch that a worker hands back.
 BATCH_BYTES = 1 << 22
 
@@ -75,5 +77,6 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, max_len
     found = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     before = F.sum("_n").over(W.orderBy("length", "_file").rowsBetween(W.unboundedPreceding, -1))
     files = found.groupBy("length", "_file").agg(F.count("*").alias("_n")).select("length", "_file", F.coalesce(before, F.lit(0)).alias("_first"))
-    out = found.join(files, ["length", "_file"])
+    # ids would be shuffled to meet a row of their file; the files are counted, and broadcast unless there are very many
+    out = found.join(F.broadcast(files) if files.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES else files, ["length", "_file"])
     return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids", (F.col("_first") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
