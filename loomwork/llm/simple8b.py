@@ -173,7 +173,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 at = np.r_[0, np.cumsum(lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + at[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array([raw[4 * x : 4 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=schema.names)
 
-    return blocks.join(base, "part").select((F.col("base") + F.col("first_id")).alias("first"), "doc_ids", "data").mapInArrow(run, schema)
+    # base has a row for each partition of the writer, so its size is bounded by their number, whatever the data
+    return blocks.join(F.broadcast(base), "part").select((F.col("base") + F.col("first_id")).alias("first"), "doc_ids", "data").mapInArrow(run, schema)
 
 
 def tokens_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
