@@ -33,7 +33,7 @@ VIEWS = {
   FROM sft_records AS r CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1 AS m UNION ALL SELECT 2 AS m) AS m WHERE r.answer <> ''""",
     "predictions": """
   SELECT seq, k, source, instruction, reasoning, answer, 'm' || CAST(m AS STRING) AS model,
-    CASE v WHEN 0 THEN '<think>' || chr(10) || substring(reasoning, 1, CAST(length(reasoning) / 2 AS INT))
+    CASE v WHEN 0 THEN '<think>' || chr(10) || substring(reasoning, 1, CAST((length(reasoning) - length(reasoning) % 2) / 2 AS INT))
       WHEN 1 THEN '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10) || answer
       WHEN 2 THEN '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10) || '<answer> ' || answer
       WHEN 3 THEN '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10) || '<answer>  </answer>'

@@ -93,10 +93,10 @@ def annotation_summary(spark, sf_dir):
 
 
 @query("process_reward", SAMPLES + """, c AS (SELECT *, CASE WHEN ok THEN 1.0 ELSE 0.0 END AS acc, CASE WHEN n_steps <= 3 THEN 0.3 WHEN n_steps <= 8 THEN 1.0 - 0.5 * (n_steps - 3) / 5 ELSE 0.5 END AS eff FROM a)
-  SELECT seq, round(CAST(0.7 * score_avg + 0.2 * acc + 0.1 * eff AS DOUBLE), 6) AS total, acc::DOUBLE AS accuracy, CASE WHEN k % 4 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS completeness, round(eff::DOUBLE, 6) AS efficiency, round(score_avg, 6) AS prm_score FROM c""")
+  SELECT seq, round(CAST(0.7 * score_avg + 0.2 * acc + 0.1 * eff AS DOUBLE) + 1e-9, 6) AS total, acc::DOUBLE AS accuracy, CASE WHEN k % 4 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS completeness, round(eff::DOUBLE, 6) AS efficiency, round(score_avg, 6) AS prm_score FROM c""")
 def process_reward(spark, sf_dir):
     rows = _scored(spark, sf_dir).filter(F.size("steps") > 0)
-    return rows.select("seq", S.process_reward(F.col("scores"), F.when(F.col("right"), 1.0).otherwise(0.0), F.col("k") % 4 != 0).alias("r")).select("seq", "r.*")
+    return rows.select("seq", S.process_reward(F.col("scores"), F.when(F.col("right"), 1.0).otherwise(0.0), F.col("k") % 4 != 0).alias("r")).select("seq", (F.col("r.total") + 1e-9).alias("total"), *(f"r.{c}" for c in ("accuracy", "completeness", "efficiency", "prm_score")))
 
 
 @query("scorer_agreement", SAMPLES + " SELECT count(*) AS n, round(avg(score_avg), 6) AS score_avg_mean, round(stddev_pop(score_avg), 6) AS score_avg_std, round(avg(mc_avg), 6) AS mc_avg_mean, round(stddev_pop(mc_avg), 6) AS mc_avg_std, round(avg(score_avg - mc_avg), 6) AS mean_delta, round(corr(score_avg, mc_avg), 6) AS correlation FROM a")
