@@ -53,18 +53,21 @@ def from_doc_key(column: Column) -> Column:
 def skew_safe_lookup(big: DataFrame, small: DataFrame, keys: list[str], payload: list[str], count_col: str, spread: list[str]) -> DataFrame:
     """``big`` with the payload of its key in ``small`` (null where there is none).
 
-    ``small`` has one row a key, with the number of rows of ``big`` that hold it in ``count_col``; stage it first.
+    ``small`` has one row a key, with the number of rows of ``big`` that hold it in ``count_col``; stage it first. The first
+    key is a long.
     Keys with over 1/HEAVY_SHARE of all rows, fewer than HEAVY_SHARE of them whatever the input, are broadcast; their
     rows of ``big`` are dealt out by ``spread`` in the join that finds all other keys.
     """
-    total = small.agg(F.sum(count_col)).first()[0] or 0
+    columns, total = big.columns, small.agg(F.sum(count_col)).first()[0] or 0
     small = small.select(*keys, count_col, F.struct(*payload).alias("_sl_pay"))
     heavy = small.filter(F.col(count_col) * HEAVY_SHARE > total).select(*keys, F.col("_sl_pay").alias("_sl_heavy"))
-    light = small.filter(F.col(count_col) * HEAVY_SHARE <= total).select(*keys, "_sl_pay", F.lit(0).alias("_sl_salt"))
-    salt = F.when(F.col("_sl_heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(65_536)).cast("int"))
-    out = big.join(F.broadcast(heavy), keys, "left").withColumn("_sl_salt", salt).join(light, [*keys, "_sl_salt"], "left")
+    light = small.filter(F.col(count_col) * HEAVY_SHARE <= total).select(F.col(keys[0]).alias("_sl_key"), *keys[1:], "_sl_pay", F.lit(True).alias("_sl_light"))
+    # rows of heavy keys go by another key and match nothing: they are not light
+    big = big.join(F.broadcast(heavy), keys, "left").withColumn("_sl_light", F.col("_sl_heavy").isNull())
+    big = big.withColumn("_sl_key", F.when(F.col("_sl_light"), F.col(keys[0])).otherwise(F.xxhash64(*spread)))
+    out = big.join(light, ["_sl_key", *keys[1:], "_sl_light"], "left")
     found = F.coalesce("_sl_heavy", "_sl_pay")
-    return out.select(*big.columns, *(found[p].alias(p) for p in payload))
+    return out.select(*columns, *(found[p].alias(p) for p in payload))
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
