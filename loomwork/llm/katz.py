@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import HEAVY_SHARE, skew_safe_lookup, staged
-from loomwork.llm.textkit import Words, as_bytes, mix, slices
+from loomwork.llm.textkit import Words, as_bytes, mix, release_memory, slices
 
 #: Hashes of the end token and of the context before the first token.
 END, BEGIN = (mix(np.array([x], np.uint64))[0] for x in (0xE0D, 0xB06))
 #: Counts up to this are discounted by Good-Turing.
 K = 5
 #: Tokens that a task packs at once, and tokens of a partition.
-PACK_TOKENS = 2_000_000
-PARTITION_TOKENS = 3_000_000
+PACK_TOKENS = 1_500_000
+PARTITION_TOKENS = 2_000_000
 #: Documents are held out where crc32(doc_id as text) mod FOLDS is 0.
 FOLDS = 10
 #: Size of the bitmap of contexts of unseen pairs, in bits; contexts outside it need no masses.
@@ -146,14 +146,18 @@ def _open_tokens(blobs: Iterable[bytes]) -> tuple[np.ndarray, ...] | None:
         h = np.repeat(contexts[which], docs)
         w = np.repeat(np.repeat(words, pairs), docs)
         doc = doc.astype(np.int32)
-        parts.append((w, h, np.full(len(w), len(flushes), np.int32), doc, held[doc], times.astype(np.int64)))
+        parts.append((w, h, np.full(len(w), len(flushes), np.int32), doc, held[doc], times.astype(np.int32)))
         flushes.append(int(flush[0]))
     if not parts:
         return None
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    del parts
+    cols = []
+    for k in range(6):  # one column at a time, so that two copies of one are held, not of all
+        cols.append(np.concatenate([p[k] for p in parts]))
+        parts = [(*p[:k], None, *p[k + 1 :]) for p in parts]
     order = np.lexsort((cols[1], cols[0]))
-    return (*(c[order] for c in cols), np.array(flushes))
+    for k in range(6):
+        cols[k] = cols[k][order]
+    return (*cols, np.array(flushes))
 
 
 @dataclass
@@ -265,6 +269,7 @@ def packed_tokens(docs: DataFrame, heavy: Heavy, partitions: int, folds: int):
                     held = 0
         if ids:
             yield from batch(out())
+        release_memory()
 
     packed = rows.mapInArrow(run, "p int, kind int, data binary")
     return packed.rdd.map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(partitions, int)
@@ -298,7 +303,10 @@ def _statistics(part: Iterable, heavy: Heavy) -> Iterator:
     bits[unseen >> np.uint64(64 - CONTEXT_BITS)] = True
     contexts |= np.packbits(bits)
     start = cols[1][pair] == BEGIN
-    yield np.array(of), np.array([int(count.sum()), int(train[start].sum())]), words, pairs, zlib.compress(contexts.tobytes(), 1)
+    out = np.array(of), np.array([int(count.sum()), int(train[start].sum())]), words, pairs, zlib.compress(contexts.tobytes(), 1)
+    del cols, blobs
+    release_memory()
+    yield out
 
 
 def _merge(a, b):
@@ -312,12 +320,12 @@ def _log10(x):
 
 
 def _score(part: Iterable, model: Model) -> Iterator:
-    """One partition's share of scores, as (kind, packed columns): 0 documents, 1 contexts, 2 unseen pairs, 3 document tables."""
+    """One partition's share of scores, as (kind, flush, packed columns): 0 documents of one flush, 1 contexts, 2 unseen pairs, 3 document tables."""
     blobs = []
     for _, (kind, data) in part:
         if kind:
             number, ids, null, held, sizes = _unpack(data)
-            yield 3, _pack([np.full(len(ids), number[0]), np.arange(len(ids)), ids, null, held, sizes])
+            yield 3, 0, _pack([np.full(len(ids), number[0]), np.arange(len(ids)), ids, null, held, sizes])
         else:
             blobs.append(data)
     cols = _open_tokens(blobs)
@@ -339,21 +347,32 @@ def _score(part: Iterable, model: Model) -> Iterator:
     key = flushes[flush].astype(np.int64) << np.int64(24) | doc
     order = np.argsort(key, kind="stable")
     first = _groups(key[order])
-    sums = [np.add.reduceat((np.repeat(x, entries) * times)[order], first) for x in (term, base, (count_p > 0).astype(np.int64))]
-    keys = key[order][first]
-    yield 0, _pack([keys, *sums])
+    keys, times_by = key[order][first], times[order]
+    sums = []
+    for x in (term, base, (count_p > 0).astype(np.int32)):
+        each = np.repeat(x, entries)[order]
+        each *= times_by
+        sums.append(np.add.reduceat(each, first))
+        del each
+    of = keys >> np.int64(24)
+    edge = np.r_[_groups(of), len(of)]
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield 0, int(of[a]), _pack([keys[a:b] & np.int64((1 << 24) - 1), *(x[a:b] for x in sums)])
+    del order, times_by, sums, keys, of
     # of a hot pair each partition gives that share of its masses which it holds of its count
     share = np.where(hot >= 0, here / np.maximum(train, 1), 1.0)
     told = np.unpackbits(np.frombuffer(zlib.decompress(model.contexts), np.uint8)).astype(bool)
     asked = (train > 0) & told[h[pair] >> np.uint64(64 - CONTEXT_BITS)]
     ctx, which = np.unique(h[pair][asked], return_inverse=True)
     c, share = train[asked], share[asked]
-    yield 1, _pack([ctx.view(np.int64), np.bincount(which, share * (c - model.pair_discounts.kept(c)), minlength=len(ctx)), np.bincount(which, share * prob_p[asked], minlength=len(ctx))])
+    yield 1, 0, _pack([ctx.view(np.int64), np.bincount(which, share * (c - model.pair_discounts.kept(c)), minlength=len(ctx)), np.bincount(which, share * prob_p[asked], minlength=len(ctx))])
     miss = np.repeat(train == 0, entries)
-    yield 2, _pack([key[miss], h[miss].view(np.int64), times[miss]])
+    yield 2, 0, _pack([key[miss], h[miss].view(np.int64), times[miss]])
+    del cols, w, h, flush, doc, key, miss
+    release_memory()
 
 
-_SHAPES = {0: "doc long, score double, base double, known long", 1: "context long, freed double, mass double", 2: "doc long, context long, times long", 3: "flush long, at long, doc_id long, no_id boolean, held_out boolean, n_tokens long"}
+_SHAPES = {1: "context long, freed double, mass double", 2: "doc long, context long, times long", 3: "flush long, at long, doc_id long, no_id boolean, held_out boolean, n_tokens long"}
 
 
 def _open_kind(packed: DataFrame, kind: int) -> DataFrame:
@@ -373,6 +392,27 @@ def _open_kind(packed: DataFrame, kind: int) -> DataFrame:
     return packed.filter(F.col("kind") == kind).select("data").mapInArrow(run, shape)
 
 
+def _document_sums(packed: DataFrame) -> DataFrame:
+    """(doc, score, base, known): the partitions' shares of each document added up, a flush at a time.
+
+    A flush has a bounded number of tokens, so its shares are bounded too, whatever the number of partitions.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for flush, parts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                cols = [_unpack(x) for x in parts.as_py()]
+                size = 1 + max(int(c[0].max()) for c in cols)
+                doc = np.concatenate([c[0] for c in cols]).astype(np.int64)
+                sums = [np.bincount(doc, np.concatenate([c[k] for c in cols]), size) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size) | flush << 24), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["doc", "score", "base", "known"])
+
+    shares = packed.filter("kind = 0").groupBy("flush").agg(F.collect_list("data").alias("data"))
+    return shares.mapInArrow(run, "doc long, score double, base double, known long")
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are log10 probabilities of whole texts.
 
@@ -398,8 +438,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, folds: int = FOLDS) ->
     unknown = 1 - kept / tokens if tokens else 1.0
     model = Model(heavy, words, pairs, tokens, types, unigram, bigram, unknown, contexts)
     held = spark.sparkContext.broadcast(model)
-    packed = staged(spark, spark.createDataFrame(tables.mapPartitions(lambda part: _score(part, held.value)), "kind int, data binary"), "scores")
-    sums = _open_kind(packed, 0).groupBy("doc").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
+    packed = staged(spark, spark.createDataFrame(tables.mapPartitions(lambda part: _score(part, held.value)), "kind int, flush long, data binary"), "scores")
+    sums = _document_sums(packed)
     asked = _open_kind(packed, 2)
     masses = _open_kind(packed, 1).groupBy("context").agg(F.sum("freed").alias("freed"), F.sum("mass").alias("mass"))
     masses = masses.select("context", F.log10(F.col("freed") / (1 - F.col("mass"))).alias("backoff")).join(asked.groupBy("context").agg(F.count("*").alias("_n")), "context")

@@ -52,6 +52,19 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` bytes together; a longer text stands alone."""
     first = size = 0
