@@ -8,7 +8,8 @@ windows have equal anchors at equal places. Successive windows with one anchor a
 - An anchor that occurs once has no repeated window.
 - Units with equal contexts are repeated as a whole.
 - What is left, different contexts of one anchor, is dealt out by anchor, and their suffixes are sorted.
-- An anchor with very many different contexts is dealt out by window instead, and equal windows are counted.
+- An anchor with very many different contexts, or too many bytes of them for one sort, is dealt out by window instead,
+  and equal windows are counted.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ GRAM = 32
 SORT_BYTES = 1 << 19
 #: Different contexts of one anchor beyond which its windows are dealt out and counted.
 MAX_CONTEXTS = 1 << 15
+#: Bytes of one anchor's different contexts, separators included, beyond which its windows are dealt out and counted, too.
+#: With SORT_BYTES of other anchors before them, one sort is of fewer than 2**21 bytes.
+MAX_BYTES = (1 << 21) - SORT_BYTES - (1 << 17)
 #: Bits of the bitmaps by which the second pass over the texts knows the units that it must hand on.
 ANCHOR_BITS = 25
 _KEY_BITS = 21
@@ -41,14 +45,26 @@ def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return names + 1, len(values)
 
 
+def _pairs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs; both parts below 2**31."""
+    return _names(high << 32 | low)[0]
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of ``s`` (positive numbers below 2**21, fewer than 2**21) in ascending order, by DC3."""
+    """Starts of the suffixes of ``s`` (positive numbers below 2**31, fewer than 2**31) in ascending order, by DC3.
+
+    Triples of numbers below 2**_KEY_BITS are compared as one key; of larger ones, two are first replaced by their rank.
+    """
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     s = np.r_[np.asarray(s, np.int64), 0, 0, 0]
     sample = np.r_[np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)]
-    names, kinds = _names(s[sample] << 2 * _KEY_BITS | s[sample + 1] << _KEY_BITS | s[sample + 2])
+    fits = max(int(s.max()), len(sample)) < 1 << _KEY_BITS
+    if fits:
+        names, kinds = _names(s[sample] << 2 * _KEY_BITS | s[sample + 1] << _KEY_BITS | s[sample + 2])
+    else:
+        names, kinds = _names(_pairs(s[sample], s[sample + 1]) << 32 | s[sample + 2])
     if kinds < len(sample):
         order = suffix_array(names)
         names[order] = np.arange(1, len(sample) + 1)
@@ -62,8 +78,13 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rest, key = rest[order], key[order]
     ones, twos = sample[sample % 3 == 1], sample[sample % 3 == 2]
     before = np.searchsorted(s[ones] << 32 | rank[ones + 1], key)
-    wide = lambda i: s[i] << 2 * _KEY_BITS | s[i + 1] << _KEY_BITS | rank[i + 2]
-    before += np.searchsorted(wide(twos), wide(rest))
+    if fits:
+        wide = lambda i: s[i] << 2 * _KEY_BITS | s[i + 1] << _KEY_BITS | rank[i + 2]
+        before += np.searchsorted(wide(twos), wide(rest))
+    else:
+        both = np.r_[twos, rest]
+        wide = _pairs(s[both], s[both + 1]) << 32 | rank[both + 2]
+        before += np.searchsorted(wide[: len(twos)], wide[len(twos) :])
     out = np.empty(n, np.int64)
     place = np.arange(len(rest)) + before
     out[place] = rest
@@ -152,7 +173,7 @@ def _bitmap(spark: SparkSession, keys: DataFrame) -> bytes:
     return keys.rdd.mapPartitions(one).treeAggregate(none, both, both, 2)
 
 
-def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(_k, _th, start, end): byte spans of repeated windows of each text, by document key and hash of the text; they may overlap."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), text.alias("text"))
@@ -174,15 +195,16 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
     units = skew_safe_lookup(units, anchors, ["anchor"], ["_yes"], "_n", ["_k", "_th", "start"]).filter("_yes = 1").drop("_yes")
     units = staged(spark, units, "repeated-units")
     row = F.xxhash64("_k", "_th")
-    contexts = staged(spark, units.groupBy("anchor", "context").agg(F.count("*").alias("_n"), F.min(row).alias("_row")), "contexts")
+    contexts = staged(spark, units.groupBy("anchor", "context").agg(F.count("*").alias("_n"), F.min(row).alias("_row"), (F.max("windows") + window).alias("_bytes")), "contexts")
     copied = contexts.filter("_n > 1").withColumn("_yes", F.lit(1))
     whole = skew_safe_lookup(units, copied, ["anchor", "context"], ["_yes"], "_n", ["_k", "_th", "start"]).filter("_yes = 1")
     whole = whole.select("_k", "_th", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
-    mixed = staged(spark, contexts.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_yes", F.lit(1)), "mixed")
+    mixed = staged(spark, contexts.groupBy("anchor").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_bytes")).filter("_n > 1").withColumn("_yes", F.lit(1)), "mixed")
+    many_contexts = (F.col("_n") > max_contexts) | (F.col("_bytes") > max_bytes)
     # one unit stands for all with its context: that of one text
-    wanted = skew_safe_lookup(contexts, mixed.filter(F.col("_n") <= max_contexts), ["anchor"], ["_yes"], "_n", ["context"]).filter("_yes = 1")
+    wanted = skew_safe_lookup(contexts, mixed.filter(~many_contexts), ["anchor"], ["_yes"], "_n", ["context"]).filter("_yes = 1")
     wanted = wanted.select(F.col("_row").bitwiseXOR(F.col("context")).alias("key"))
-    bits = spark.sparkContext.broadcast((_bitmap(spark, wanted), _bitmap(spark, mixed.filter(F.col("_n") > max_contexts).select("anchor"))))
+    bits = spark.sparkContext.broadcast((_bitmap(spark, wanted), _bitmap(spark, mixed.filter(many_contexts).select("anchor"))))
     rows = rows.select("_k", "_th", "text", row.alias("_row"))
 
     def fetch(batches: Iterator) -> Iterator:
@@ -218,7 +240,7 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
                     yield pa.RecordBatch.from_arrays([c.slice(a, step) for c in cols], names=["_k", "_th", "start", "windows", "key", "data"])
 
     fetched = rows.mapInArrow(fetch, "_k long, _th long, start long, windows long, key long, data binary")
-    has_large = mixed.filter(F.col("_n") > max_contexts).limit(1).count() > 0
+    has_large = mixed.filter(many_contexts).limit(1).count() > 0
     if has_large:
         fetched = staged(spark, fetched, "fetched")
 
