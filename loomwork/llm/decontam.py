@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -71,14 +72,17 @@ class Index:
         return cls(ids, hashes, words.at, (*masks, *short), seeds[order], places[order], bits)
 
 
-def overlap(equal: np.ndarray) -> tuple[int, int, int]:
-    """(first, length, equal tokens) of the aligned run with the best sum of 1 for an equal token and -3 for another."""
-    score = np.where(equal, 1, -3)
-    total = np.r_[0, np.cumsum(score)]
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    first = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return first, end - first, int(equal[first:end].sum())
+def overlap(equal: np.ndarray, min_share: float = MIN_SHARE) -> tuple[int, int, int]:
+    """(first, length, equal tokens) of the longest aligned run with a share of ``min_share`` or more equal; of several, one with most equal."""
+    share = Fraction(min_share).limit_denominator(10**6)
+    count = np.r_[0, np.cumsum(equal, dtype=np.int64)]
+    total = share.denominator * count - share.numerator * np.arange(len(count))
+    # a run has the share if the total does not fall from its start to its end; the earliest such start of each end
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    length = np.arange(len(count)) - first
+    got = count - count[first]
+    end = int(np.lexsort((got, length))[-1])
+    return int(first[end]), int(length[end]), int(got[end])
 
 
 def scan(texts: list[bytes], index: Index, min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -101,8 +105,8 @@ def scan(texts: list[bytes], index: Index, min_tokens: int = MIN_TOKENS, min_sha
         first, last = int(index.at[item]), int(index.at[item + 1])
         a = max(first, int(words.at[text]) - shift)
         b = min(last, int(words.at[text + 1]) - shift)
-        at, length, equal = overlap(index.hashes[a:b] == hashes[a + shift : b + shift])
-        if length >= min(min_tokens, last - first) and equal >= min_share * length:
+        at, length, equal = overlap(index.hashes[a:b] == hashes[a + shift : b + shift], min_share)
+        if length >= min(min_tokens, last - first):
             row = (text, item, last - first, a + at - first, a + at + shift - int(words.at[text]), length, equal)
             if row[5:] > best.get((text, item), (0,) * 7)[5:]:
                 best[text, item] = row
@@ -126,7 +130,7 @@ def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mi
 
     Tokens are runs of letters, digits and non-ASCII characters, A-Z in lower case. An overlap is an aligned run of
     ``min_tokens`` tokens or more (of the whole item, if that is shorter), in which a share of ``min_share`` or more are
-    equal; it is found from a seed that it holds. Null and empty texts, and items without tokens, overlap with nothing.
+    equal; the longest one of an alignment counts, and an alignment is looked at if it holds a seed. Null and empty texts, and items without tokens, overlap with nothing.
     Repeated rows each give their own. Empty tables give no rows. Other columns play no part.
 
     The benchmark's seeds go to the workers in parts of bounded size, so documents are scanned in place and not shuffled.
