@@ -3,6 +3,7 @@
 Two settings. Fingerprints of 64 bits and a small distance: blocks by the pigeonhole principle, so no pair is missed.
 Wide fingerprints for a similarity of shingle sets: at 0.8 about an eighth of the bits differ, which leaves pigeonhole
 blocks of a few bits; there, fixed random blocks serve, enough of them to meet nearly all such pairs (see WIDE_TABLES).
+Wide fingerprints only find candidates: of what they link, the shingle sets themselves are compared (see similar_edges).
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ WIDE_DISTANCE = 50
 #: Random blocks and bits of each. A pair at similarity 0.8 meets in one of them with probability 0.96, at 0.85 0.995.
 WIDE_TABLES = 48
 WIDE_BITS = 16
-#: Further blocks, and bits of each, where a key is too large: near copies meet there in nearly all cases.
-SPLIT_TABLES = 8
-SPLIT_BITS = 8
-#: Splits of a key at most; after them a run is compared in parts of this many rows, each with a row of all parts before.
+#: The similarity from which documents are near copies, and the bits beyond which sets linked by others are not compared:
+#: seven standard deviations above the mean at 0.8.
+SIMILARITY = 0.8
+WIDE_SURE = 80
+#: Shingles that one comparison of a set with others gathers at once.
+GATHER = 1 << 20
+#: Levels of keys at most; at the last one keys are compared whole, whatever their size. Only pigeonhole blocks are split:
+#: random ones would lose pairs at each level, so wide keys are always compared whole.
 MAX_LEVELS = 4
 
 Masks = list[tuple[int, ...]]
@@ -64,10 +69,8 @@ def majority(rows: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bit_counts(rows) > len(rows), bitorder="little").view("<u8").astype(np.uint64)
 
 
-def wide_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
-    """WIDE_WORDS words for each text, from the set of its shingles (of all its words, if they are fewer). No words: zeros."""
-    out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
-    salts = mix(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
+def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Of each text the ascending hashes of its different shingles (of all its words, if they are fewer). No words: none."""
     for a, b in slices(texts):
         words = Words(texts[a:b], lower=True)
         hashes = words.hashes()
@@ -78,8 +81,16 @@ def wide_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
             mine = np.unique(keys[edge[i] : edge[i + 1]])
             if not len(mine) and words.at[i + 1] > words.at[i]:
                 mine = windows_hash(hashes[words.at[i] : words.at[i + 1]], int(words.at[i + 1] - words.at[i]))
-            if len(mine):
-                out[a + i] = majority(mix(mine[:, None] ^ salts).astype("<u8").view(np.uint8).reshape(-1, 8 * WIDE_WORDS))
+            yield mine
+
+
+def wide_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
+    """WIDE_WORDS words for each text, from the set of its shingles. No words: zeros."""
+    out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
+    salts = mix(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
+    for i, mine in enumerate(shingle_sets(texts, shingle)):
+        if len(mine):
+            out[i] = majority(mix(mine[:, None] ^ salts).astype("<u8").view(np.uint8).reshape(-1, 8 * WIDE_WORDS))
     return out
 
 
@@ -146,6 +157,85 @@ def forest(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
         front, todo = [int(todo[0])], todo[1:]
 
 
+def similar_forest(words: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the ``sets`` (ascending) that have the Jaccard similarity; ``words`` are their fingerprints."""
+    size = np.array([len(s) for s in sets])
+    at = np.r_[0, np.cumsum(size)]
+    flat = np.concatenate(sets)
+    todo, edges, front = np.arange(1, len(sets)), [], [0]
+    while True:
+        while front and len(todo):
+            x = front.pop()
+            mine = sets[x]
+            may = np.minimum(size[todo], len(mine)) >= similarity * np.maximum(size[todo], len(mine))
+            may &= np.bitwise_count(words[todo] ^ words[x]).sum(axis=1, dtype=np.int64) <= WIDE_SURE
+            near = todo[may & (size[todo] > 0)]
+            got = []
+            for part in np.array_split(near, -(-int(size[near].sum()) // GATHER) or 1):
+                n = size[part]
+                first = np.cumsum(n) - n
+                theirs = flat[np.repeat(at[part] - first, n) + np.arange(n.sum())]
+                both = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs if len(theirs) else np.zeros(0, bool)
+                both = np.add.reduceat(both, first, dtype=np.int64) if len(part) else first
+                got += part[both / (n + len(mine) - both) >= similarity].tolist()
+            if got:
+                edges += [(x, y) for y in got]
+                front += got
+                todo = todo[~np.isin(todo, got)]
+        if len(todo) < 2:
+            return edges
+        front, todo = [int(todo[0])], todo[1:]
+
+
+def similar_edges(docs: DataFrame, held: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): edges that join, within each label, all fingerprints whose texts' shingle sets have SIMILARITY.
+
+    ``held``: id, f0, ..., and the key _first and text hash _fth of a row that has the fingerprint; ``labels``: (node, label)
+    of those that are linked to another. Sets are dealt out by label, so only documents with candidates are compared.
+    """
+    names = [f"f{i}" for i in range(WIDE_WORDS)]
+    near = held.join(labels.withColumnRenamed("node", "id"), "id").select(F.col("_first").alias("_k"), F.col("_fth").alias("_th"), "id", "label", *names)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = F.concat(*(F.unhex(F.lpad(F.hex(n), 16, "0")) for n in names))
+    rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), text.alias("text")).join(near, ["_k", "_th"]).select("label", "id", words.alias("words"), "text")
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            # repeated rows have one id
+            b = b.take(pa.array(np.sort(np.unique(b.column(1).to_numpy(), return_index=True)[1])))
+            texts = as_bytes(b.column(3))
+            for x, y in slices(texts):
+                sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts[x:y], shingle)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(x, y - x) for c in b.columns[:3]), pa.array(sets, pa.binary())], names=["label", "id", "words", "sets"])
+
+    def link(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def solve(rows: dict[int, tuple[bytes, bytes]]):
+            ids = list(rows)
+            fps = np.frombuffer(b"".join(r[0] for r in rows.values()), ">u8").astype(np.uint64).reshape(len(ids), -1)
+            return [(ids[x], ids[y]) for x, y in similar_forest(fps, [np.frombuffer(r[1], "<u8") for r in rows.values()])]
+
+        now, rows, found = None, {}, []
+        for b in batches:
+            for label, ident, fp, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if label != now:
+                    found += solve(rows) if len(rows) > 1 else []
+                    now, rows = label, {}
+                rows[ident] = (fp, held)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        found = solve(rows) if len(rows) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    sets = rows.mapInArrow(cut, "label long, id long, words binary, sets binary")
+    return sets.repartition("label").sortWithinPartitions("label").mapInArrow(link, "a long, b long")
+
+
 def link_sorted(rows: DataFrame, distance: int) -> DataFrame:
     """(a, b): edges that join all rows within the distance under each key. ``rows``: key long, id long, words binary.
 
@@ -188,7 +278,7 @@ def hamming_edges(spark: SparkSession, fps: DataFrame, width: int, distance: int
     """(a, b): edges between ids of ``fps`` (id, f0, ...: different fingerprints) within the distance that share a key.
 
     A fingerprint goes to the key that each mask makes of it. Keys with over ``max_bucket`` fingerprints are split by the
-    longer masks that ``split`` gives, ``levels`` times at most, or until no bits are left. Of each key only a spanning
+    longer masks that ``split`` gives, until there are ``levels`` levels; one level splits none. Of each key only a spanning
     forest leaves the worker. Only the number of large keys comes to the driver.
     """
     names = [f"f{i}" for i in range(width)]
@@ -220,22 +310,24 @@ def hamming_edges(spark: SparkSession, fps: DataFrame, width: int, distance: int
 def groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int = 3, wide: bool = False, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(_k, _th, doc_id, f0, ..., component) of every row of ``docs``; component is the smallest document key reachable by links, its own included.
 
-    Fingerprints that differ in ``distance`` bits at most are linked; equal ones are one node, so copies are never expanded
-    into pairs. A null or empty text, or one without words, has fingerprint 0 and is linked like any other. A null doc_id
+    Fingerprints that differ in ``distance`` bits at most are linked; wide ones only if the shingle sets have SIMILARITY,
+    too. Equal ones are one node, so copies are never expanded into pairs. A null or empty text, or one without words, has fingerprint 0 and is linked like any other. A null doc_id
     counts as the largest. Repeated rows all come back. An empty table gives no rows. Other columns play no part.
     """
     width = WIDE_WORDS if wide else 1
     names = [f"f{i}" for i in range(width)]
     fps = staged(spark, fingerprints(docs, shingle, wide), "fingerprints")
     ident = F.xxhash64(*names) if wide else F.col("f0")
-    held = fps.groupBy(*names).agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).withColumn("id", ident)
+    held = fps.groupBy(*names).agg(F.min("_k").alias("_first"), F.min(F.struct("_k", "_th"))["_th"].alias("_fth"), F.count("*").alias("_n")).withColumn("id", ident)
     held = staged(spark, held, "held")
     none = (0,) * width
     if wide:
-        edges = hamming_edges(spark, held, width, distance, random_masks(none, WIDE_TABLES, WIDE_BITS), lambda m: random_masks(m, SPLIT_TABLES, SPLIT_BITS), max_bucket)
+        edges = hamming_edges(spark, held, width, distance, random_masks(none, WIDE_TABLES, WIDE_BITS), lambda m: [], max_bucket, levels=1)
     else:
         edges = hamming_edges(spark, held, width, distance, pigeonhole_masks(none, distance), lambda m: pigeonhole_masks(m, distance), max_bucket)
     labels = components(spark, edges)
+    if wide:
+        labels = components(spark, similar_edges(docs, held, labels, shingle))
     held = staged(spark, held.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
     least = staged(spark, held.groupBy("label").agg(F.min("_first").alias("component"), F.count("*").alias("_held")), "components")
     held = staged(spark, skew_safe_lookup(held, least, ["label"], ["component"], "_held", ["id"]), "held-components")
@@ -251,8 +343,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies: that of the smallest doc_id, with all columns as they are.
 
-    Near copies share shingles of ``shingle`` words to a Jaccard similarity of 0.8 or so, as wide fingerprints tell; see
-    :func:`groups` for nulls and ties. Of rows with equal id and text one stays; of rows with one id and different texts in
+    Near copies share shingles of ``shingle`` words to a Jaccard similarity of 0.8 or more, and so do all that links a
+    group: wide fingerprints find the candidates, the sets are compared. See :func:`groups` for nulls and ties. Of rows with equal id and text one stays; of rows with one id and different texts in
     one group, that whose text has the least hash.
     """
     found = staged(spark, groups(spark, docs, shingle, WIDE_DISTANCE, wide=True).select("_k", "_th", "component"), "groups")
