@@ -23,6 +23,12 @@ from loomwork.llm.tokens import Encoder
 #: Values in a word and bits of each, by selector: fixed values of the format.
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+#: Least value too wide for the selectors of each width, and each selector's place among the widths.
+_LIMITS = np.unique(np.uint64(1) << WIDTH[:15].astype(np.uint64))
+_CLASS = np.searchsorted(_LIMITS, np.uint64(1) << WIDTH.astype(np.uint64))
+_STEPS = bytes([*COUNT.astype(np.uint8), *bytes(240)])
+_CLASS16 = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
+_CLASS16H = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64) << np.uint64(16), "right").astype(np.uint8)
 MAGIC = b"S8B1"
 #: Words between two entries of a block's offset table.
 STRIDE = 128
@@ -30,10 +36,18 @@ STRIDE = 128
 BLOCK_IDS = 1 << 16
 
 
+def _class32(ids: np.ndarray) -> np.ndarray:
+    """How many of _LIMITS each value reaches, by its bit length: a table serves the low and the high half."""
+    low = _CLASS16[ids & np.uint32(0xFFFF)]
+    high = ids >> np.uint32(16)
+    return np.where(high > 0, _CLASS16H[high], low) if high.any() else low
+
+
 def encode(ids: np.ndarray) -> np.ndarray:
     """The words of ``ids`` (below 2**60), greedily: each word takes the selector that packs the most values.
 
-    How far each selector reaches from each position comes from running counts, so only the walk from word to word is a loop.
+    Whether a selector reaches from a position is the widest of a window of values, and wide windows come from two narrower
+    ones, a byte for each value. Only the walk from word to word is a loop.
     """
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
@@ -41,15 +55,20 @@ def encode(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("a value has over 60 bits")
-    best = np.full(n, 15, np.int8)
-    place = np.arange(n)
+    small = np.searchsorted(_LIMITS, ids, "right").astype(np.uint8) if int(ids.max()) >> 32 else _class32(ids.astype(np.uint32))
+    best = np.full(n, 15, np.uint8)
+    power, widest = 1, small  # of each run of ``power`` values
     for s in range(14, -1, -1):
-        if COUNT[s] > n:
-            continue
-        wide = np.r_[0, np.cumsum(ids >> np.uint64(WIDTH[s]) != 0)]
-        fits = wide[COUNT[s] :] == wide[: n - COUNT[s] + 1]
-        best[: len(fits)][fits] = s
-    steps = COUNT[best].tolist()
+        count = int(COUNT[s])
+        if count > n:
+            break
+        while 2 * power <= count:
+            widest = np.maximum(widest[:-power], widest[power:])
+            power *= 2
+        over = count - power
+        reach = np.maximum(widest[: len(widest) - over], widest[over:]) if over else widest
+        np.copyto(best[: len(reach)], s, where=reach <= _CLASS[s])
+    steps = best.tobytes().translate(_STEPS)
     at, starts = 0, []
     while at < n:
         starts.append(at)

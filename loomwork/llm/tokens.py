@@ -2,8 +2,9 @@
 
 Two kinds of pre-tokenizer are known here, and both cut at a lone space between two characters that aren't white space. So
 a text's ids are those of its space-separated chunks in a row, and each distinct chunk goes to the tokenizer once while it
-stays in a worker's cache. A chunk of plain Latin words, marks and newlines falls into words, which go to the model
-directly. Everything else, and every text of another kind of tokenizer, is encoded as a whole.
+stays in a worker's cache. A newline alone between two such characters cuts, too. A plain Latin word, with or without a
+mark after it, goes to the model directly; every other chunk, and every text of another kind of tokenizer, is encoded as a
+whole.
 """
 
 from __future__ import annotations
@@ -12,17 +13,18 @@ import json
 import re
 import sys
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 
-#: Entries of a worker's caches; beyond that it forgets those not used since the last time.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's cache; when it is full, it starts anew: the frequent words are back after a few texts.
+CACHE_ENTRIES = 600_000
 #: White space of any kind beside a space, or a space at an end, moves a pre-token's edge.
 _UNSAFE = re.compile(r" (?:\s|\Z|(?<=\s )|(?<=\A ))")
-#: Letters whose NFC form and lower case are one letter each.
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[{_LATIN}]+[.,;:!?]?(?:\n[{_LATIN}]+[.,;:!?]?)*\Z")
-_PARTS = re.compile(rf"[{_LATIN}]+|[^{_LATIN}]")
+_SPACE = re.compile(r"\s")
+#: Letters whose NFC form and lower case are one letter each; texts of which lower case is the same letter by letter or at once.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_CASELESS = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _cached: dict[str, Encoder] = {}
 
 
@@ -33,25 +35,38 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-_CHARS = _byte_chars()
+_CHARS = "".join(_byte_chars())
 
 
-class _Cache(dict):
-    """Computes what is missing; keeps at most two generations of entries."""
+class _Chunks(dict):
+    """Ids of chunks, computed where missing; ``lead`` is what the vocabulary writes for the space before them."""
 
-    def __init__(self, make):
+    def __init__(self, encoder: Encoder, lead: str, space: str):
         super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        self.encoder, self.lead, self.space = encoder, lead, space
+
+    def __missing__(self, body: str) -> bytes:
+        encoder = self.encoder
+        tail = None
+        if body.isascii() and body.isalpha():
+            ids = encoder.word(self.lead + (body if encoder.kind == "bytes" else body.lower()))
+        elif (tail := encoder.tails.get(body[-1:])) is not None and (word := body[:-1]).isascii() and word.isalpha():
+            ids = self[word] + tail
+        elif "\n" in body:
+            first, *rest = body.split("\n")
+            if not first or not all(rest) or _SPACE.search(first) or any(map(_SPACE.search, rest)):
+                return encoder.whole(self.space + body)
+            return encoder.newline.join([self[first], *map(encoder.heads.__getitem__, rest)])  # seldom the same twice
+        elif tail is not None and _WORD.fullmatch(word):
+            ids = self[word] + tail
+        elif _WORD.fullmatch(body):
+            ids = encoder.word(self.lead + charmap_decode((body if encoder.kind == "bytes" else body.lower()).encode(), "strict", _CHARS)[0])
+        else:
+            ids = encoder.whole(self.space + body)
         if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
+        self[body] = ids
+        return ids
 
 
 class Encoder:
@@ -68,11 +83,11 @@ class Encoder:
             self.kind = _kind(json.load(f))
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.model = self.tokenizer.model
-        self.words = _Cache(self._word)
-        self.led = _Cache(self._led)
-        self.tails = {t: self._whole(t) for t in ".,;:!?"}
-        self.heads = _Cache(self._chunk)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.tails = {t: self.whole(t) for t in ".,;:!?"}
+        self.newline = self.whole("\n") if self.kind == "bytes" else b""
+        self.heads = _Chunks(self, "", "")
+        self.led = _Chunks(self, "Ġ", " ") if self.kind == "bytes" else self.heads
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -80,44 +95,22 @@ class Encoder:
             _cached[path] = cls(path)
         return _cached[path]
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """One pre-token's ids."""
-        if self.kind == "lower":
-            word = word.lower()
-        return self._model("".join([_CHARS[b] for b in word.encode()]))
-
-    def _model(self, shown: str) -> bytes:
-        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+    def word(self, shown: str) -> bytes:
+        """One pre-token's ids, from its bytes as the vocabulary writes them."""
+        ids = array("I", [t.id for t in self.tokenize(shown)])
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
-    def _led(self, body: str) -> bytes:
-        """A chunk after a space; most are an ASCII word, with or without a mark after it."""
-        tail = self.tails.get(body[-1:])
-        word = body if tail is None else body[:-1]
-        if not (word.isascii() and word.isalpha()):
-            return self._chunk(" " + body)
-        if tail is not None:
-            return self.led[word] + tail
-        return self._model("Ġ" + word if self.kind == "bytes" else word.lower())
-
-    def _chunk(self, chunk: str) -> bytes:
-        body = chunk.removeprefix(" ")
-        if not _PLAIN.match(body):
-            return self._whole(chunk)
-        first, *rest = _PARTS.findall(body)
-        if self.kind == "bytes":
-            return b"".join([self.words[chunk[: len(chunk) - len(body)] + first], *map(self.words.__getitem__, rest)])
-        return b"".join([self.words[p] for p in (first, *rest) if p != "\n"])
-
     def ids(self, text: str) -> bytes:
         """The ids of ``encode(text, add_special_tokens=False)``."""
         if self.kind is None or _UNSAFE.search(text) or (self.special is not None and self.special.search(text)):
-            return self._whole(text)
+            return self.whole(text)
+        if self.kind == "lower" and (text.isascii() or not _CASELESS.search(text)):
+            text = text.lower()
         head, *rest = text.split(" ")
         return self.heads[head] + b"".join(map(self.led.__getitem__, rest))
 
