@@ -10,13 +10,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from loomwork.llm.common import new_path
+from loomwork.llm.textkit import release_memory, text_slices
 from loomwork.llm.tokens import Encoder
 
 MAX_LENGTH = 1024
 #: Files whose first numbers may be broadcast: some 200 bytes each.
 BROADCAST_FILES = 200_000
-#: Bytes of ids in an Arrow batch that a worker hands back.
-BATCH_BYTES = 1 << 22
 
 
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -42,20 +41,16 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=schema.names)
 
         for b in batches:
-            rows, held = [], 0
-            kind = b.column(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
-                n, at = len(ids) // 4, 0
-                for length in piece_lengths(n, max_length):
-                    rows.append((doc, at, length, n, ids[4 * at : 4 * (at + length)]))
-                    at += length
-                held += len(ids)
-                if held >= BATCH_BYTES:
-                    yield batch(rows, kind)
-                    rows, held = [], 0
-            if rows:
-                yield batch(rows, kind)
+            for x, y, texts in text_slices(b.column(1)):
+                rows = []
+                for doc, found in zip(b.column(0).slice(x, y - x).to_pylist(), encoder.batch(texts), strict=True):
+                    ids = found + end
+                    n, at = len(ids) // 4, 0
+                    for length in piece_lengths(n, max_length):
+                        rows.append((doc, at, length, n, ids[4 * at : 4 * (at + length)]))
+                        at += length
+                yield batch(rows, b.column(0).type)
+        release_memory()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

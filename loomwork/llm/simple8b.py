@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.common import doc_key, new_path
+from loomwork.llm.textkit import release_memory, text_slices
 from loomwork.llm.tokens import Encoder
 
 #: Values in a word and bits of each, by selector: fixed values of the format.
@@ -79,8 +80,11 @@ def encode(ids: np.ndarray) -> np.ndarray:
     for s in np.unique(chosen):
         if WIDTH[s]:
             which = np.flatnonzero(chosen == s)
-            values = ids[place[which][:, None] + np.arange(COUNT[s])]
-            words[which] |= np.bitwise_or.reduce(values << (np.arange(COUNT[s], dtype=np.uint64) * np.uint64(WIDTH[s])), axis=1)
+            first = place[which]
+            word = words[which]
+            for j in range(COUNT[s]):
+                word |= ids[first + j] << np.uint64(j * WIDTH[s])
+            words[which] = word
     return words
 
 
@@ -162,15 +166,17 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, parti
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(encoder.ids(text.as_py()) + end)
-                docs.append(doc)
-                held += len(ids[-1]) // 4
-                if held >= BLOCK_IDS:
-                    yield flush()
-                    block, first, held, ids, docs = block + 1, first + held, 0, [], []
+            for x, y, texts in text_slices(b.column(1)):
+                for doc, found in zip(b.column(0).slice(x, y - x).to_pylist(), encoder.batch(texts), strict=True):
+                    ids.append(found + end)
+                    docs.append(doc)
+                    held += len(ids[-1]) // 4
+                    if held >= BLOCK_IDS:
+                        yield flush()
+                        block, first, held, ids, docs = block + 1, first + held, 0, [], []
         if docs:
             yield flush()
+        release_memory()
 
     rows.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(path)
 

@@ -1,6 +1,6 @@
 """Words and their hashes for many texts at once, as numpy arrays.
 
-A word is a maximal run of ``[^\\x20\\x09-\\x0D]``. Texts are handled as UTF-8 bytes in slices of a few MB.
+A word is a maximal run of ``[^\\x20\\x09-\\x0D]``. Texts are handled as UTF-8 bytes in slices of half a MB; a longer text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -39,9 +39,12 @@ _powers: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash's base and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, _BASE_INV)]
+    held = SLICE_BYTES + (1 << 16)
+    many = lambda size: [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, _BASE_INV)]
+    if n > held:  # a very long text's are not kept
+        return tuple(many(n))
+    if not _powers:
+        _powers[:] = many(held)
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -52,6 +55,15 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, row after the last, texts) of an Arrow string column, about ``limit`` bytes at a time; see :func:`as_bytes`."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for x, y in _ranges(sizes, limit):
+        yield x, y, as_bytes(column.slice(x, y - x))
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; a worker that waits for its next task would keep it."""
     import ctypes
@@ -67,14 +79,18 @@ def release_memory() -> None:
 
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` bytes together; a longer text stands alone."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    return _ranges(list(map(len, texts)), limit)
+
+
+def _ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > limit:
             yield first, i
-            first, size = i, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts)
+            first, held = i, 0
+        held += n + 1
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 class Words:

@@ -82,17 +82,26 @@ def test_words_and_windows():
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_chunked_tokens_equal_whole_ones(name):
+def test_chunked_tokens_equal_whole_ones(name, monkeypatch):
     from tokenizers import Tokenizer
 
+    from loomwork.llm import tokens
     from loomwork.llm.tokens import Encoder
 
     own, lib = Encoder(tokenizer(name)), Tokenizer.from_file(tokenizer(name))
     rnd = random.Random(5)
     bits = ["a", "B", "é", "́", "'s", " ", "  ", "\n", "\t", "\xa0", "\x1c", "\x85", "1", "23", "%", "<|endoftext|>", "中", "😀", "\r\n", " the", ".", ",", "÷", "İ", "ß", "K"]
     cases = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(3000)] + texts(30)
-    for t in cases:
-        assert np.frombuffer(own.ids(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    cases += [" ".join(cases[i : i + 40]) for i in range(0, 3000, 40)] + ["", "thisisoneverylongwordindeed, " * 3, "Word. " * 200_000 + "end"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in cases]
+    for bits in (21, 7):  # a lexicon that is full again and again
+        monkeypatch.setattr(tokens, "SLOT_BITS", bits)
+        own.lexicon.clear()
+        for a in range(0, len(cases), 1 if bits == 21 else 5):
+            part = cases[a : a + (1 if bits == 21 else 5)]
+            got = [np.frombuffer(x, "<u4").tolist() for x in own.batch([t.encode() for t in part])]
+            assert got == want[a : a + len(part)], repr(part)[:300]
+    assert own.batch([]) == []
 
 
 def test_packing(spark, docs, rows, none):
