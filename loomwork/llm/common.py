@@ -42,6 +42,18 @@ def drop_staged(spark: SparkSession) -> None:
         fs.delete(status.getPath(), True)
 
 
+def hash_sample(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """About ``n`` rows, ``n`` at most, of ``columns``: those of least hash of doc_id and text, over the whole table.
+
+    The hash bounds what each partition hands on, so only about ``n`` rows move, whatever the number of partitions. Rows do
+    not depend on the partitioning unless more than ``n`` pass the bound.
+    """
+    total = docs.count()
+    rate = min(1.0, 1.1 * n / total) if total else 1.0
+    least = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < int(rate * (1 << 32))
+    return docs.filter(least).select(*columns).limit(n)
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 

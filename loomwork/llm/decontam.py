@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.textkit import IS_MARK, Words, as_bytes, mix, slices
+from loomwork.llm.textkit import IS_MARK, Words, as_bytes, mix, release_memory, text_slices
 
 #: Token positions that a seed looks at (1) and ignores (0): fixed values.
 MASKS = ("111111", "1101011001", "10110100111", "110010101011")
@@ -20,6 +20,10 @@ MIN_TOKENS = 12
 MIN_SHARE = 0.75
 #: Benchmark text in one pass over the documents; a larger benchmark takes several passes.
 PART_BYTES = 8 << 20
+#: Hits of seeds that are held at once.
+HITS = 1 << 20
+#: Items of fewer tokens are listed as overlaps, but no document is dropped for one: a word or two prove nothing.
+MIN_ITEM_TOKENS = 5
 _FILTER_BITS = 22
 
 
@@ -97,9 +101,12 @@ def scan(texts: list[bytes], index: Index, min_tokens: int = MIN_TOKENS, min_sha
         where, seeds = where[maybe], seeds[maybe]
         a, b = (np.searchsorted(index.seeds, seeds, side) for side in ("left", "right"))
         n = b - a
-        place = index.places[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        where = np.repeat(where, n)
-        rows.append(np.stack([text_of[where], item_of[place], where - place], axis=1))
+        # one seed may be at many places on both sides: some at a time, and of each text and item every shift once
+        for part in np.array_split(np.arange(len(n)), int(n.sum()) // HITS + 1):
+            m = n[part]
+            place = index.places[np.repeat(a[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            here = np.repeat(where[part], m)
+            rows.append(np.unique(np.stack([text_of[here], item_of[place], here - place], axis=1), axis=0))
     best: dict[tuple[int, int], tuple] = {}
     for text, item, shift in np.unique(np.concatenate(rows), axis=0).tolist() if rows else []:
         first, last = int(index.at[item]), int(index.at[item + 1])
@@ -130,7 +137,9 @@ def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mi
 
     Tokens are runs of letters, digits and non-ASCII characters, A-Z in lower case. An overlap is an aligned run of
     ``min_tokens`` tokens or more (of the whole item, if that is shorter), in which a share of ``min_share`` or more are
-    equal; the longest one of an alignment counts, and an alignment is looked at if it holds a seed. Null and empty texts, and items without tokens, overlap with nothing.
+    equal; the longest one of an alignment counts, and an alignment is looked at if it holds a seed. Null and empty texts, and items without tokens, overlap with nothing. Of several alignments
+    of a document and an item, the one with the longest overlap counts, of these the one with most equal tokens, of these the
+    first by shift. A text over a slice (half a MB) is scanned whole, on its own.
     Repeated rows each give their own. Empty tables give no rows. Other columns play no part.
 
     The benchmark's seeds go to the workers in parts of bounded size, so documents are scanned in place and not shuffled.
@@ -149,18 +158,18 @@ def find_overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mi
 
             kind = to_arrow_type(item)
             for b in batches:
-                texts = as_bytes(b.column(1))
-                found = [(r[0] + x, *r[1:]) for x, y in slices(texts) for r in scan(texts[x:y], held.value, min_tokens, min_share)]
+                found = [(r[0] + x, *r[1:]) for x, _, texts in text_slices(b.column(1)) for r in scan(texts, held.value, min_tokens, min_share)]
                 cols = list(zip(*found, strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array([held.value.ids[i] for i in cols[1]], kind), *(pa.array(c, pa.int64()) for c in cols[2:])], names=schema.names)
+            release_memory()
 
         part = docs.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of ``docs`` without an overlap with any item, with all columns as they are; see :func:`find_overlaps`."""
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE, min_item_tokens: int = MIN_ITEM_TOKENS) -> DataFrame:
+    """The rows of ``docs`` without an overlap with an item of ``min_item_tokens`` tokens or more, with all columns as they are; see :func:`find_overlaps`."""
     schema = docs.schema
     at = [c.lower() for c in docs.columns].index("text")
     for index in indexes(spark, benchmark):
@@ -170,9 +179,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
             import pyarrow as pa
 
             for b in batches:
-                texts = as_bytes(b.column(at))
-                bad = {r[0] + x for x, y in slices(texts) for r in scan(texts[x:y], held.value, min_tokens, min_share)}
-                yield b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+                for x, y, texts in text_slices(b.column(at)):
+                    bad = {r[0] for r in scan(texts, held.value, min_tokens, min_share) if r[2] >= min_item_tokens}
+                    yield b.slice(x, y - x).filter(pa.array([i not in bad for i in range(y - x)], pa.bool_()))
+            release_memory()
 
         docs = docs.mapInArrow(run, schema)
     return docs

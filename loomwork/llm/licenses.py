@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.decontam import tokens
-from loomwork.llm.textkit import Words, as_bytes, mix, slices
+from loomwork.llm.common import hash_sample
+from loomwork.llm.textkit import Words, mix, release_memory, text_slices
 
 #: Names by which notices call each family: fixed values.
 NAMES = {
@@ -190,7 +191,7 @@ def template_pairs() -> list[list[np.ndarray]]:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """A classifier with the paragraphs of at most ``sample_rows`` rows as examples of no licence, but for those like a template."""
-    table = docs.select("text").limit(sample_rows).toArrow()
+    table = hash_sample(docs, ["text"], sample_rows).toArrow()
     lines = [p for t in table.column("text").to_pylist() for p in (t or "").split("\n") if p.strip()]
     known = np.unique(np.concatenate([t for group in template_pairs() for t in group]))
     # a sentence in the middle of a paragraph counts too: a paragraph with over a few pairs of the templates is left out
@@ -216,11 +217,10 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier |
         c: Classifier = held.value
         kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
         for b in batches:
-            texts = as_bytes(b.column(1))
             counts: list[int] = []
             found: list[list[dict]] = []
-            for x, y in slices(texts):
-                lines = [t.split(b"\n") for t in texts[x:y]]
+            for x, y, texts in text_slices(b.column(1)):
+                lines = [t.split(b"\n") for t in texts]
                 flat = [p for ls in lines for p in ls]
                 owner = np.repeat(np.arange(y - x), [len(ls) for ls in lines])
                 number = np.concatenate([np.arange(len(ls)) for ls in lines])
@@ -238,5 +238,6 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier |
                         rows[owner[i]].append({"paragraph": int(number[i]), "family": c.families[family], "probability": round(float(p[i, family]), 6), "similarity": round(near, 6)})
                 found += rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=schema.names)
+        release_memory()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -37,9 +37,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 1
     held = staged(spark, held.filter(F.col("_ld_docs") >= min_docs), "held-lines")
     found = skew_safe_lookup(lines, held, ["_ld_h1", "_ld_h2"], ["_ld_first"], "_ld_n", ["_ld_doc", "_ld_pos"])
     drop = found.filter(F.col("_ld_doc") > F.col("_ld_first")).groupBy("_ld_doc", "_ld_th").agg(F.collect_set("_ld_pos").alias("_ld_drop"))
-    out = docs.withColumns({"_ld_doc": doc_key(), "_ld_th": F.xxhash64(text)}).join(drop, ["_ld_doc", "_ld_th"], "left")
+    # the input's other columns travel in a struct, whatever their names
+    extra = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "text")]
+    held_row = F.struct(*(F.col(f"`{c}`") for c in extra)).alias("_ld_row")
+    out = docs.select(doc_key().alias("_ld_doc"), F.xxhash64(text).alias("_ld_th"), text.alias("_ld_text"), held_row).join(drop, ["_ld_doc", "_ld_th"], "left")
+    text = F.col("_ld_text")
     split = F.split(text, "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_ld_drop"), lambda i: F.get(split, i))
     columns = {"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long"), "text": F.when(F.col("_ld_drop").isNull(), text).otherwise(F.array_join(kept, "\n"))}
-    extra = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "text")]
-    return out.select(*(F.col(f"`{c}`") for c in extra), *(v.alias(k) for k, v in columns.items())).select(*(f"`{c}`" for c in dict.fromkeys([*(c for c in docs.columns if c in extra or c == "text"), "n_lines", "n_dropped"])))
+    return out.select(*(F.col(f"_ld_row.`{c}`") for c in extra), *(v.alias(k) for k, v in columns.items())).select(*(f"`{c}`" for c in dict.fromkeys([*(c for c in docs.columns if c in extra or c == "text"), "n_lines", "n_dropped"])))

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.textkit import IS_SPACE, Words, as_bytes, mix, slices, spans_hash, whole_windows, windows_hash
+from loomwork.llm.common import hash_sample
+from loomwork.llm.textkit import IS_SPACE, Words, as_bytes, mix, release_memory, slices, spans_hash, text_slices, whole_windows, windows_hash
 
-#: Rows on which costs and selectivities are estimated: those of the table's first rows by a hash of the text, at most so many.
+#: Rows on which costs and selectivities are estimated, at most so many: those of least hash of doc_id and text.
 SAMPLE_ROWS = 2000
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
@@ -26,6 +27,7 @@ class Texts:
     def __init__(self, texts: list[bytes]):
         self.texts = texts
         self._words: Words | None = None
+        self._stats: dict[str, np.ndarray] = {}
 
     @property
     def words(self) -> Words:
@@ -33,8 +35,19 @@ class Texts:
             self._words = Words(self.texts)
         return self._words
 
+    def stat(self, name: str) -> np.ndarray:
+        """A statistic of STATS for each text, computed once."""
+        if name not in self._stats:
+            self._stats[name] = STATS[name](self)
+        return self._stats[name]
+
     def take(self, which: np.ndarray) -> Texts:
-        return self if len(which) == len(self.texts) else Texts([self.texts[i] for i in which])
+        """Some of the texts, with the statistics that are known."""
+        if len(which) == len(self.texts):
+            return self
+        out = Texts([self.texts[i] for i in which])
+        out._stats = {k: v[which] for k, v in self._stats.items()}
+        return out
 
 
 def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -104,7 +117,9 @@ def n_real_lines(t: Texts) -> np.ndarray:
     return np.bincount(text[real], minlength=len(t.texts))
 
 
-STATS: dict[str, Callable[[Texts], np.ndarray]] = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+#: What op7 returns comes first.
+BASE_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATS: dict[str, Callable[[Texts], np.ndarray]] = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_real_lines": n_real_lines}
 
 
 @dataclass(frozen=True)
@@ -116,24 +131,24 @@ class Rule:
 
 
 def too_short(t: Texts) -> np.ndarray:
-    return n_words(t) < 50
+    return t.stat("n_words") < 50
 
 
 def too_repetitive(t: Texts) -> np.ndarray:
-    return 100 * n_repeat_words(t) > 50 * n_words(t)
+    return 100 * t.stat("n_repeat_words") > 50 * t.stat("n_words")
 
 
 def too_many_symbols(t: Texts) -> np.ndarray:
-    return 10 * n_symbols(t) > 5 * n_words(t)
+    return 10 * t.stat("n_symbols") > 5 * t.stat("n_words")
 
 
 def odd_words(t: Texts) -> np.ndarray:
-    n, chars = n_words(t), word_chars(t)
+    n, chars = t.stat("n_words"), t.stat("word_chars")
     return (chars < 2 * n) | (chars > 20 * n)
 
 
 def repeated_lines(t: Texts) -> np.ndarray:
-    return 2 * n_dup_lines(t) > n_real_lines(t)
+    return 2 * t.stat("n_dup_lines") > t.stat("n_real_lines")
 
 
 #: The base rules and the cascade's further rules.
@@ -154,12 +169,16 @@ class Estimate:
 
 
 def estimate(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[Estimate]:
-    """Cost (seconds a text) and selectivity of each rule alone, the best rejections per cost first."""
+    """Cost (seconds a text) and selectivity of each rule alone, the best rejections per cost first.
+
+    Cutting a text into words is no rule's cost: the cascade does so before its first rule, whichever that is.
+    """
     out = []
     for rule in rules:
         spent, hit = 0.0, 0
         for a, b in slices(texts):
             t = Texts(texts[a:b])
+            t.words  # noqa: B018
             began = time.perf_counter()
             hit += int(rule.rejects(t).sum())
             spent += time.perf_counter() - began
@@ -169,7 +188,7 @@ def estimate(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[Estima
 
 def fit_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
     """The rules in the order in which the cascade tries them. The order changes costs, never verdicts."""
-    sample = docs.select("text").limit(sample_rows).toArrow().column("text")
+    sample = hash_sample(docs, ["text"], sample_rows).toArrow().column("text")
     texts = [x for chunk in sample.chunks for x in as_bytes(chunk)]
     by_name = {r.name: r for r in rules}
     return tuple(by_name[e.rule] for e in estimate(texts, rules)) if texts else rules
@@ -199,7 +218,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] | None = None, stats: b
     cascade's order, so it may differ between runs where several rules reject a row; whether it is null may not.
     """
     rules = fit_order(docs, sample_rows=sample_rows) if rules is None else rules
-    added = [*(STATS if stats else ()), "rejected_by"]
+    added = [*(BASE_STATS if stats else ()), "rejected_by"]
     docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in added))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(s, T.LongType()) for s in added[:-1]), T.StructField("rejected_by", T.StringType())])
     at = [c.lower() for c in docs.columns].index("text")
@@ -209,20 +228,30 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] | None = None, stats: b
         import pyarrow as pa
 
         for batch in batches:
-            texts = as_bytes(batch.column(at))
             found: list[list] = [[] for _ in added]
-            for a, b in slices(texts):
-                t = Texts(texts[a:b])
+            for _, _, texts in text_slices(batch.column(at)):
+                t = Texts(texts)
                 for k, name in enumerate(added[:-1]):
-                    found[k].append(STATS[name](t))
+                    found[k].append(t.stat(name))
                 found[-1] += cascade(t, rules)
             cols = [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in found[:-1]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols, pa.array(found[-1], pa.string())], names=names)
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their own columns."""
-    out = apply_rules(docs, sample_rows=sample_rows)
-    return out.filter(F.col("rejected_by").isNull()).select(*(f"`{c}`" for c in docs.columns if c.lower() != "rejected_by"))
+    """The rows of ``docs`` that no rule rejects, with their own columns, one called rejected_by among them; see :func:`apply_rules`."""
+    rules = fit_order(docs, sample_rows=sample_rows)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for x, y, texts in text_slices(batch.column(at)):
+                yield batch.slice(x, y - x).filter(pa.array([r is None for r in cascade(Texts(texts), rules)], pa.bool_()))
+        release_memory()
+
+    return docs.mapInArrow(run, docs.schema)

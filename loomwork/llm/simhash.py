@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import components, doc_key, from_doc_key, skew_safe_lookup, staged
-from loomwork.llm.textkit import Words, as_bytes, mix, slices, whole_windows, windows_hash
+from loomwork.llm.textkit import Words, mix, release_memory, slices, text_slices, whole_windows, windows_hash
 
 #: Pigeonhole: a fingerprint falls into distance + EXTRA blocks; a pair within the distance shares EXTRA of them at least.
 EXTRA = 2
@@ -104,9 +104,10 @@ def fingerprints(docs: DataFrame, shingle: int, wide: bool = False) -> DataFrame
         import pyarrow as pa
 
         for b in batches:
-            texts = as_bytes(b.column(3))
-            fps = wide_fingerprints(texts, shingle) if wide else np.array([fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(fps[:, i].view(np.int64)) for i in range(width))], names=names)
+            for x, y, texts in text_slices(b.column(3)):
+                fps = wide_fingerprints(texts, shingle) if wide else np.array([fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 1)
+                yield pa.RecordBatch.from_arrays([*(c.slice(x, y - x) for c in b.columns[:3]), *(pa.array(fps[:, i].copy().view(np.int64)) for i in range(width))], names=names)
+        release_memory()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), "doc_id", text.alias("text"))
@@ -205,10 +206,10 @@ def similar_edges(docs: DataFrame, held: DataFrame, labels: DataFrame, shingle:
         for b in batches:
             # repeated rows have one id
             b = b.take(pa.array(np.sort(np.unique(b.column(1).to_numpy(), return_index=True)[1])))
-            texts = as_bytes(b.column(3))
-            for x, y in slices(texts):
-                sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts[x:y], shingle)]
+            for x, y, texts in text_slices(b.column(3)):
+                sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(x, y - x) for c in b.columns[:3]), pa.array(sets, pa.binary())], names=["label", "id", "words", "sets"])
+        release_memory()
 
     def link(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -231,6 +232,7 @@ def similar_edges(docs: DataFrame, held: DataFrame, labels: DataFrame, shingle:
         found = solve(rows) if len(rows) > 1 else []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        release_memory()
 
     sets = rows.mapInArrow(cut, "label long, id long, words binary, sets binary")
     return sets.repartition("label").sortWithinPartitions("label").mapInArrow(link, "a long, b long")
@@ -270,6 +272,7 @@ def link_sorted(rows: DataFrame, distance: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
         if held is not None and (found := link(*held)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        release_memory()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -351,7 +354,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5)
     best = found.filter(F.col("_k") == F.col("component")).groupBy("component").agg(F.min("_th").alias("_th"))
     keep = best.select(F.col("component").alias("_k"), "_th")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_k": doc_key(), "_th": F.xxhash64(text)}).join(keep, ["_k", "_th"], "left_semi")
+    # the input's columns travel in a struct, whatever their names
+    rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).join(keep, ["_k", "_th"], "left_semi")
     again = found.groupBy("_k", "_th").count().filter("count > 1").limit(1).count()
     rows = rows.dropDuplicates(["_k", "_th"]) if again else rows
-    return rows.select(*(f"`{c}`" for c in docs.columns))
+    return rows.select("_row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.common import doc_key, skew_safe_lookup, staged
-from loomwork.llm.textkit import as_bytes, mix, slices, spans_hash
+from loomwork.llm.textkit import as_bytes, mix, release_memory, spans_hash, text_slices
 
 WINDOW = 400
 GRAM = 32
@@ -183,11 +183,11 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
         import pyarrow as pa
 
         for b in batches:
-            texts = as_bytes(b.column(2))
-            for x, y in slices(texts):
-                u = Units(texts[x:y], window, gram)
+            for x, _, texts in text_slices(b.column(2)):
+                u = Units(texts, window, gram)
                 which = pa.array(u.text + x)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array(u.start), pa.array(u.windows), pa.array(u.anchor.view(np.int64)), pa.array(u.context.view(np.int64))], names=names)
+        release_memory()
 
     names = ["_k", "_th", "start", "windows", "anchor", "context"]
     units = staged(spark, rows.mapInArrow(cut, ", ".join(f"{n} long" for n in names)), "units")
@@ -213,9 +213,8 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
         some, many = (np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).astype(bool) for x in bits.value)
         top = np.uint64(64 - ANCHOR_BITS)
         for b in batches:
-            texts = as_bytes(b.column(2))
-            for x, y in slices(texts):
-                u = Units(texts[x:y], window, gram)
+            for x, _, texts in text_slices(b.column(2)):
+                u = Units(texts, window, gram)
                 if not len(u.text):
                     continue
                 large = many[u.anchor >> top]
@@ -238,6 +237,7 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
                 cols = [b.column(0).take(which), b.column(1).take(which), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(data, pa.binary())]
                 for a in range(0, len(which), step):
                     yield pa.RecordBatch.from_arrays([c.slice(a, step) for c in cols], names=["_k", "_th", "start", "windows", "key", "data"])
+        release_memory()
 
     fetched = rows.mapInArrow(fetch, "_k long, _th long, start long, windows long, key long, data binary")
     has_large = mixed.filter(many_contexts).limit(1).count() > 0
@@ -284,6 +284,7 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
         done += now if len(now) > 1 else []
         if done and (found := solve(done)):
             yield batch(found)
+        release_memory()
 
     out = whole.unionByName(fetched.filter("data IS NOT NULL").repartition("key").sortWithinPartitions("key").mapInArrow(sort, "_k long, _th long, start long, end long"))
     if has_large:
