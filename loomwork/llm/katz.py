@@ -10,11 +10,14 @@ With c the counts in training texts, d the discounts and N the number of trainin
 
 A document's score is a sum over its tokens. Its terms fall apart: log d c(h w) or log P(w) needs what is known of w,
 -log c(h) what is known of h as a token of its own, and log a(h) c(h), for unseen pairs alone, what is known of all pairs
-after h. So tokens are dealt out once, by w, as packed tables of counts; each partition of these gives its share of each
-document's sum, of each context's masses, and the unseen pairs, which then meet their contexts.
-
-Words and pairs with over 1/HEAVY_SHARE of the tokens, whose number is bounded, are dealt out by context and by document
-instead, and their counts are put together on the driver.
+after h. So tokens are dealt out once, to buckets by w: tables of counts of about BUCKET_TOKENS tokens, one in memory at a
+time. Each bucket gives every token's two counts back to its document, its share of each context's masses, and the unseen
+pairs, which then meet their contexts.
+
+Head words, those with over 1/HEAD_SHARE of the tokens, whose number is bounded, are dealt out by pair instead, and pairs with
+over 1/PAIR_SHARE by document; their counts are put together on the driver. A token travels as two bytes for a head word,
+eight for another, the same for its context, and its document, in the order of documents; so its size doesn't depend on the
+number of buckets.
 """
 
 from __future__ import annotations
@@ -27,16 +30,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import HEAVY_SHARE, skew_safe_lookup, staged
-from loomwork.llm.textkit import Words, as_bytes, mix, release_memory, slices
+from loomwork.llm.common import skew_safe_lookup, staged
+from loomwork.llm.textkit import Words, mix, release_memory, text_slices
 
 #: Hashes of the end token and of the context before the first token.
 END, BEGIN = (mix(np.array([x], np.uint64))[0] for x in (0xE0D, 0xB06))
 #: Counts up to this are discounted by Good-Turing.
 K = 5
-#: Tokens that a task packs at once, and tokens of a partition.
-PACK_TOKENS = 1_500_000
-PARTITION_TOKENS = 2_000_000
+#: Tokens that a worker packs at once (with the slice of texts that fills it), and tokens of a bucket.
+FLUSH_TOKENS = 1 << 19
+BUCKET_TOKENS = 1 << 20
+#: Words and pairs with more than such a share of the tokens are dealt out otherwise; so there are fewer of each than this.
+HEAD_SHARE = 1 << 16
+PAIR_SHARE = 1 << 13
+#: Head words are known by a table of their hashes' top bits; of two with equal ones the rarer is no head word.
+_SLOT_BITS = 20
+_TAIL = 0xFFFF
 #: Documents are held out where crc32(doc_id as text) mod FOLDS is 0.
 FOLDS = 10
 #: Size of the bitmap of contexts of unseen pairs, in bits; contexts outside it need no masses.
@@ -93,25 +102,34 @@ def pair_hash(w: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(mix(w) + h)
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    import pickle
+_KINDS = [np.dtype(x) for x in ("u1", "u2", "u4", "u8", "i1", "i2", "i4", "i8", "f8")]
+
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, whole numbers in as few bytes as they fit in; a few bytes more for each array."""
     import zstandard
 
-    small = []
+    out = []
     for a in arrays:
-        if a.dtype.kind in "iu" and a.dtype != np.uint64 and len(a):
-            a = a.astype(np.min_scalar_type(int(a.max()))) if int(a.min()) >= 0 else a
-        small.append(a)
-    return zstandard.ZstdCompressor(3).compress(pickle.dumps(small, 5))
-
+        if a.dtype.kind in "iu":
+            low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+            a = a.astype(next(k for k in _KINDS if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+        elif a.dtype == bool:
+            a = a.view(np.uint8)
+        out += [bytes([_KINDS.index(a.dtype)]), len(a).to_bytes(4, "little"), a.tobytes()]
+    return zstandard.ZstdCompressor(1).compress(b"".join(out))
 
-def _unpack(data: bytes) -> list[np.ndarray]:
-    import pickle
 
+def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 0
+    while at < len(raw):
+        kind, n = _KINDS[raw[at]], int.from_bytes(raw[at + 1 : at + 5], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 5))
+        at += 5 + n * kind.itemsize
+    return out
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -125,52 +143,50 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _pack_tokens(w, h, doc, held, flush: int) -> bytes:
-    """One partition's tokens of one flush: by word, by context, by document, with counts."""
-    order = np.lexsort((doc, h, w))
-    w, h, doc = w[order], h[order], doc[order]
-    each = _groups(w, h, doc)
-    times = np.diff(np.r_[each, len(w)])
-    w, h, doc = w[each], h[each], doc[each]
-    pair = _groups(w, h)
-    word = _groups(w[pair])
-    contexts, which = np.unique(h[pair], return_inverse=True)
-    return _pack([np.array([flush]), w[pair][word], np.diff(np.r_[word, len(pair)]), contexts, which, np.diff(np.r_[pair, len(w)]), doc, times, held])
-
-
-def _open_tokens(blobs: Iterable[bytes]) -> tuple[np.ndarray, ...] | None:
-    """(w, h, flush number in flushes, doc, held, times) over all blobs, sorted by w and h; flushes."""
-    parts, flushes = [], []
-    for data in blobs:
-        flush, words, pairs, contexts, which, docs, doc, times, held = _unpack(data)
-        h = np.repeat(contexts[which], docs)
-        w = np.repeat(np.repeat(words, pairs), docs)
-        doc = doc.astype(np.int32)
-        parts.append((w, h, np.full(len(w), len(flushes), np.int32), doc, held[doc], times.astype(np.int32)))
-        flushes.append(int(flush[0]))
-    if not parts:
-        return None
-    cols = []
-    for k in range(6):  # one column at a time, so that two copies of one are held, not of all
-        cols.append(np.concatenate([p[k] for p in parts]))
-        parts = [(*p[:k], None, *p[k + 1 :]) for p in parts]
-    order = np.lexsort((cols[1], cols[0]))
-    for k in range(6):
-        cols[k] = cols[k][order]
-    return (*cols, np.array(flushes))
+def _in(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether, and where, x lies in the sorted keys."""
+    if not len(sorted_keys):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+    return sorted_keys[at] == x, at
+
+
+def _top(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
 class Heavy:
-    """Hashes of words, and of pairs, that are dealt out otherwise; sorted."""
+    """Hashes of head words, the end among them, and of heavy pairs; sorted. Fewer than HEAD_SHARE and about PAIR_SHARE."""
 
     words: np.ndarray
     pairs: np.ndarray
 
+    @classmethod
+    def of(cls, words: np.ndarray, pairs: np.ndarray) -> Heavy:
+        """``words``: the most frequent first."""
+        words = np.r_[np.array([END]), words[words != END]][: _TAIL - 1]
+        _, first = np.unique(_top(words, _SLOT_BITS), return_index=True)
+        return cls(np.sort(words[first]), np.sort(pairs))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The head word of each slot, and its number."""
+        keys, codes = np.zeros(1 << _SLOT_BITS, np.uint64), np.full(1 << _SLOT_BITS, _TAIL, np.uint16)
+        at = _top(self.words, _SLOT_BITS)
+        keys[at], codes[at] = self.words, np.arange(len(self.words))
+        return keys, codes
+
+
+def _codes(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarray:
+    """Numbers of head words; _TAIL for the others."""
+    keys, codes = table
+    at = _top(words, _SLOT_BITS)
+    return np.where(keys[at] == words, codes[at], np.uint16(_TAIL))
+
 
 @dataclass
 class Model:
-    """What all partitions need to know: fewer than HEAVY_SHARE counts of heavy words and of pairs, and sums over all tokens."""
+    """What all buckets need to know: bounded counts of head words and heavy pairs, and sums over all tokens."""
 
     heavy: Heavy
     word_counts: np.ndarray
@@ -180,133 +196,211 @@ class Model:
     word_discounts: Discounts
     pair_discounts: Discounts
     unknown: float
-    contexts: np.ndarray
+    contexts: bytes
 
-
-def _in(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether, and where, x lies in the sorted keys."""
-    if not len(sorted_keys):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
-    return sorted_keys[at] == x, at
+    def log_word(self, count: np.ndarray) -> np.ndarray:
+        """log10 P(w) from c(w)."""
+        return _log10(np.where(count > 0, self.word_discounts.kept(count) / max(self.tokens, 1), self.unknown))
 
 
 def find_heavy(spark: SparkSession, texts: DataFrame) -> tuple[Heavy, int]:
-    """Words and pairs with over 1/HEAVY_SHARE of the tokens, and the number of tokens. Each is as frequent in some slice of texts, which counts it there."""
+    """Head words and heavy pairs, and the number of tokens.
+
+    Whatever has such a share of all tokens has it in one portion of a worker's tokens at least, and is counted where it has
+    half of it; so it is found, and its count falls short by half the share at most. Others may be taken for heavy, which
+    does no harm.
+    """
+    word_share, pair_share = HEAD_SHARE, PAIR_SHARE
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            w, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = [(0, 0, len(w))]
+            for kind, keys, share in ((1, w, word_share), (2, pair_hash(w, h), pair_share)):
+                keys.sort()
+                first = _groups(keys)
+                counts = np.diff(np.r_[first, len(keys)])
+                often = counts * 2 * share > len(w)
+                rows += [(kind, k, c) for k, c in zip(keys[first[often]].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["kind", "key", "n"])
+
         for b in batches:
-            texts = as_bytes(b.column(0))
-            for x, y in slices(texts):
-                w, h, _ = _token_stream(texts[x:y])
-                rows = [(0, 0, len(w))]
-                for kind, keys in ((1, w), (2, pair_hash(w, h))):
-                    values, counts = np.unique(keys, return_counts=True)
-                    often = counts * HEAVY_SHARE > len(w)
-                    rows += [(kind, k, c) for k, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["kind", "key", "n"])
+            for _, _, texts in text_slices(b.column(0)):
+                held.append(_token_stream(texts)[:2])
+                if sum(len(x[0]) for x in held) >= 2 * FLUSH_TOKENS:
+                    yield out()
+        if held:
+            yield out()
+        release_memory()
 
     counted = staged(spark, texts.select("text").mapInArrow(run, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "heavy")
     total = counted.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
-    often = [(r.kind, r.key) for r in counted.filter((F.col("kind") > 0) & (F.col("n") * HEAVY_SHARE > total)).orderBy(F.desc("n")).limit(2 * HEAVY_SHARE).collect()]
-    return Heavy(*(np.sort(np.array([k for kind, k in often if kind == which], np.int64).view(np.uint64)) for which in (1, 2))), total
+    found = []
+    for kind, share in ((1, word_share), (2, pair_share)):
+        rows = counted.filter((F.col("kind") == kind) & (F.col("n") * 2 * share > total)).orderBy(F.desc("n"), "key").limit(2 * share).select("key").toArrow()
+        found.append(rows.column("key").to_numpy().astype(np.int64).view(np.uint64))
+    return Heavy.of(*found), total
+
 
+def packed_tokens(docs: DataFrame, heavy: Heavy, buckets: int, folds: int) -> DataFrame:
+    """(bucket, task, flush, kind, data), dealt out and sorted by bucket: packed tokens (kind 0) and tables of documents (kind 3).
 
-def packed_tokens(docs: DataFrame, heavy: Heavy, partitions: int, folds: int):
-    """An RDD of (partition, packed tokens or document table), dealt out by partition: the partitioned tables of counts."""
+    A flush is what a worker packs at once; documents are numbered within it.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     held_out = F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
+    names = ["bucket", "task", "flush", "kind", "data"]
+    held_heavy = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        heavy, table = held_heavy.value, held_heavy.value.table()
         task, flush = TaskContext.get().partitionId(), 0
         streams, ids, flags, sizes = [], [], [], []
 
         def out() -> Iterator:
-            nonlocal flush
             w, h, doc = (np.concatenate(c) for c in zip(*streams, strict=True))
+            streams.clear()
             held = np.array(flags, bool)
-            number = task << 24 | flush
-            to = (w >> np.uint64(32)) % np.uint64(partitions)
-            pairs = pair_hash(w, h)
-            big, _ = _in(heavy.words, w)
-            to[big] = (pairs[big] >> np.uint64(32)) % np.uint64(partitions)
-            hot, _ = _in(heavy.pairs, pairs)
-            to[hot] = (mix(doc[hot].astype(np.uint64) + np.uint64(number << 20)) >> np.uint64(32)) % np.uint64(partitions)
-            order = np.argsort(to, kind="stable")
-            w, h, doc = w[order], h[order], doc[order]
-            edge = np.searchsorted(to[order], np.arange(partitions + 1))
-            parts = [k for k in range(partitions) if edge[k + 1] > edge[k]]
-            yield from ((k, 0, _pack_tokens(w[(s := slice(edge[k], edge[k + 1]))], h[s], doc[s], held, number)) for k in parts)
-            table = [np.array([number]), np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), held, np.array(sizes, np.int64)]
-            yield number % partitions, 1, _pack(table)
-            flush += 1
-            for x in (streams, ids, flags, sizes):
+            to = (w >> np.uint64(16)) % np.uint64(buckets)
+            code = _codes(table, w)
+            pairs = pair_hash(w, h) >> np.uint64(16)
+            big = code != _TAIL
+            to[big] = pairs[big] % np.uint64(buckets)
+            hot, _ = _in(heavy.pairs >> np.uint64(16), pairs[big])  # a pair may be heavy only if its word is
+            hot = np.flatnonzero(big)[hot]
+            hot = hot[_in(heavy.pairs, pair_hash(w[hot], h[hot]))[0]]
+            to[hot] = mix(mix(doc[hot].astype(np.uint64) + np.uint64(flush << 32)) + np.uint64(task)) % np.uint64(buckets)
+            order = np.argsort(to.astype(np.int64) * 2 + held[doc], kind="stable")
+            to, w, h, doc, code = (x[order] for x in (to, w, h, doc, code))
+            code_h = _codes(table, h)
+            edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]).tolist()
+            rows = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                s = slice(a, b)
+                n = int((~held[doc[s]]).sum())
+                steps = np.r_[np.diff(doc[a : a + n], prepend=0), np.diff(doc[a + n : b], prepend=0)]
+                rows.append((int(to[a]), 0, pack(np.array([n]), code[s], code_h[s], w[s][code[s] == _TAIL], h[s][code_h[s] == _TAIL], steps)))
+            table_of = pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], bool), held, np.array(sizes, np.int64))
+            rows.append(((task + flush) % buckets, 3, table_of))
+            n = len(rows)
+            cols = list(zip(*rows, strict=True))
+            made = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([task] * n, pa.int32()), pa.array([flush] * n, pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=names)
+            for x in (ids, flags, sizes):
                 x.clear()
-
-        def batch(found: Iterator) -> Iterator:
-            for k, kind, data in found:
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["p", "kind", "data"])
+            for a in range(0, n, 256):
+                yield made.slice(a, 256)
 
         held = 0
         for b in batches:
-            texts = as_bytes(b.column(1))
-            for x, y in slices(texts):
-                w, h, doc = _token_stream(texts[x:y])
+            for x, y, texts in text_slices(b.column(1)):
+                w, h, doc = _token_stream(texts)
                 streams.append((w, h, (doc + len(ids)).astype(np.int32)))
                 sizes += np.bincount(doc, minlength=y - x).tolist()
-                ids += b.column(0)[x:y].to_pylist()
-                flags += b.column(2)[x:y].to_pylist()
+                ids += b.column(0).slice(x, y - x).to_pylist()
+                flags += b.column(2).slice(x, y - x).to_pylist()
                 held += len(w)
-                if held >= PACK_TOKENS:
-                    yield from batch(out())
-                    held = 0
+                if held >= FLUSH_TOKENS:
+                    yield from out()
+                    flush, held = flush + 1, 0
         if ids:
-            yield from batch(out())
+            yield from out()
         release_memory()
 
-    packed = rows.mapInArrow(run, "p int, kind int, data binary")
-    return packed.rdd.map(lambda r: (r[0], (r[1], bytes(r[2])))).partitionBy(partitions, int)
+    packed = rows.mapInArrow(run, "bucket int, task int, flush int, kind int, data binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def _pairs(cols, heavy: Heavy):
-    """Counts in training of one partition: pair starts, pair counts, hot pairs' numbers or -1; word starts in pairs, word counts, heavy words' numbers or -1."""
-    w, h, _, _, held, times, _ = cols
-    pair = _groups(w, h)
-    train = np.add.reduceat(np.where(held, 0, times), pair)
-    hot, hot_at = _in(heavy.pairs, pair_hash(w[pair], h[pair]))
-    word = _groups(w[pair])
-    count = np.add.reduceat(train, word)
-    big, big_at = _in(heavy.words, w[pair][word])
-    return pair, train, np.where(hot, hot_at, -1), word, count, np.where(big, big_at, -1)
+@dataclass
+class Bucket:
+    """The tokens of a bucket, sorted by word and context, and their counts in training texts."""
+
+    w: np.ndarray
+    h: np.ndarray
+    order: np.ndarray
+    pair: np.ndarray
+    train: np.ndarray
+    hot: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    big: np.ndarray
+    blobs: list[tuple[int, int, np.ndarray]]
+
+    @classmethod
+    def of(cls, rows: list, heavy: Heavy) -> Bucket | None:
+        """``rows``: (task, flush, data). pair and word: where each begins; train and count: their counts; hot and big: numbers of heavy ones, or -1."""
+        w, h, train, blobs = [], [], [], []
+        for task, flush, data in rows:
+            n, code_w, code_h, tail_w, tail_h, steps = unpack(data)
+            n = int(n[0])
+            for code, tail, out in ((code_w, tail_w, w), (code_h, tail_h, h)):
+                code = code.astype(np.int64)
+                words = heavy.words[np.minimum(code, len(heavy.words) - 1)]
+                words[code == _TAIL] = tail
+                out.append(words)
+            train.append(np.arange(len(code_w)) < n)
+            steps = steps.astype(np.int64)
+            blobs.append((task, flush, np.r_[np.cumsum(steps[:n]), np.cumsum(steps[n:])].astype(np.int32)))
+        w, h, train = (np.concatenate(x) for x in (w, h, train))
+        order = np.lexsort((h, w))
+        w, h, train = w[order], h[order], train[order]
+        pair = _groups(w, h)
+        in_train = np.add.reduceat(train, pair, dtype=np.int64)
+        word = _groups(w[pair])
+        count = np.add.reduceat(in_train, word)
+        big, big_at = _in(heavy.words, w[pair][word])
+        big = np.where(big, big_at, -1)
+        hot = np.full(len(pair), -1)
+        may = np.flatnonzero(np.repeat(big >= 0, np.diff(np.r_[word, len(pair)])))
+        found, hot_at = _in(heavy.pairs, pair_hash(w[pair[may]], h[pair[may]]))
+        hot[may[found]] = hot_at[found]
+        return cls(w, h, order, pair, in_train, hot, word, count, big, blobs)
+
+
+def _buckets(part: Iterable, heavy: Heavy) -> Iterator[Bucket | tuple]:
+    """The buckets of a sorted partition, one after the other; tables of documents as they are."""
+    now, rows = None, []
+    for bucket, task, flush, kind, data in part:
+        if kind:
+            yield task, flush, bytes(data)
+            continue
+        if bucket != now and rows:
+            yield Bucket.of(rows, heavy)
+            rows = []
+        now = bucket
+        rows.append((task, flush, bytes(data)))
+    if rows:
+        yield Bucket.of(rows, heavy)
 
 
 def _statistics(part: Iterable, heavy: Heavy) -> Iterator:
-    """One partition's share: counts of counts of words and pairs, tokens, training texts, heavy counts, contexts of unseen pairs."""
-    blobs = [v for _, (kind, v) in part if kind == 0]
-    cols = _open_tokens(blobs)
-    contexts = np.zeros(1 << CONTEXT_BITS - 3, np.uint8)
-    if cols is None:
-        return
-    pair, train, hot, word, count, big = _pairs(cols, heavy)
-    of = [np.bincount(np.minimum(x, K + 2), minlength=K + 3) for x in (count[big < 0], train[hot < 0])]
-    words = np.bincount(big[big >= 0], count[big >= 0], minlength=len(heavy.words)).astype(np.int64)
-    pairs = np.bincount(hot[hot >= 0], train[hot >= 0], minlength=len(heavy.pairs)).astype(np.int64)
-    unseen = cols[1][pair][train == 0]
-    bits = np.zeros(1 << CONTEXT_BITS, bool)
-    bits[unseen >> np.uint64(64 - CONTEXT_BITS)] = True
-    contexts |= np.packbits(bits)
-    start = cols[1][pair] == BEGIN
-    out = np.array(of), np.array([int(count.sum()), int(train[start].sum())]), words, pairs, zlib.compress(contexts.tobytes(), 1)
-    del cols, blobs
+    """One partition's share: counts of counts of words and pairs, tokens and training texts, heavy counts, contexts of unseen pairs."""
+    of, sums = np.zeros((2, K + 3), np.int64), np.zeros(2, np.int64)
+    words, pairs = np.zeros(len(heavy.words), np.int64), np.zeros(len(heavy.pairs), np.int64)
+    bits, some = np.zeros(1 << CONTEXT_BITS, bool), False
+    for b in _buckets(part, heavy):
+        if isinstance(b, tuple):
+            continue
+        some = True
+        of += [np.bincount(np.minimum(x, K + 2), minlength=K + 3) for x in (b.count[b.big < 0], b.train[b.hot < 0])]
+        words += np.bincount(b.big[b.big >= 0], b.count[b.big >= 0], minlength=len(words)).astype(np.int64)
+        pairs += np.bincount(b.hot[b.hot >= 0], b.train[b.hot >= 0], minlength=len(pairs)).astype(np.int64)
+        # a heavy pair may be unseen here and seen elsewhere: its context is asked for without need then
+        bits[_top(b.h[b.pair][b.train == 0], CONTEXT_BITS)] = True
+        sums += int(b.count.sum()), int(b.train[b.h[b.pair] == BEGIN].sum())
+        del b
     release_memory()
-    yield out
+    if some:
+        yield of, sums, words, pairs, zlib.compress(np.packbits(bits).tobytes(), 1)
 
 
 def _merge(a, b):
@@ -319,98 +413,118 @@ def _log10(x):
         return np.log10(x)
 
 
+def _references(counts: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Twice the count, or twice the number of a heavy one and 1."""
+    return np.where(heavy >= 0, 2 * heavy + 1, 2 * counts)
+
+
+def _resolved(references: np.ndarray, heavy_counts: np.ndarray) -> np.ndarray:
+    references = references.astype(np.int64)
+    if not len(heavy_counts):
+        return references >> 1
+    return np.where(references & 1, heavy_counts[np.minimum(references >> 1, len(heavy_counts) - 1)], references >> 1)
+
+
 def _score(part: Iterable, model: Model) -> Iterator:
-    """One partition's share of scores, as (kind, flush, packed columns): 0 documents of one flush, 1 contexts, 2 unseen pairs, 3 document tables."""
-    blobs = []
-    for _, (kind, data) in part:
-        if kind:
-            number, ids, null, held, sizes = _unpack(data)
-            yield 3, 0, _pack([np.full(len(ids), number[0]), np.arange(len(ids)), ids, null, held, sizes])
-        else:
-            blobs.append(data)
-    cols = _open_tokens(blobs)
-    if cols is None:
-        return
-    w, h, flush, doc, _, times, flushes = cols
-    pair, train, hot, word, count, big = _pairs(cols, model.heavy)
-    here = train
-    train = np.where(hot >= 0, model.pair_counts[hot] if len(model.pair_counts) else 0, train)
-    count = np.where(big >= 0, model.word_counts[big] if len(model.word_counts) else 0, count)
-    n, words_n = model.tokens, np.diff(np.r_[word, len(pair)])
-    prob = np.where(count > 0, model.word_discounts.kept(count) / max(n, 1), model.unknown)
-    count_p, prob_p = np.repeat(count, words_n), np.repeat(prob, words_n)
-    is_end = w[pair] == END
-    base = _log10((count_p + 0.1) / (n + 0.1 * (model.types + 1)))
-    term = np.where(train > 0, _log10(model.pair_discounts.kept(np.maximum(train, 1))), _log10(prob_p))
-    term -= np.where(is_end | (count_p == 0), 0, _log10(np.maximum(count_p, 1)))
-    entries = np.diff(np.r_[pair, len(w)])
-    key = flushes[flush].astype(np.int64) << np.int64(24) | doc
-    order = np.argsort(key, kind="stable")
-    first = _groups(key[order])
-    keys, times_by = key[order][first], times[order]
-    sums = []
-    for x in (term, base, (count_p > 0).astype(np.int32)):
-        each = np.repeat(x, entries)[order]
-        each *= times_by
-        sums.append(np.add.reduceat(each, first))
-        del each
-    of = keys >> np.int64(24)
-    edge = np.r_[_groups(of), len(of)]
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield 0, int(of[a]), _pack([keys[a:b] & np.int64((1 << 24) - 1), *(x[a:b] for x in sums)])
-    del order, times_by, sums, keys, of
-    # of a hot pair each partition gives that share of its masses which it holds of its count
-    share = np.where(hot >= 0, here / np.maximum(train, 1), 1.0)
+    """One partition's share of scores, as (kind, task, flush, packed columns): 0 counts of tokens, 1 contexts, 2 unseen pairs, 3 tables of documents."""
     told = np.unpackbits(np.frombuffer(zlib.decompress(model.contexts), np.uint8)).astype(bool)
-    asked = (train > 0) & told[h[pair] >> np.uint64(64 - CONTEXT_BITS)]
-    ctx, which = np.unique(h[pair][asked], return_inverse=True)
-    c, share = train[asked], share[asked]
-    yield 1, 0, _pack([ctx.view(np.int64), np.bincount(which, share * (c - model.pair_discounts.kept(c)), minlength=len(ctx)), np.bincount(which, share * prob_p[asked], minlength=len(ctx))])
-    miss = np.repeat(train == 0, entries)
-    yield 2, 0, _pack([key[miss], h[miss].view(np.int64), times[miss]])
-    del cols, w, h, flush, doc, key, miss
+    for b in _buckets(part, model.heavy):
+        if isinstance(b, tuple):
+            yield 3, *b
+            continue
+        entries = np.diff(np.r_[b.pair, len(b.w)])
+        pairs_n = np.diff(np.r_[b.word, len(b.pair)])
+        back = np.empty(len(b.w), np.int64)
+        back[b.order] = np.repeat(np.arange(len(b.pair)), entries)  # each token's pair, in the order of the blobs
+        pair_ref, word_ref = _references(b.train, b.hot), np.repeat(_references(b.count, b.big), pairs_n)
+        train, count = _resolved(pair_ref, model.pair_counts), _resolved(word_ref, model.word_counts)
+        h = b.h[b.pair]
+        at = 0
+        for task, flush, doc in b.blobs:
+            pair = back[at : at + len(doc)]
+            at += len(doc)
+            yield 0, task, flush, pack(np.diff(doc, prepend=0), pair_ref[pair], word_ref[pair])
+            miss = np.flatnonzero(train[pair] == 0)
+            if len(miss):
+                yield 2, task, flush, pack(doc[miss], h[pair[miss]].view(np.int64))
+        # of a heavy pair each bucket gives that share of its masses which it holds of its count
+        share = np.where(b.hot >= 0, b.train / np.maximum(train, 1), 1.0)
+        asked = np.flatnonzero((train > 0) & told[_top(h, CONTEXT_BITS)])
+        context, which = np.unique(h[asked], return_inverse=True)
+        c, share = train[asked], share[asked]
+        mass = model.word_discounts.kept(count[asked]) / max(model.tokens, 1)
+        yield 1, 0, 0, pack(context.view(np.int64), np.bincount(which, share * (c - model.pair_discounts.kept(c)), minlength=len(context)), np.bincount(which, share * mass, minlength=len(context)))
+        del b, back, h
     release_memory()
 
 
-_SHAPES = {1: "context long, freed double, mass double", 2: "doc long, context long, times long", 3: "flush long, at long, doc_id long, no_id boolean, held_out boolean, n_tokens long"}
+def _contexts(packed: DataFrame) -> DataFrame:
+    """(context, freed, mass) of each bucket."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _open_kind(packed: DataFrame, kind: int) -> DataFrame:
-    shape = _SHAPES[kind]
+        for b in batches:
+            for data in b.column(0):
+                cols = unpack(data.as_py())
+                kinds = (pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)], names=["context", "freed", "mass"])
+
+    return packed.filter("kind = 1").select("data").mapInArrow(run, "context long, freed double, mass double")
+
+
+def _unseen(packed: DataFrame) -> DataFrame:
+    """(task, flush, doc, context, times) of the unseen pairs."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-        fields = [x.split() for x in shape.split(", ")]
         for b in batches:
-            for data in b.column(0):
-                cols = _unpack(data.as_py())
-                for a in range(0, len(cols[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)].astype(t.to_pandas_dtype())) for c, t in zip(cols, (kinds[f[1]] for f in fields), strict=True)], names=[f[0] for f in fields])
+            for task, flush, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                doc, context = unpack(data.as_py())
+                n = len(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, flush, np.int32)), pa.array(doc.astype(np.int32)), pa.array(context.astype(np.int64))], names=["task", "flush", "doc", "context"])
 
-    return packed.filter(F.col("kind") == kind).select("data").mapInArrow(run, shape)
+    return packed.filter("kind = 2").select("task", "flush", "data").mapInArrow(run, "task int, flush int, doc int, context long")
 
 
-def _document_sums(packed: DataFrame) -> DataFrame:
-    """(doc, score, base, known): the partitions' shares of each document added up, a flush at a time.
+def _document_sums(packed: DataFrame, model) -> DataFrame:
+    """(task, flush, doc, doc_id, no_id, held_out, n_tokens, score, base, known): the tokens of each document added up, a flush at a time.
 
-    A flush has a bounded number of tokens, so its shares are bounded too, whatever the number of partitions.
+    A flush has a bounded number of tokens, and each comes back once, whatever the number of buckets.
     """
+    shape = "task int, flush int, doc int, doc_id long, no_id boolean, held_out boolean, n_tokens long, score double, base double, known long"
+    names = [x.split()[0] for x in shape.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        m: Model = model.value
+        end = int(np.searchsorted(m.heavy.words, END))
         for b in batches:
-            for flush, parts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                cols = [_unpack(x) for x in parts.as_py()]
-                size = 1 + max(int(c[0].max()) for c in cols)
-                doc = np.concatenate([c[0] for c in cols]).astype(np.int64)
-                sums = [np.bincount(doc, np.concatenate([c[k] for c in cols]), size) for k in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size) | flush << 24), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["doc", "score", "base", "known"])
+            for task, flush, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                parts = parts.as_py()
+                ids, null, held, sizes = unpack(next(p["data"] for p in parts if p["kind"] == 3))
+                n = len(ids)
+                score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+                for p in parts:
+                    if p["kind"]:
+                        continue
+                    doc, pair, word = unpack(p["data"])
+                    doc = np.cumsum(doc.astype(np.int64))
+                    is_end = word == 2 * end + 1
+                    pair, word = _resolved(pair, m.pair_counts), _resolved(word, m.word_counts)
+                    term = np.where(pair > 0, _log10(m.pair_discounts.kept(np.maximum(pair, 1))), m.log_word(word))
+                    term -= np.where(is_end | (word == 0), 0, _log10(np.maximum(word, 1)))
+                    score += np.bincount(doc, term, n)
+                    base += np.bincount(doc, _log10((word + 0.1) / (m.tokens + 0.1 * (m.types + 1))), n)
+                    known += np.bincount(doc[word > 0], minlength=n)
+                cols = [np.full(n, task, np.int32), np.full(n, flush, np.int32), np.arange(n, dtype=np.int32), ids.astype(np.int64), null.astype(bool), held.astype(bool), sizes.astype(np.int64), score, base, known.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+        release_memory()
 
-    shares = packed.filter("kind = 0").groupBy("flush").agg(F.collect_list("data").alias("data"))
-    return shares.mapInArrow(run, "doc long, score double, base double, known long")
+    shares = packed.filter("kind IN (0, 3)").groupBy("task", "flush").agg(F.collect_list(F.struct("kind", "data")).alias("parts"))
+    return shares.select("task", "flush", "parts").mapInArrow(run, shape)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -419,13 +533,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, folds: int = FOLDS) ->
     The model learns from rows whose crc32(doc_id as text) mod ``folds`` is not 0; a null doc_id is one of them. Tokens are
     words with A-Z in lower case, then one end. base_score: additive smoothing of single tokens. A null or empty text is the
     end alone. Repeated rows each count and come back. An empty table gives no rows; if every row is held out, all words are
-    unknown and score comes from the unknown class alone. Other columns play no part.
+    unknown and score comes from the unknown class alone. A very long text is tokenised whole: a worker then holds its tokens,
+    some 60 bytes for each of its bytes. Other columns play no part.
     """
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     heavy, total = find_heavy(spark, texts)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_TOKENS))
-    tables = packed_tokens(docs, heavy, partitions, folds)
-    found = tables.mapPartitions(lambda part: _statistics(part, heavy))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
+    tables = packed_tokens(docs, heavy, buckets, folds).rdd  # one exchange, read twice
+    first = spark.sparkContext.broadcast(heavy)
+    found = tables.mapPartitions(lambda part: _statistics(part, first.value))
     none = (np.zeros((2, K + 3), np.int64), np.zeros(2, np.int64), np.zeros(len(heavy.words), np.int64), np.zeros(len(heavy.pairs), np.int64), zlib.compress(bytes(1 << CONTEXT_BITS - 3)))
     of, sums, words, pairs, contexts = found.treeAggregate(none, _merge, _merge, 2) if total else none
     of, tokens, begin = of.copy(), int(sums[0]), int(sums[1])
@@ -436,18 +552,16 @@ def score_documents(spark: SparkSession, docs: DataFrame, folds: int = FOLDS) ->
     small = np.arange(K + 1)
     kept = float((unigram.kept(small) * of[0][: K + 1]).sum()) + tokens - int((small * of[0][: K + 1]).sum()) - unigram.tail * int(of[0][K + 1 :].sum())
     unknown = 1 - kept / tokens if tokens else 1.0
-    model = Model(heavy, words, pairs, tokens, types, unigram, bigram, unknown, contexts)
-    held = spark.sparkContext.broadcast(model)
-    packed = staged(spark, spark.createDataFrame(tables.mapPartitions(lambda part: _score(part, held.value)), "kind int, flush long, data binary"), "scores")
-    sums = _document_sums(packed)
-    asked = _open_kind(packed, 2)
-    masses = _open_kind(packed, 1).groupBy("context").agg(F.sum("freed").alias("freed"), F.sum("mass").alias("mass"))
+    model = spark.sparkContext.broadcast(Model(heavy, words, pairs, tokens, types, unigram, bigram, unknown, contexts))
+    packed = staged(spark, spark.createDataFrame(tables.mapPartitions(lambda part: _score(part, model.value)), "kind int, task int, flush int, data binary"), "scores")
+    asked = _unseen(packed)
+    masses = _contexts(packed).groupBy("context").agg(F.sum("freed").alias("freed"), F.sum("mass").alias("mass"))
     masses = masses.select("context", F.log10(F.col("freed") / (1 - F.col("mass"))).alias("backoff")).join(asked.groupBy("context").agg(F.count("*").alias("_n")), "context")
     masses = staged(spark, masses, "backoff")
-    backed = skew_safe_lookup(asked, masses, ["context"], ["backoff"], "_n", ["doc"])
-    backed = backed.groupBy("doc").agg(F.sum(F.col("times") * F.coalesce("backoff", F.lit(0.0))).alias("backoff"))
-    table = _open_kind(packed, 3).withColumn("doc", F.shiftleft("flush", 24).bitwiseOR(F.col("at")))
+    doc = ["task", "flush", "doc"]
+    backed = skew_safe_lookup(asked, masses, ["context"], ["backoff"], "_n", doc)
+    backed = backed.groupBy(*doc).agg(F.sum(F.coalesce("backoff", F.lit(0.0))).alias("backoff"))
     start = float(np.log10(begin)) if begin else 0.0
-    out = table.join(sums, "doc").join(backed, "doc", "left")
+    out = _document_sums(packed, model).join(backed, doc, "left")
     score = F.col("score") + F.coalesce("backoff", F.lit(0.0)) - F.lit(start)
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))

@@ -247,11 +247,14 @@ def katz_by_hand(rows, folds=10):
     return out
 
 
-@pytest.mark.parametrize("share", [1024, 8])
-def test_katz(spark, docs, rows, none, share, monkeypatch):
+@pytest.mark.parametrize(("head", "pair", "flush", "bucket"), [(1 << 16, 1 << 13, 1 << 19, 1 << 20), (8, 8, 100, 60), (16, 1 << 13, 1, 1 << 20)])
+def test_katz(spark, docs, rows, none, head, pair, flush, bucket, monkeypatch):
     from loomwork.llm import katz
 
-    monkeypatch.setattr(katz, "HEAVY_SHARE", share)
+    for name, value in (("HEAD_SHARE", head), ("PAIR_SHARE", pair), ("FLUSH_TOKENS", flush), ("BUCKET_TOKENS", bucket)):
+        monkeypatch.setattr(katz, name, value)
+    if flush == 1:  # every slice of texts is a flush
+        monkeypatch.setattr("loomwork.llm.textkit.text_slices.__defaults__", (200,))
     want = sorted(katz_by_hand(rows), key=repr)
     got = collected(katz.score_documents(spark, docs))
     assert [r[:5] for r in got] == [r[:5] for r in want]
@@ -259,6 +262,14 @@ def test_katz(spark, docs, rows, none, share, monkeypatch):
     assert katz.score_documents(spark, none).count() == 0
 
 
+def test_packed_arrays_come_back():
+    from loomwork.llm.katz import pack, unpack
+
+    arrays = [np.array([], np.int64), np.array([-1, 1 << 40]), np.array([(1 << 64) - 1, 0], np.uint64), np.array([0.5, -2.0]), np.array([True, False]), np.array([255, 0]), np.array([-128, 127])]
+    back = unpack(pack(*arrays))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, back, strict=True))
+
+
 def test_katz_beats_single_tokens_on_held_out_texts(spark):
     from loomwork.llm.katz import score_documents
 
