@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
+#: Used only where the session names no spark.checkpoint.dir and runs on one machine, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/loomwork"
 #: A key that holds more than 1/HEAVY_SHARE of all rows is heavy; so there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 1024
 #: A document without an id counts as one with the largest id.
 NULL_ID = (1 << 63) - 1
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share. Without one, a session on one machine has LOCAL_SHARED_DIR."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or LOCAL_SHARED_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, below that of this application."""
+    path = f"{shared_dir(spark)}/loomwork-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -33,13 +43,27 @@ def staged(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[st
     return spark.read.schema(schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What :func:`new_path` hands out inside is deleted at the end: write results elsewhere before."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[mark:]:
+            delete(spark, path)
+        del _made[mark:]
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Delete every table that :func:`staged` left in the shared folder; call it when no result is read any more."""
-    jvm, root = spark._jvm, shared_dir(spark)
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/loomwork-*")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(path) or []:
-        fs.delete(status.getPath(), True)
+    """Delete every folder that this application made in the shared one; call it when no result is read any more."""
+    delete(spark, f"{shared_dir(spark)}/loomwork-{spark.sparkContext.applicationId}")
+    _made.clear()
 
 
 def hash_sample(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
