@@ -39,7 +39,7 @@ END, BEGIN = (mix(np.array([x], np.uint64))[0] for x in (0xE0D, 0xB06))
 K = 5
 #: Tokens that a worker packs at once (with the slice of texts that fills it), and tokens of a bucket.
 FLUSH_TOKENS = 1 << 19
-BUCKET_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 19
 #: Words and pairs with more than such a share of the tokens are dealt out otherwise; so there are fewer of each than this.
 HEAD_SHARE = 1 << 16
 PAIR_SHARE = 1 << 13
@@ -106,29 +106,38 @@ _KINDS = [np.dtype(x) for x in ("u1", "u2", "u4", "u8", "i1", "i2", "i4", "i8",
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, whole numbers in as few bytes as they fit in; a few bytes more for each array."""
+    """Arrays as bytes: whole numbers in as few bytes as they fit in, and of several bytes each place on its own, compressed where that helps."""
     import zstandard
 
-    out = []
+    squeeze, out = zstandard.ZstdCompressor(1).compress, []
     for a in arrays:
         if a.dtype.kind in "iu":
             low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
             a = a.astype(next(k for k in _KINDS if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
         elif a.dtype == bool:
             a = a.view(np.uint8)
-        out += [bytes([_KINDS.index(a.dtype)]), len(a).to_bytes(4, "little"), a.tobytes()]
-    return zstandard.ZstdCompressor(1).compress(b"".join(out))
+        out.append(bytes([_KINDS.index(a.dtype)]) + len(a).to_bytes(4, "little"))
+        for place in np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T:
+            raw = place.tobytes()
+            small = squeeze(raw) if len(raw) > 48 else raw
+            out.append(len(small).to_bytes(4, "little") + small if len(small) < len(raw) else b"\0\0\0\0" + raw)
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    out, at = [], 0
-    while at < len(raw):
-        kind, n = _KINDS[raw[at]], int.from_bytes(raw[at + 1 : at + 5], "little")
-        out.append(np.frombuffer(raw, kind, n, at + 5))
-        at += 5 + n * kind.itemsize
+    open_up, out, at = zstandard.ZstdDecompressor().decompress, [], 0
+    while at < len(data):
+        kind, n = _KINDS[data[at]], int.from_bytes(data[at + 1 : at + 5], "little")
+        at += 5
+        made = np.empty((n, kind.itemsize), np.uint8)
+        for k in range(kind.itemsize):
+            size = int.from_bytes(data[at : at + 4], "little")
+            raw = open_up(data[at + 4 : at + 4 + size]) if size else data[at + 4 : at + 4 + n]
+            made[:, k] = np.frombuffer(raw, np.uint8, n)
+            at += 4 + (size or n)
+        out.append(made.reshape(-1).view(kind))
     return out
 
 
@@ -157,17 +166,16 @@ def _top(x: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Heavy:
-    """Hashes of head words, the end among them, and of heavy pairs; sorted. Fewer than HEAD_SHARE and about PAIR_SHARE."""
+    """Hashes of head words, the most frequent first and the end before them; hashes of heavy pairs, sorted. Fewer than HEAD_SHARE and about PAIR_SHARE."""
 
     words: np.ndarray
     pairs: np.ndarray
 
     @classmethod
     def of(cls, words: np.ndarray, pairs: np.ndarray) -> Heavy:
-        """``words``: the most frequent first."""
         words = np.r_[np.array([END]), words[words != END]][: _TAIL - 1]
         _, first = np.unique(_top(words, _SLOT_BITS), return_index=True)
-        return cls(np.sort(words[first]), np.sort(pairs))
+        return cls(words[np.sort(first)], np.sort(pairs))
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """The head word of each slot, and its number."""
@@ -232,7 +240,7 @@ def find_heavy(spark: SparkSession, texts: DataFrame) -> tuple[Heavy, int]:
         for b in batches:
             for _, _, texts in text_slices(b.column(0)):
                 held.append(_token_stream(texts)[:2])
-                if sum(len(x[0]) for x in held) >= 2 * FLUSH_TOKENS:
+                if sum(len(x[0]) for x in held) >= FLUSH_TOKENS:
                     yield out()
         if held:
             yield out()
@@ -336,7 +344,7 @@ class Bucket:
     blobs: list[tuple[int, int, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list, heavy: Heavy) -> Bucket | None:
+    def of(cls, rows: list, heavy: Heavy, table: tuple[np.ndarray, np.ndarray]) -> Bucket:
         """``rows``: (task, flush, data). pair and word: where each begins; train and count: their counts; hot and big: numbers of heavy ones, or -1."""
         w, h, train, blobs = [], [], [], []
         for task, flush, data in rows:
@@ -350,15 +358,17 @@ class Bucket:
             train.append(np.arange(len(code_w)) < n)
             steps = steps.astype(np.int64)
             blobs.append((task, flush, np.r_[np.cumsum(steps[:n]), np.cumsum(steps[n:])].astype(np.int32)))
-        w, h, train = (np.concatenate(x) for x in (w, h, train))
-        order = np.lexsort((h, w))
-        w, h, train = w[order], h[order], train[order]
+        w, h, train = np.concatenate(w), np.concatenate(h), np.concatenate(train)
+        order = np.lexsort((h, w)).astype(np.int32)
+        w = w[order]
+        h = h[order]
+        train = train[order]
         pair = _groups(w, h)
         in_train = np.add.reduceat(train, pair, dtype=np.int64)
         word = _groups(w[pair])
         count = np.add.reduceat(in_train, word)
-        big, big_at = _in(heavy.words, w[pair][word])
-        big = np.where(big, big_at, -1)
+        big = _codes(table, w[pair][word]).astype(np.int64)
+        big[big == _TAIL] = -1
         hot = np.full(len(pair), -1)
         may = np.flatnonzero(np.repeat(big >= 0, np.diff(np.r_[word, len(pair)])))
         found, hot_at = _in(heavy.pairs, pair_hash(w[pair[may]], h[pair[may]]))
@@ -368,18 +378,18 @@ class Bucket:
 
 def _buckets(part: Iterable, heavy: Heavy) -> Iterator[Bucket | tuple]:
     """The buckets of a sorted partition, one after the other; tables of documents as they are."""
-    now, rows = None, []
+    now, rows, table = None, [], heavy.table()
     for bucket, task, flush, kind, data in part:
         if kind:
             yield task, flush, bytes(data)
             continue
         if bucket != now and rows:
-            yield Bucket.of(rows, heavy)
+            yield Bucket.of(rows, heavy, table)
             rows = []
         now = bucket
         rows.append((task, flush, bytes(data)))
     if rows:
-        yield Bucket.of(rows, heavy)
+        yield Bucket.of(rows, heavy, table)
 
 
 def _statistics(part: Iterable, heavy: Heavy) -> Iterator:
@@ -434,7 +444,7 @@ def _score(part: Iterable, model: Model) -> Iterator:
             continue
         entries = np.diff(np.r_[b.pair, len(b.w)])
         pairs_n = np.diff(np.r_[b.word, len(b.pair)])
-        back = np.empty(len(b.w), np.int64)
+        back = np.empty(len(b.w), np.int32)
         back[b.order] = np.repeat(np.arange(len(b.pair)), entries)  # each token's pair, in the order of the blobs
         pair_ref, word_ref = _references(b.train, b.hot), np.repeat(_references(b.count, b.big), pairs_n)
         train, count = _resolved(pair_ref, model.pair_counts), _resolved(word_ref, model.word_counts)
@@ -500,7 +510,6 @@ def _document_sums(packed: DataFrame, model) -> DataFrame:
         import pyarrow as pa
 
         m: Model = model.value
-        end = int(np.searchsorted(m.heavy.words, END))
         for b in batches:
             for task, flush, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 parts = parts.as_py()
@@ -512,7 +521,7 @@ def _document_sums(packed: DataFrame, model) -> DataFrame:
                         continue
                     doc, pair, word = unpack(p["data"])
                     doc = np.cumsum(doc.astype(np.int64))
-                    is_end = word == 2 * end + 1
+                    is_end = word == 1  # the first head word
                     pair, word = _resolved(pair, m.pair_counts), _resolved(word, m.word_counts)
                     term = np.where(pair > 0, _log10(m.pair_discounts.kept(np.maximum(pair, 1))), m.log_word(word))
                     term -= np.where(is_end | (word == 0), 0, _log10(np.maximum(word, 1)))
