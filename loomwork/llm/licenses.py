@@ -26,8 +26,12 @@ NAMES = {
     "ISC": ["ISC License", "ISC licence"],
     "CC-BY": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC-BY-4.0"],
     "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC BY-SA 4.0", "CC-BY-SA-4.0"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0"],
+    "CC-BY-ND": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0", "CC-BY-ND-4.0"],
+    "EPL-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL-2.0"],
+    "Zlib": ["zlib License", "zlib/libpng License"],
     "CC0": ["CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication", "CC0-1.0"],
-    "Unlicense": ["Unlicense", "The Unlicense"],
+    "Unlicense": ["Unlicense"],
     "All-rights-reserved": [],
 }
 #: Sentences that notices put a name in: fixed values.
@@ -49,32 +53,53 @@ SENTENCES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "CC-BY": ["This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"],
     "CC-BY-SA": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/"],
+    "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/"],
+    "CC-BY-ND": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nd/4.0/"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
     "CC0": ["the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "All-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved.", "No part of this publication may be reproduced without prior written permission.", "Proprietary and confidential. All rights reserved."],
 }
 UNKNOWN = "unknown"
-#: Hashed features, and rows of the corpus (first rows of the table) whose paragraphs serve as examples of no licence.
+#: Hashed features, and rows of the corpus (those of least hash) whose paragraphs serve as examples of no licence, at most so many.
 FEATURE_BITS = 16
 SAMPLE_ROWS = 400
 SAMPLE_LINES = 1500
-#: Share of a notice's word pairs that a template must hold, or the paragraph of a template's.
+#: Share of a template's word pairs that a paragraph must hold; all of them where the template has no more than FEW_PAIRS.
 CONFIRM = 0.5
+FEW_PAIRS = 3
+#: Words of a window, and words from one to the next, in which a longer paragraph is classified.
+WINDOW_WORDS = 24
+WINDOW_STEP = 12
 #: Of paragraphs without a licence at most so many may pass the calibrated threshold.
-FALSE_SHARE = 0.0005
+FALSE_SHARE = 0.01
+#: The threshold goes no higher: templates confirm what passes.
+MAX_THRESHOLD = 0.9
 
 
-def templates() -> dict[str, list[str]]:
-    return {f: SENTENCES[f] + [n.format(name) for n in NOTICES for name in NAMES[f]] for f in NAMES}
+def templates() -> dict[str, list[tuple[str, str]]]:
+    """Of each family the templates, each with the name that a notice must hold whole (none in the licences' own sentences)."""
+    return {f: [(t, "") for t in SENTENCES[f]] + [(n.format(name), name) for n in NOTICES for name in NAMES[f]] for f in NAMES}
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(feature numbers, text numbers) of all words and word pairs of the texts."""
-    hashes, text = words.hashes(), words.text_of()
-    same = text[1:] == text[:-1]
-    pairs = mix(mix(hashes[:-1]) + hashes[1:])[same]
-    keys = np.concatenate([hashes, pairs]) >> np.uint64(64 - FEATURE_BITS)
-    return keys.astype(np.int64), np.concatenate([text, text[:-1][same] if len(text) else text])
+    """Feature numbers of each word, and of each word with the next."""
+    hashes = words.hashes()
+    number = lambda x: (x >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+    return number(hashes), number(mix(mix(hashes[:-1]) + hashes[1:]))
+
+
+def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, word after the last) of each window: a text with words whole, if it is no longer than a window and a step, else in overlapping ones."""
+    first, last = words.at[:-1], words.at[1:]
+    size = last - first
+    count = np.where(size <= WINDOW_WORDS + WINDOW_STEP, (size > 0).astype(np.int64), -(-(size - WINDOW_WORDS) // WINDOW_STEP) + 1)
+    text = np.repeat(np.arange(len(size)), count)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = first[text] + step * WINDOW_STEP
+    whole = count[text] == 1
+    return text, begin, np.where(whole, last[text], np.minimum(begin + WINDOW_WORDS, last[text]))
 
 
 @dataclass
@@ -86,28 +111,31 @@ class Classifier:
     bias: np.ndarray
     temperature: float
     threshold: float
-    pairs: list[list[np.ndarray]]
-
-    def logits(self, words: Words, n: int) -> np.ndarray:
-        keys, text = features(words)
-        out = np.tile(self.bias.astype(np.float64), (n, 1))
-        order = np.argsort(text, kind="stable")
-        keys, text = keys[order], text[order]
-        size = np.bincount(text, minlength=n)
-        some = np.flatnonzero(size)
-        if len(some):
-            first = np.cumsum(size[some]) - size[some]
-            sums = np.add.reduceat(self.weights[keys], first, axis=0)
-            out[some] += sums / np.sqrt(size[some])[:, None]
-        return out
-
-    def probabilities(self, words: Words, n: int) -> np.ndarray:
-        return softmax(self.logits(words, n) / self.temperature)
+    templates: list[list[tuple[np.ndarray, np.ndarray]]]
+    known: np.ndarray
+
+    def probabilities(self, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each run of words the classes' probabilities."""
+        total = np.zeros((len(first), len(self.bias)))
+        for keys, end in zip(features(words), (last, last - 1), strict=True):  # words, and pairs that lie in the run
+            sums = np.zeros((len(keys) + 1, len(self.bias)))
+            np.cumsum(self.weights[keys], axis=0, out=sums[1:], dtype=np.float64)
+            total += sums[end] - sums[first]
+        total = total / np.sqrt(2 * (last - first) - 1)[:, None] + self.bias
+        return softmax(total / self.temperature)
 
     def similarity(self, hashes: np.ndarray, family: int) -> float:
-        """The best template's share of word pairs in common, of the shorter one's pairs."""
-        mine = word_pairs(hashes)
-        return max((len(np.intersect1d(mine, t)) / min(len(mine), len(t)) for t in self.pairs[family] if len(t) and len(mine)), default=0.0)
+        """The largest share of a template's word pairs that the paragraph holds, or of a long template's sentence the share of the paragraph's; 0 without the template's name."""
+        mine, best = word_pairs(hashes), 0.0
+        for pairs, name in self.templates[family]:
+            both = len(np.intersect1d(mine, pairs))
+            if both < min(len(pairs), FEW_PAIRS) or not np.isin(name, hashes).all():
+                continue
+            share = both / len(pairs)
+            if not len(name) and both >= 2 * FEW_PAIRS:  # a part of a licence's own sentence
+                share = max(share, both / len(mine))
+            best = max(best, share)
+        return best
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -115,97 +143,117 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(negatives: list[str], seed: int = 7) -> tuple[list[str], np.ndarray]:
-    """Texts and classes: templates whole, with words before and after from the corpus, and with words left out; and paragraphs of the corpus."""
+def examples(negatives: list[str], seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, classes, and which are held out for calibration: templates whole, with words before and after from the corpus, and with words left out; and paragraphs of the corpus.
+
+    Every fifth template of a family is held out with all its variants, so calibration sees templates that the fit did not.
+    """
     rnd = np.random.default_rng(seed)
     pool = [w for p in negatives[:2000] for w in p.split()] or ["word"]
     some = lambda n: " ".join(pool[i] for i in rnd.integers(0, len(pool), n))
-    texts, classes = [], []
-    for c, (_, group) in enumerate(templates().items()):
-        for t in group:
+    texts, classes, rest = [], [], []
+    for c, group in enumerate(templates().values()):
+        for k, (t, _) in enumerate(group):
             words = t.split()
             cut = [w for w in words if rnd.random() > 0.1]
-            for v in (t, f"{some(4)} {t}", f"{t} {some(4)}", " ".join(cut) or t, t.lower()):
+            for v in (t, f"{some(4)} {t}", f"{t} {some(4)}", f"{some(9)} {t} {some(9)}", f"{some(18)} {t}", " ".join(cut) or t, t.lower()):
                 texts.append(v)
                 classes.append(c)
+                rest.append(k % 5 == 3)
     n = len(NAMES)
     # words of notices in other company are no licence
-    spare = [w for group in templates().values() for t in group for w in t.split()]
-    texts += negatives + [f"{some(6)} {spare[i]} {some(6)}" for i in rnd.integers(0, len(spare), 800)]
+    spare = [t.split() for group in templates().values() for t, _ in group]
+    for i in rnd.integers(0, len(spare), 800):
+        k = int(rnd.integers(0, max(1, len(spare[i]) - 1)))
+        texts.append(f"{some(6)} {' '.join(spare[i][k : k + 2])} {some(6)}")
+    texts += negatives
     classes += [n] * (len(texts) - len(classes))
-    return texts, np.array(classes)
+    rest += (rnd.random(len(texts) - len(rest)) < 0.2).tolist()
+    return texts, np.array(classes), np.array(rest)
 
 
 def train(negatives: list[str], rounds: int = 60, rate: float = 2.0, decay: float = 1e-5, seed: int = 7) -> Classifier:
-    """Fit on four fifths of the examples; temperature and threshold are set on the rest."""
-    texts, classes = examples(negatives, seed)
+    """Temperature and threshold are set on held-out examples by a fit without them; the weights are then fitted on all."""
+    texts, classes, rest = examples(negatives, seed)
     words = tokens([t.encode() for t in texts])
-    keys, text = features(words)
+    single, double = features(words)
+    text = words.text_of()
+    inner = text[1:] == text[:-1]
+    keys, text = np.concatenate([single, double[inner]]), np.concatenate([text, text[:-1][inner]])
     n, k = len(texts), len(NAMES) + 1
-    size = np.maximum(np.bincount(text, minlength=n), 1)
-    value = 1 / np.sqrt(size)[text]
-    rest = np.random.default_rng(seed).random(n) < 0.2
-    use = ~rest[text]
-    weights, bias = np.zeros((1 << FEATURE_BITS, k)), np.zeros(k)
+    used, at = np.unique(keys, return_inverse=True)
+    value = 1 / np.sqrt(np.maximum(np.bincount(text, minlength=n), 1))[text]
     target = np.eye(k)[classes]
-    used = np.unique(keys)
-    at = np.searchsorted(used, keys)
-    small, grown = np.zeros((len(used), k)), np.full((len(used), k), 1e-8)
-    share = 1 / np.bincount(classes, minlength=k)[classes]
-    share = share / share[~rest].sum()
-
-    by_text, by_key = np.argsort(text, kind="stable"), np.flatnonzero(use)[np.argsort(at[use], kind="stable")]
+    by_text = np.argsort(text, kind="stable")
     some, first = np.unique(text[by_text], return_index=True)
-    hit, begin = np.unique(at[by_key], return_index=True)
 
-    def sums() -> np.ndarray:
+    def sums(small: np.ndarray, bias: np.ndarray) -> np.ndarray:
         out = np.tile(bias, (n, 1))
         out[some] += np.add.reduceat(small[at[by_text]] * value[by_text, None], first, axis=0)
         return out
 
-    for _ in range(rounds):
-        error = (softmax(sums()) - target) * share[:, None]
-        step = np.zeros_like(small)
-        step[hit] = np.add.reduceat(error[text[by_key]] * value[by_key, None], begin, axis=0)
-        step += decay * small
-        grown += step**2
-        small -= rate * step / np.sqrt(grown) * 0.1
-        bias -= rate * error[~rest].sum(axis=0)
-    weights[used] = small
-    z = sums()[rest]
-    truth = classes[rest]
+    def fitted(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small, grown, bias = np.zeros((len(used), k)), np.full((len(used), k), 1e-8), np.zeros(k)
+        share = np.where(use, 1 / np.maximum(np.bincount(classes[use], minlength=k), 1)[classes], 0)
+        share = share / share.sum()
+        mine = np.flatnonzero(use[text])
+        by_key = mine[np.argsort(at[mine], kind="stable")]
+        hit, begin = np.unique(at[by_key], return_index=True)
+        for _ in range(rounds):
+            error = (softmax(sums(small, bias)) - target) * share[:, None]
+            step = decay * small
+            step[hit] += np.add.reduceat(error[text[by_key]] * value[by_key, None], begin, axis=0)
+            grown += step**2
+            small -= rate * step / np.sqrt(grown) * 0.1
+            bias = bias - rate * error.sum(axis=0)
+        return small, bias
+
+    z, truth = sums(*fitted(~rest))[rest], classes[rest]
     temperature = min(np.geomspace(0.1, 3, 30), key=lambda t: -np.log(softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean())
     p = softmax(z / temperature)
     wrong = np.sort(1 - p[truth == k - 1, -1])
     threshold = max(0.5, float(wrong[int(len(wrong) * (1 - FALSE_SHARE))]) + 1e-6 if len(wrong) else 0.5)
-    return Classifier(list(NAMES), weights.astype(np.float32), bias, float(temperature), min(threshold, 0.99), template_pairs())
+    small, bias = fitted(np.ones(n, bool))
+    weights = np.zeros((1 << FEATURE_BITS, k), np.float32)
+    weights[used] = small
+    return Classifier(list(NAMES), weights, bias, float(temperature), min(threshold, MAX_THRESHOLD), template_hashes(), known_pairs())
 
 
 def word_pairs(hashes: np.ndarray) -> np.ndarray:
     return np.unique(mix(mix(hashes[:-1]) + hashes[1:])) if len(hashes) > 1 else np.unique(hashes)
 
 
-def template_pairs() -> list[list[np.ndarray]]:
-    return [[word_pairs(tokens([t.encode()]).hashes()) for t in group] for group in templates().values()]
+def template_hashes() -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each family's templates the word pairs, and the words of the name."""
+    of = lambda t: tokens([t.encode()]).hashes()
+    return [[(word_pairs(of(t)), np.unique(of(name))) for t, name in group] for group in templates().values()]
+
+
+def known_pairs() -> np.ndarray:
+    """The word pairs of all templates."""
+    return np.unique(np.concatenate([pairs for group in template_hashes() for pairs, _ in group]))
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """A classifier with the paragraphs of at most ``sample_rows`` rows as examples of no licence, but for those like a template."""
     table = hash_sample(docs, ["text"], sample_rows).toArrow()
     lines = [p for t in table.column("text").to_pylist() for p in (t or "").split("\n") if p.strip()]
-    known = np.unique(np.concatenate([t for group in template_pairs() for t in group]))
+    known = known_pairs()
     # a sentence in the middle of a paragraph counts too: a paragraph with over a few pairs of the templates is left out
     lines = [p for p in lines if np.isin(word_pairs(tokens([p.encode()]).hashes()), known).sum() < 2]
-    return train([p[:1000] for p in lines[:SAMPLE_LINES]])
+    return train(lines[:SAMPLE_LINES])
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier | None = None, confirm: float = CONFIRM) -> DataFrame:
     """(doc_id, n_paragraphs, found) of each row; found lists (paragraph, family, probability, similarity), in order.
 
-    Paragraphs are the lines with a word, counted from 0 over all lines. A paragraph is of the family that the classifier
-    gives the most probability, if all families together reach the calibrated threshold and a template of that family shares
-    ``confirm`` of the word pairs; else it is unknown and not listed. A null or empty text has no paragraphs. Repeated rows
-    all come back. An empty table gives no rows (and a classifier without the corpus's examples). Other columns play no part.
+    Paragraphs are the lines with a word, counted from 0 over all lines; a long one is classified in overlapping windows, and
+    the window with the least probability of no licence stands for it. If all families together reach the calibrated
+    threshold there, the paragraph is of the most probable family that a template confirms: the paragraph holds ``confirm``
+    of its word pairs and the whole name (see :meth:`Classifier.similarity`). A paragraph that no template confirms is listed
+    as unknown if it holds FEW_PAIRS pairs of any templates. A null or empty text has no paragraphs. Repeated rows all come back. An empty table gives no rows (and a
+    classifier without the corpus's examples). The fit takes rows by hash, so it depends on the rows, not on their order.
+    Other columns play no part.
     """
     held = spark.sparkContext.broadcast(classifier or fit(docs))
     one = T.StructType([T.StructField("paragraph", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("similarity", T.DoubleType())])
@@ -228,14 +276,24 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier |
                 real = np.fromiter((bool(p.strip()) for p in flat), bool, len(flat))
                 counts += np.bincount(owner[real], minlength=y - x).tolist()
                 rows: list[list[dict]] = [[] for _ in range(y - x)]
-                p = c.probabilities(words, len(flat))
+                where, first, last = windows(words)
+                p = c.probabilities(words, first, last)
+                order = np.lexsort((p[:, -1], where))
+                best = order[np.flatnonzero(np.diff(where[order], prepend=-1))]
                 hashes = None
-                for i in np.flatnonzero((1 - p[:, -1] >= c.threshold) & (np.diff(words.at) > 0)).tolist():
+                for k in best[1 - p[best, -1] >= c.threshold].tolist():
+                    i = int(where[k])
                     hashes = words.hashes() if hashes is None else hashes
-                    family = int(np.argmax(p[i, :-1]))
-                    near = c.similarity(hashes[words.at[i] : words.at[i + 1]], family)
-                    if near >= confirm:
-                        rows[owner[i]].append({"paragraph": int(number[i]), "family": c.families[family], "probability": round(float(p[i, family]), 6), "similarity": round(near, 6)})
+                    mine = hashes[words.at[i] : words.at[i + 1]]
+                    for family in np.argsort(-p[k, :-1], kind="stable")[:3].tolist():
+                        near = c.similarity(mine, family)
+                        if near >= confirm:
+                            break
+                    else:
+                        family, near = -1, 0.0
+                        if np.isin(word_pairs(mine), c.known).sum() < FEW_PAIRS:
+                            continue
+                    rows[owner[i]].append({"paragraph": int(number[i]), "family": UNKNOWN if family < 0 else c.families[family], "probability": round(float(p[k, family] if family >= 0 else 1 - p[k, -1]), 6), "similarity": round(near, 6)})
                 found += rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=schema.names)
         release_memory()

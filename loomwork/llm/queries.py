@@ -80,16 +80,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.suffix import drop_repeats
 
     out = drop_repeats(spark, documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence paragraphs of each document."""
-    from loomwork.llm.licenses import scan_licenses
+    """Licence paragraphs of each document, and those that no template confirms."""
+    from loomwork.llm.licenses import UNKNOWN, scan_licenses
 
     out = scan_licenses(spark, documents(spark, sf_dir))
-    families = F.array_sort(F.array_distinct("found.family"))
-    return out.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_license_paragraphs"), families.alias("families"), "found")
+    sure = F.filter("found", lambda x: x["family"] != UNKNOWN)
+    families = F.array_sort(F.array_distinct(sure["family"]))
+    n_sure = F.size(sure).cast("long")
+    return out.select("doc_id", "n_paragraphs", n_sure.alias("n_license_paragraphs"), (F.size("found") - n_sure).alias("n_unknown_paragraphs"), families.alias("families"), "found")
 
 
 def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,18 +80,34 @@ def rebalanced_map(old: DataFrame, slots: DataFrame, n_shards: int) -> DataFrame
     return dealt.select(F.inline("map")).select(F.lit(now + 1).alias("version"), "virtual_slot", "shard")
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataFrame:
-    """Every row of ``docs`` with its shard: doc_id, size, text_crc32, virtual_slot, shard, slot (its place in the shard).
+def next_map(spark: SparkSession, docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, versions: DataFrame | None = None) -> DataFrame:
+    """All versions of the map, the next one for the bytes of ``docs`` among them, as a stored table.
 
-    Size is the text's UTF-8 bytes plus 1; a null text has none and crc32 0. Shards differ in bytes by little more than the
-    smallest slot, unless one slot alone exceeds a share. Repeated rows and rows without an id each get a place of their
-    own; ties in doc_id within a slot are broken by size and crc32 (equal rows in any order). An empty table gives an empty result.
+    Without ``versions`` (or with an empty one) that is version 1 (:func:`first_map`); else the last one is edited
+    (:func:`rebalanced_map`), so slots move only where a shard has outgrown its share, is new or is gone.
+    """
+    slots = staged(spark, slot_bytes(with_slots(docs, n_slots), n_slots), "slot-bytes")
+    if versions is None or not versions.limit(1).count():
+        return staged(spark, first_map(slots, n_shards), "slot-map")
+    return staged(spark, versions.unionByName(rebalanced_map(versions, slots, n_shards)), "slot-map")
+
+
+def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, versions: DataFrame | None = None) -> DataFrame:
+    """Every row of ``docs`` with its shard: doc_id, size, text_crc32, virtual_slot, version, shard, slot (its place in the shard).
+
+    ``versions``: a map to go by, as :func:`next_map` returns and edits it; its last version holds as it is. None: a first
+    map is made. Size is the text's UTF-8 bytes plus 1; a null text has none and crc32 0. By a new map shards differ in bytes
+    by little more than the smallest slot, unless one slot alone exceeds a share. Repeated rows and rows without an id each
+    get a place of their own; ties in doc_id within a slot are broken by size and crc32 (equal rows in any order). A text of
+    any length is one row; only its size and checksum travel. An empty table gives an empty result.
     Only ids, sizes and checksums are shuffled. The map is stored in the shared folder and joined by broadcast: it has
-    ``n_slots`` rows whatever the input.
+    ``n_slots`` rows a version whatever the input.
     """
     rows = with_slots(docs, n_slots)
-    slots = staged(spark, slot_bytes(rows, n_slots), "slot-bytes")
-    placed = staged(spark, first_map(slots, n_shards), "slot-map").join(slots, "virtual_slot")
+    versions = next_map(spark, docs, n_shards, n_slots) if versions is None else versions
+    now = versions.groupBy().agg(F.max("version")).first()[0]
+    counts = staged(spark, slot_bytes(rows, n_slots), "slot-rows")
+    placed = versions.filter(F.col("version") == now).join(counts, "virtual_slot")
     before = F.sum("rows").over(W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1))
     placed = placed.select("virtual_slot", "shard", "version", F.coalesce(before, F.lit(0)).alias("_first"))
     at = F.row_number().over(W.partitionBy("virtual_slot").orderBy(doc_key(), "size", "text_crc32"))

@@ -353,6 +353,26 @@ def test_sharding(spark, docs, rows, none):
     assert len(a) == len(b) == 64 and two.first().version == 2
     assert sum(a[s] != b[s] for s in a) < 32 and all(b[s] in range(5) for s in b)
 
+    # a stored map goes on: more rows, then one more shard
+    half = docs.filter("doc_id < 40 OR doc_id IS NULL")
+    first = m.next_map(spark, half, 4, 64)
+    grown = m.next_map(spark, docs, 4, 64, first)
+    wider = m.next_map(spark, docs, 5, 64, grown)
+    of = {v: {r.virtual_slot: r.shard for r in wider.filter(f"version = {v}").collect()} for v in (1, 2, 3)}
+    assert wider.count() == 3 * 64 and of[1] == {r.virtual_slot: r.shard for r in first.collect()}
+    load = Counter()
+    for r in m.slot_bytes(m.with_slots(docs, 64), 64).collect():
+        load[of[1][r.virtual_slot]] += r.bytes
+    share = sum(load.values()) / 4
+    moved = [s for s in of[1] if of[1][s] != of[2][s]]
+    assert moved and all(load[of[1][s]] > share for s in moved)  # only out of shards that hold too much
+    by = {v: {(r.doc_id, r.text_crc32): r.shard for r in m.shard_documents(spark, docs, versions=x, n_slots=64).collect()} for v, x in ((2, grown), (3, wider))}
+    sizes = Counter()
+    for r in m.shard_documents(spark, docs, versions=wider, n_slots=64).collect():
+        sizes[r.shard] += r.size
+    assert set(sizes) == set(range(5)) and max(sizes.values()) < 1.2 * min(sizes.values())
+    assert sum(by[2][k] != by[3][k] for k in by[2]) < len(by[2]) / 2
+
 
 def test_quality_cascade(spark, docs, rows, none):
     from loomwork.llm import quality as m
@@ -414,6 +434,7 @@ def test_suffix_array():
 
 
 def test_licenses(spark, none):
+    from loomwork.llm import licenses
     from loomwork.llm.licenses import scan_licenses
 
     plain = [t for t in texts(40, seed=9)]
@@ -427,6 +448,26 @@ def test_licenses(spark, none):
     assert not any(out[i].found for i in [*range(40), 200, 201])
     assert scan_licenses(spark, none).count() == 0
 
+    def holds(text, family):  # by the plain rule: all of a notice's words, or most pairs of a licence's sentence
+        words = re.findall(r"[^\W_]+", text.lower())
+        pairs = set(zip(words, words[1:], strict=False))
+        for t, name in licenses.templates()[family]:
+            w, n = (re.findall(r"[^\W_]+", x.lower()) for x in (t, name))
+            p = set(zip(w, w[1:], strict=False))
+            both = len(p & pairs)
+            if both >= min(len(p), 3) and set(n) <= set(words) and (both / len(p) >= 0.5 or (not n and both >= 6 and both / len(pairs) >= 0.5)):
+                return True
+        return False
+
+    near = ["under the terms", "the work", "The the", "The the ththou.", "All rights of the people.", "terms of the", "this program is free", "Released under the moon.", "Permission is granted to leave.", "Licensed under the Foo License."]
+    inside = " ".join(plain[:3]).replace("\n", " ")
+    real = [("Licensed under CC BY-NC 4.0.", "CC-BY-NC"), (f"{inside} Licensed under the Apache License, Version 2.0. {inside}", "Apache-2.0"), ("Released under the Unlicense.", "Unlicense"), ("Licensed under the MIT License.", "MIT")]
+    got = [r.found for r in scan_licenses(spark, spark.createDataFrame([(i, t, "en", "s", 1, 1, "k", 2) for i, t in enumerate([*near, *(t for t, _ in real)])], SCHEMA), licenses.fit(df)).orderBy("doc_id").collect()]
+    for t, found in zip(near, got, strict=False):
+        assert all(f.family == licenses.UNKNOWN for f in found) and not any(holds(t, f) for f in licenses.NAMES), t
+    for (t, family), found in zip(real, got[len(near) :], strict=True):
+        assert [f.family for f in found] == [family] and holds(t, family), (t[:60], found)
+
 
 def test_simple8b(spark, docs, rows, none):
     from tokenizers import Tokenizer
