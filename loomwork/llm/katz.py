@@ -14,8 +14,8 @@ after h. So tokens are dealt out once, to buckets by w: tables of counts of abou
 time. Each bucket gives every token's two counts back to its document, its share of each context's masses, and the unseen
 pairs, which then meet their contexts.
 
-Head words, those with over 1/HEAD_SHARE of the tokens, whose number is bounded, are dealt out by pair instead, and pairs with
-over 1/PAIR_SHARE by document; their counts are put together on the driver. A token travels as two bytes for a head word,
+Head words, the HEAD_WORDS most frequent, are dealt out by pair instead, and pairs with over 1/PAIR_SHARE of the tokens by
+document; their counts are put together on the driver, and the backoff weights of head words are broadcast. A token travels as two bytes for a head word,
 eight for another, the same for its context, and its document, in the order of documents; so its size doesn't depend on the
 number of buckets.
 """
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import skew_safe_lookup, staged
+from loomwork.llm.common import staged
 from loomwork.llm.textkit import Words, mix, release_memory, text_slices
 
 #: Hashes of the end token and of the context before the first token.
@@ -40,9 +40,11 @@ K = 5
 #: Tokens that a worker packs at once (with the slice of texts that fills it), and tokens of a bucket.
 FLUSH_TOKENS = 1 << 19
 BUCKET_TOKENS = 1 << 19
-#: Words and pairs with more than such a share of the tokens are dealt out otherwise; so there are fewer of each than this.
-HEAD_SHARE = 1 << 16
+#: Head words, at most so many; pairs with more than such a share of the tokens are heavy, about so many at most.
+HEAD_WORDS = 0xFFFE
 PAIR_SHARE = 1 << 13
+#: A word is counted for the choice of head words where it has such a share of what a worker holds.
+WORD_SHARE = 1 << 17
 #: Head words are known by a table of their hashes' top bits; of two with equal ones the rarer is no head word.
 _SLOT_BITS = 20
 _TAIL = 0xFFFF
@@ -166,14 +168,14 @@ def _top(x: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Heavy:
-    """Hashes of head words, the most frequent first and the end before them; hashes of heavy pairs, sorted. Fewer than HEAD_SHARE and about PAIR_SHARE."""
+    """Hashes of head words, the most frequent first and the two marks before them; hashes of heavy pairs, sorted."""
 
     words: np.ndarray
     pairs: np.ndarray
 
     @classmethod
     def of(cls, words: np.ndarray, pairs: np.ndarray) -> Heavy:
-        words = np.r_[np.array([END]), words[words != END]][: _TAIL - 1]
+        words = np.r_[np.array([END, BEGIN]), words[words != END]][:_TAIL]
         _, first = np.unique(_top(words, _SLOT_BITS), return_index=True)
         return cls(words[np.sort(first)], np.sort(pairs))
 
@@ -218,7 +220,7 @@ def find_heavy(spark: SparkSession, texts: DataFrame) -> tuple[Heavy, int]:
     half of it; so it is found, and its count falls short by half the share at most. Others may be taken for heavy, which
     does no harm.
     """
-    word_share, pair_share = HEAD_SHARE, PAIR_SHARE
+    word_share, pair_share, head_words = WORD_SHARE, PAIR_SHARE, HEAD_WORDS
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -249,8 +251,8 @@ def find_heavy(spark: SparkSession, texts: DataFrame) -> tuple[Heavy, int]:
     counted = staged(spark, texts.select("text").mapInArrow(run, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "heavy")
     total = counted.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     found = []
-    for kind, share in ((1, word_share), (2, pair_share)):
-        rows = counted.filter((F.col("kind") == kind) & (F.col("n") * 2 * share > total)).orderBy(F.desc("n"), "key").limit(2 * share).select("key").toArrow()
+    for kind, least, most in ((1, 0, head_words), (2, total // (2 * pair_share), 2 * pair_share)):
+        rows = counted.filter((F.col("kind") == kind) & (F.col("n") > least)).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
         found.append(rows.column("key").to_numpy().astype(np.int64).view(np.uint64))
     return Heavy.of(*found), total
 
@@ -438,6 +440,7 @@ def _resolved(references: np.ndarray, heavy_counts: np.ndarray) -> np.ndarray:
 def _score(part: Iterable, model: Model) -> Iterator:
     """One partition's share of scores, as (kind, task, flush, packed columns): 0 counts of tokens, 1 contexts, 2 unseen pairs, 3 tables of documents."""
     told = np.unpackbits(np.frombuffer(zlib.decompress(model.contexts), np.uint8)).astype(bool)
+    table = model.heavy.table()
     for b in _buckets(part, model.heavy):
         if isinstance(b, tuple):
             yield 3, *b
@@ -456,20 +459,20 @@ def _score(part: Iterable, model: Model) -> Iterator:
             yield 0, task, flush, pack(np.diff(doc, prepend=0), pair_ref[pair], word_ref[pair])
             miss = np.flatnonzero(train[pair] == 0)
             if len(miss):
-                yield 2, task, flush, pack(doc[miss], h[pair[miss]].view(np.int64))
+                yield 2, task, flush, pack(doc[miss], h[pair[miss]].view(np.int64), _codes(table, h[pair[miss]]) != _TAIL)
         # of a heavy pair each bucket gives that share of its masses which it holds of its count
         share = np.where(b.hot >= 0, b.train / np.maximum(train, 1), 1.0)
         asked = np.flatnonzero((train > 0) & told[_top(h, CONTEXT_BITS)])
         context, which = np.unique(h[asked], return_inverse=True)
         c, share = train[asked], share[asked]
         mass = model.word_discounts.kept(count[asked]) / max(model.tokens, 1)
-        yield 1, 0, 0, pack(context.view(np.int64), np.bincount(which, share * (c - model.pair_discounts.kept(c)), minlength=len(context)), np.bincount(which, share * mass, minlength=len(context)))
+        yield 1, 0, 0, pack(context.view(np.int64), _codes(table, context) != _TAIL, np.bincount(which, share * (c - model.pair_discounts.kept(c)), minlength=len(context)), np.bincount(which, share * mass, minlength=len(context)))
         del b, back, h
     release_memory()
 
 
 def _contexts(packed: DataFrame) -> DataFrame:
-    """(context, freed, mass) of each bucket."""
+    """(context, head, freed, mass) of each bucket."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -477,25 +480,25 @@ def _contexts(packed: DataFrame) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 cols = unpack(data.as_py())
-                kinds = (pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)], names=["context", "freed", "mass"])
+                kinds = (pa.int64(), pa.bool_(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds, strict=True)], names=["context", "head", "freed", "mass"])
 
-    return packed.filter("kind = 1").select("data").mapInArrow(run, "context long, freed double, mass double")
+    return packed.filter("kind = 1").select("data").mapInArrow(run, "context long, head boolean, freed double, mass double")
 
 
 def _unseen(packed: DataFrame) -> DataFrame:
-    """(task, flush, doc, context, times) of the unseen pairs."""
+    """(task, flush, doc, context, head) of the unseen pairs."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             for task, flush, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                doc, context = unpack(data.as_py())
+                doc, context, head = unpack(data.as_py())
                 n = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, flush, np.int32)), pa.array(doc.astype(np.int32)), pa.array(context.astype(np.int64))], names=["task", "flush", "doc", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, flush, np.int32)), pa.array(doc.astype(np.int32)), pa.array(context.astype(np.int64)), pa.array(head.astype(bool))], names=["task", "flush", "doc", "context", "head"])
 
-    return packed.filter("kind = 2").select("task", "flush", "data").mapInArrow(run, "task int, flush int, doc int, context long")
+    return packed.filter("kind = 2").select("task", "flush", "data").mapInArrow(run, "task int, flush int, doc int, context long, head boolean")
 
 
 def _document_sums(packed: DataFrame, model) -> DataFrame:
@@ -563,13 +566,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, folds: int = FOLDS) ->
     unknown = 1 - kept / tokens if tokens else 1.0
     model = spark.sparkContext.broadcast(Model(heavy, words, pairs, tokens, types, unigram, bigram, unknown, contexts))
     packed = staged(spark, spark.createDataFrame(tables.mapPartitions(lambda part: _score(part, model.value)), "kind int, task int, flush int, data binary"), "scores")
-    asked = _unseen(packed)
-    masses = _contexts(packed).groupBy("context").agg(F.sum("freed").alias("freed"), F.sum("mass").alias("mass"))
-    masses = masses.select("context", F.log10(F.col("freed") / (1 - F.col("mass"))).alias("backoff")).join(asked.groupBy("context").agg(F.count("*").alias("_n")), "context")
-    masses = staged(spark, masses, "backoff")
-    doc = ["task", "flush", "doc"]
-    backed = skew_safe_lookup(asked, masses, ["context"], ["backoff"], "_n", doc)
-    backed = backed.groupBy(*doc).agg(F.sum(F.coalesce("backoff", F.lit(0.0))).alias("backoff"))
+    asked, doc = _unseen(packed), ["task", "flush", "doc"]
+    masses = _contexts(packed).groupBy("context", "head").agg(F.sum("freed").alias("freed"), F.sum("mass").alias("mass"))
+    masses = staged(spark, masses.select("context", "head", F.log10(F.col("freed") / (1 - F.col("mass"))).alias("backoff")), "backoff")
+    # of head words there are a bounded number; no other word is frequent enough to be skewed
+    backed = [asked.filter(which).select(*doc, "context").join(side(masses.filter(which).select("context", "backoff")), "context", "left") for which, side in ((F.col("head"), F.broadcast), (~F.col("head"), lambda x: x))]
+    backed = backed[0].unionByName(backed[1]).groupBy(*doc).agg(F.sum(F.coalesce("backoff", F.lit(0.0))).alias("backoff"))
     start = float(np.log10(begin)) if begin else 0.0
     out = _document_sums(packed, model).join(backed, doc, "left")
     score = F.col("score") + F.coalesce("backoff", F.lit(0.0)) - F.lit(start)

@@ -69,6 +69,8 @@ SAMPLE_LINES = 1500
 #: Share of a template's word pairs that a paragraph must hold; all of them where the template has no more than FEW_PAIRS.
 CONFIRM = 0.5
 FEW_PAIRS = 3
+#: Bytes of texts that are classified at once: each word takes a number for each class.
+CUT_BYTES = 1 << 17
 #: Words of a window, and words from one to the next, in which a longer paragraph is classified.
 WINDOW_WORDS = 24
 WINDOW_STEP = 12
@@ -267,7 +269,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier |
         for b in batches:
             counts: list[int] = []
             found: list[list[dict]] = []
-            for x, y, texts in text_slices(b.column(1)):
+            for x, y, texts in text_slices(b.column(1), CUT_BYTES):
                 lines = [t.split(b"\n") for t in texts]
                 flat = [p for ls in lines for p in ls]
                 owner = np.repeat(np.arange(y - x), [len(ls) for ls in lines])
@@ -296,6 +298,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier |
                     rows[owner[i]].append({"paragraph": int(number[i]), "family": UNKNOWN if family < 0 else c.families[family], "probability": round(float(p[k, family] if family >= 0 else 1 - p[k, -1]), 6), "similarity": round(near, 6)})
                 found += rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=schema.names)
-        release_memory()
+            b = None
+            release_memory()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

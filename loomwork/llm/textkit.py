@@ -62,6 +62,7 @@ def text_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, li
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for x, y in _ranges(sizes, limit):
         yield x, y, as_bytes(column.slice(x, y - x))
+    release_memory()
 
 
 def release_memory() -> None:

@@ -247,11 +247,11 @@ def katz_by_hand(rows, folds=10):
     return out
 
 
-@pytest.mark.parametrize(("head", "pair", "flush", "bucket"), [(1 << 16, 1 << 13, 1 << 19, 1 << 20), (8, 8, 100, 60), (16, 1 << 13, 1, 1 << 20)])
+@pytest.mark.parametrize(("head", "pair", "flush", "bucket"), [(0xFFFE, 1 << 13, 1 << 19, 1 << 20), (8, 8, 100, 60), (16, 1 << 13, 1, 1 << 20), (0, 8, 1000, 60)])
 def test_katz(spark, docs, rows, none, head, pair, flush, bucket, monkeypatch):
     from loomwork.llm import katz
 
-    for name, value in (("HEAD_SHARE", head), ("PAIR_SHARE", pair), ("FLUSH_TOKENS", flush), ("BUCKET_TOKENS", bucket)):
+    for name, value in (("HEAD_WORDS", head), ("PAIR_SHARE", pair), ("FLUSH_TOKENS", flush), ("BUCKET_TOKENS", bucket)):
         monkeypatch.setattr(katz, name, value)
     if flush == 1:  # every slice of texts is a flush
         monkeypatch.setattr("loomwork.llm.textkit.text_slices.__defaults__", (200,))
