@@ -440,7 +440,7 @@ def _resolved(references: np.ndarray, heavy_counts: np.ndarray) -> np.ndarray:
 def _score(part: Iterable, model: Model) -> Iterator:
     """One partition's share of scores, as (kind, task, flush, packed columns): 0 counts of tokens, 1 contexts, 2 unseen pairs, 3 tables of documents."""
     told = np.unpackbits(np.frombuffer(zlib.decompress(model.contexts), np.uint8)).astype(bool)
-    table = model.heavy.table()
+    table, heads = model.heavy.table(), np.zeros((2, len(model.heavy.words)))
     for b in _buckets(part, model.heavy):
         if isinstance(b, tuple):
             yield 3, *b
@@ -463,11 +463,19 @@ def _score(part: Iterable, model: Model) -> Iterator:
         # of a heavy pair each bucket gives that share of its masses which it holds of its count
         share = np.where(b.hot >= 0, b.train / np.maximum(train, 1), 1.0)
         asked = np.flatnonzero((train > 0) & told[_top(h, CONTEXT_BITS)])
-        context, which = np.unique(h[asked], return_inverse=True)
-        c, share = train[asked], share[asked]
-        mass = model.word_discounts.kept(count[asked]) / max(model.tokens, 1)
-        yield 1, 0, 0, pack(context.view(np.int64), _codes(table, context) != _TAIL, np.bincount(which, share * (c - model.pair_discounts.kept(c)), minlength=len(context)), np.bincount(which, share * mass, minlength=len(context)))
+        c = train[asked]
+        freed = share[asked] * (c - model.pair_discounts.kept(c))
+        mass = share[asked] * model.word_discounts.kept(count[asked]) / max(model.tokens, 1)
+        head = _codes(table, h[asked])
+        own = head != _TAIL
+        heads[0] += np.bincount(head[own], freed[own], minlength=heads.shape[1])
+        heads[1] += np.bincount(head[own], mass[own], minlength=heads.shape[1])
+        context, which = np.unique(h[asked[~own]], return_inverse=True)
+        yield 1, 0, 0, pack(context.view(np.int64), np.zeros(len(context), bool), *(np.bincount(which, x[~own], minlength=len(context)) for x in (freed, mass)))
         del b, back, h
+    some = np.flatnonzero(heads.any(axis=0))  # the masses of head words, once for all buckets of the partition
+    if len(some):
+        yield 1, 0, 0, pack(model.heavy.words[some].view(np.int64), np.ones(len(some), bool), heads[0, some], heads[1, some])
     release_memory()
 
 
