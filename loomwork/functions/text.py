@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,6 +220,75 @@ def format_generic_sft(instruction: Column | str, target: Column | str) -> Colum
     return F.concat(instruction_prefix(instruction), F.when(t.contains("<think>"), t).otherwise(F.concat(F.lit("<think>\n"), t, F.lit("\n</think>"))), F.lit(CHAT_END))
 
 
+def format_sft(df: DataFrame) -> Column:
+    """The format that the columns ask for: the math one with reasoning and answer, else the generic one."""
+    if {"reasoning", "answer"} <= set(df.columns):
+        return format_math_sft("instruction" if "instruction" in df.columns else "input")
+    return format_generic_sft("instruction" if "instruction" in df.columns else "input", "target" if "target" in df.columns else "output")
+
+
+#: Prompts of the teacher, of the verifier and of a rollout. Their wording.
+COMPRESS_PROMPT = """请压缩下面的数学样本。
+
+要求：
+1. 先判断原始推理是否能支持给定参考答案；如果题面或推理不可修复，status 返回 rejected。
+2. 删除重复计算、自我怀疑、无效尝试、元话语和多次复算。
+3. 保留得到答案所必需的公式、推导与关键论证，不能只给答案。
+4. 最终答案必须严格保持为参考答案，不得自行修改。
+5. reasoning 目标为 600-1500 个 Qwen token，复杂证明可略长，但完整样本必须能进入 2048 token。
+6. reasoning 中不要出现 <think>、<answer> 或 ChatML 标签。
+7. 严格返回：
+{{"status":"accepted|rejected","reasoning":"...","answer":"...","reject_reason":"..."}}
+
+题目：
+{instruction}
+
+原始冗长推理（可能已确定性截取首尾以避免上下文浪费）：
+{reasoning}
+
+已核验参考答案：
+{answer}
+{suffix}"""
+COMPRESS_FEEDBACK = "\n上一次审校反馈：{feedback}\n请据此修正。"
+VERIFY_PROMPT = """请审校下面的压缩数学推理。
+
+检查：
+1. 每个关键步骤是否正确；
+2. 是否遗漏了导致结论无法成立的关键步骤；
+3. 是否真正支持指定参考答案；
+4. 是否存在无根据假设、题面缺失或循环论证；
+5. 是否足够紧凑，且没有大量重复。
+
+严格返回：
+{{"valid":true|false,"supports_answer":true|false,"missing_key_step":true|false,"error":"..."}}
+
+题目：
+{instruction}
+
+压缩推理：
+{reasoning}
+
+指定参考答案：
+{answer}"""
+
+
+def compress_prompt(instruction: Column | str = "instruction", reasoning: Column | str = "reasoning", answer: Column | str = "answer", feedback: Column | str | None = None) -> Column:
+    """The teacher's prompt, with a long reasoning compacted; ``feedback`` of the attempt before, empty or null for none."""
+    said = F.lit("") if feedback is None else F.coalesce(_col(feedback), F.lit(""))
+    suffix = F.when(said == "", F.lit("")).otherwise(fill(COMPRESS_FEEDBACK, feedback=said))
+    return fill(COMPRESS_PROMPT, instruction=instruction, reasoning=compact(reasoning), answer=answer, suffix=suffix)
+
+
+def verify_prompt(instruction: Column | str = "instruction", reasoning: Column | str = "reasoning", answer: Column | str = "answer") -> Column:
+    return fill(VERIFY_PROMPT, instruction=instruction, reasoning=reasoning, answer=answer)
+
+
+def rollout_prompt(question: Column | str, steps: Column, index: Column) -> Column:
+    """An open answer of the steps up to number ``index`` (from 0), to be gone on with."""
+    before = F.array_join(F.transform(F.slice(steps, F.lit(1), index + 1), lambda s: F.concat(s, F.lit("\n\n"))), "")
+    return F.concat(F.lit(f"{CHAT_START}user\n"), _col(question), F.lit(f"{CHAT_END}\n{CHAT_START}assistant\n<think>\n"), before)
+
+
 def step_prompt(question: Column | str, step: Column | str) -> Column:
     """Prompt of the step scorer. Fixed value: its wording."""
     return F.concat(F.lit(f"{CHAT_START}user\n评估以下数学推理步骤的质量。\n\n问题: "), _col(question), F.lit("\n步骤: "), _col(step), F.lit(f"\n{CHAT_END}\n{CHAT_START}assistant\n"))

@@ -15,6 +15,12 @@ def required_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("missing_fields", missing).withColumn("reject_reason", F.when(F.size("missing_fields") > 0, "missing_required_text"))
 
 
+def allowed(df: DataFrame, by: str, allow: list[str] | None = None, deny: list[str] = ()) -> DataFrame:
+    """Rows whose category is in ``allow`` (any, if None) and not in ``deny``; a null one passes only without an allow-list."""
+    out = df if allow is None else df.filter(F.col(by).isin(*allow))
+    return out.filter(F.col(by).isNull() | ~F.col(by).isin(*deny)) if deny else out
+
+
 def max_length(df: DataFrame, tokens: Column, limit: int, name: str = "sft_token_length") -> DataFrame:
     """``df`` with the token length and, unless there is a reason already, too_long where it exceeds the limit."""
     own = F.coalesce("reject_reason", F.when(F.col(name) > limit, F.lit("too_long"))) if "reject_reason" in df.columns else F.when(F.col(name) > limit, F.lit("too_long"))

@@ -77,6 +77,15 @@ def exact_overlap(df: DataFrame, other: DataFrame, key: str, anti: bool = False)
     return df.join(F.broadcast(keys) if small_enough(keys) else keys, key, "left_anti" if anti else "left_semi")
 
 
+def evaluation_signatures(frames: list[DataFrame], text: str, n: int = 5) -> DataFrame:
+    """(signature, text, grams): the different normal forms in all evaluation sets, with their SHA-256 and their n-gram sets."""
+    out = frames[0].select(text)
+    for f in frames[1:]:
+        out = out.unionByName(f.select(text))
+    out = out.groupBy(F.sha2(text, 256).alias("signature")).agg(F.first(text).alias(text))
+    return out.select("signature", text, ngrams(text, n).alias("grams"))
+
+
 def near_duplicates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, threshold: float = 0.85, n: int = 5, ratio: tuple[float, float] = (0.75, 1.33), ordered: bool = False) -> DataFrame:
     """(left_id, right_id, jaccard) of pairs whose n-gram sets have a Jaccard similarity of ``threshold`` or more and whose lengths are in ``ratio``.
 

@@ -133,11 +133,12 @@ def consistency_gate(spark, sf_dir):
     return gates.box_consistency(rows).select("seq", "reasoning_last_box", "finalize_status")
 
 
-@query("control_char_audit", r"""WITH t AS (SELECT doc_id, substr(text, 1, 40) || CASE doc_id % 4 WHEN 0 THEN chr(8) || 'oxed{1}' WHEN 1 THEN chr(12) || 'rac{1}{2}' WHEN 2 THEN chr(7) ELSE '' END AS t FROM documents),
+@query("control_char_audit", r"""WITH p AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN chr(8) || 'oxed{1}' WHEN 1 THEN chr(12) || 'rac{1}{2}' WHEN 2 THEN chr(7) ELSE '' END AS part FROM documents),
+  t AS (SELECT doc_id, part || text || part AS t FROM p),
   u AS (SELECT doc_id, replace(replace(t, chr(8) || 'oxed', '\boxed'), chr(12) || 'rac', '\frac') AS repaired FROM t) SELECT doc_id, repaired, regexp_matches(repaired, '[\x00-\x08\x0b\x0c\x0e-\x1f]') AS unsupported FROM u""")
 def control_char_audit(spark, sf_dir):
     part = F.when(F.col("doc_id") % 4 == 0, "\x08oxed{1}").when(F.col("doc_id") % 4 == 1, "\x0crac{1}{2}").when(F.col("doc_id") % 4 == 2, "\x07").otherwise("")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.substring("text", 1, 40), part).alias("t"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(part, "text", part).alias("t"))
     return rows.select("doc_id", X.repair_control_chars("t").alias("repaired")).withColumn("unsupported", X.has_control_char("repaired"))
 
 
@@ -179,12 +180,27 @@ def _normal(spark, sf_dir, table, key):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, X.normalize_question("text").alias("t"))
 
 
-@query("decontam_exact", f"WITH {NORM_DOCS}, e AS (SELECT t FROM n WHERE doc_id % 7 = 0) SELECT doc_id, t IN (SELECT t FROM e) AS is_duplicate FROM n WHERE doc_id % 7 <> 0")
-def decontam_exact(spark, sf_dir):
-    """Documents against an evaluation set that is every seventh of them."""
+def _evaluation(spark, sf_dir):
+    """The evaluation sets: the benchmark, and the documents that are labelled toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id")
     docs = _normal(spark, sf_dir, "documents", "doc_id")
-    held, rest = docs.filter("doc_id % 7 = 0").select("t").distinct().withColumn("is_duplicate", F.lit(True)), docs.filter("doc_id % 7 <> 0")
-    return rest.join(held, "t", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+    return joins.evaluation_signatures([_normal(spark, sf_dir, "benchmark", "item_id"), docs.join(labels, "doc_id", "left_semi")], "t")
+
+
+EVALUATION = f"{NORM_DOCS}, e AS (SELECT t FROM b UNION SELECT n.t FROM n JOIN labels l ON n.doc_id = l.doc_id WHERE l.toxic = 1)"
+
+
+@query("evaluation_signatures", f"WITH {EVALUATION} SELECT sha256(t) AS signature, length(t) AS n_chars, CASE WHEN length(t) <= 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i::BIGINT, 5)))) END AS n_grams FROM e")
+def evaluation_signatures(spark, sf_dir):
+    return _evaluation(spark, sf_dir).select("signature", F.length("t").alias("n_chars"), F.size("grams").alias("n_grams"))
+
+
+@query("decontam_exact", f"WITH {EVALUATION} SELECT doc_id, t IN (SELECT t FROM e) AS is_duplicate FROM n")
+def decontam_exact(spark, sf_dir):
+    """All documents against the evaluation sets, by digest: texts are not shuffled."""
+    docs = _normal(spark, sf_dir, "documents", "doc_id").select("doc_id", F.sha2("t", 256).alias("signature"))
+    known = _evaluation(spark, sf_dir).select("signature").withColumn("is_duplicate", F.lit(True))
+    return docs.join(known, "signature", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
 
 
 @query("decontam_near", f"""WITH {NORM_DOCS}, g AS (SELECT doc_id, t, CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i::BIGINT, 5))) END AS g FROM n),

@@ -163,6 +163,23 @@ def prompt_templates(spark, sf_dir):
     return view(spark, sf_dir, "sft_records").select("seq", X.fill("题目：\n{instruction}\n\n指定参考答案：\n{answer}", instruction="instruction", answer="answer").alias("prompt"))
 
 
+def _sql_prompt(template: str, **columns: str) -> str:
+    out = "'" + template.replace("'", "''").replace("{{", "{").replace("}}", "}").replace("\n", "' || chr(10) || '") + "'"
+    for name, sql in columns.items():
+        out = out.replace("{" + name + "}", f"' || {sql} || '")
+    return out
+
+
+TEACHER = _sql_prompt(X.COMPRESS_PROMPT, instruction="instruction", reasoning="reasoning", answer="answer", suffix=f"CASE WHEN k % 3 = 0 THEN {_sql_prompt(X.COMPRESS_FEEDBACK, feedback='source')} ELSE '' END")
+
+
+@query("teacher_prompts", f"WITH {ctes('sft_records')} SELECT seq, {TEACHER} AS teacher, {_sql_prompt(X.VERIFY_PROMPT, instruction='instruction', reasoning='reasoning', answer='answer')} AS verifier FROM sft_records WHERE length(reasoning) <= 12000")
+def teacher_prompts(spark, sf_dir):
+    rows = view(spark, sf_dir, "sft_records").filter(F.length("reasoning") <= 12_000)
+    said = F.when(F.col("k") % 3 == 0, F.col("source"))
+    return rows.select("seq", X.compress_prompt(feedback=said).alias("teacher"), X.verify_prompt().alias("verifier"))
+
+
 @query("candidate_ids", f"WITH {ctes('synthesis')} SELECT seq, candidate_id, sha256(source || chr(10) || {d.question('instruction')}) AS stable_score FROM synthesis")
 def candidate_ids(spark, sf_dir):
     rows = view(spark, sf_dir, "sft_records")

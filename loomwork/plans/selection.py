@@ -55,8 +55,8 @@ def train_val_split(spark, sf_dir):
 
 @query("first_wins_dedup", f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower({d.strip('text')}) ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) = 1")
 def first_wins_dedup(spark, sf_dir):
-    rows = _docs(spark, sf_dir).withColumns({"k": F.lower(X.strip("text")), "p": F.when(F.col("source") == "src0", 0).otherwise(1)})
-    return sel.first_by(rows, ["k"], ["p", "doc_id"]).select("doc_id")
+    rows = _docs(spark, sf_dir).withColumns({"k": F.sha2(F.lower(X.strip("text")), 256), "p": F.when(F.col("source") == "src0", 0).otherwise(1)})
+    return sel.first_by(rows.select("doc_id", "k", "p"), ["k"], ["p", "doc_id"]).select("doc_id")
 
 
 GROUPS = f"WITH g AS (SELECT doc_id, {d.question('text')} AS q, source AS a, n_chars FROM documents)"
@@ -64,13 +64,13 @@ GROUPS = f"WITH g AS (SELECT doc_id, {d.question('text')} AS q, source AS a, n_c
 
 @query("best_of_group_dedup", GROUPS + """ SELECT doc_id, CASE WHEN min(a) OVER w <> max(a) OVER w THEN 'duplicate_conflicting_answers' WHEN row_number() OVER (PARTITION BY q ORDER BY n_chars, sha256('7' || chr(10) || doc_id::VARCHAR)) = 1 THEN 'kept' ELSE 'internal_duplicate' END AS dedup_status FROM g WINDOW w AS (PARTITION BY q)""")
 def best_of_group_dedup(spark, sf_dir):
-    rows = _docs(spark, sf_dir).withColumn("q", X.normalize_question("text"))
+    rows = _docs(spark, sf_dir).withColumn("q", F.sha2(X.normalize_question("text"), 256)).drop("text")
     return sel.best_of_group(rows, "q", "source", [F.col("n_chars"), _key()]).select("doc_id", "dedup_status")
 
 
 @query("conflicting_answers", GROUPS + " SELECT min(doc_id) AS first_doc, count(*) AS n, count(DISTINCT a) AS answers FROM g GROUP BY q HAVING count(DISTINCT a) > 1")
 def conflicting_answers(spark, sf_dir):
-    rows = _docs(spark, sf_dir).withColumn("q", X.normalize_question("text"))
+    rows = _docs(spark, sf_dir).withColumn("q", F.sha2(X.normalize_question("text"), 256))
     return rows.groupBy("q").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.countDistinct("source").alias("answers")).filter("answers > 1").drop("q")
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from loomwork.functions.text import last, simple_boxes, strip
 
@@ -39,17 +40,31 @@ def read_jsonl_dropping(spark: SparkSession, path: str, schema: T.StructType) ->
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, file, line_number, value) of each line of the text files: seq counts from 0 over all of them in the order of their paths, line_number from 1 in each.
+
+    A split of a file is read by one task in order, so only the numbers of lines of the splits are put together.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = lambda *by: F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("file", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "_block", "_first", before().alias("_all"), before("file").alias("_own"))
+    at = F.col("_id") - F.col("_first")
+    # a row for each split, whatever the number of lines
+    return lines.join(F.broadcast(blocks), ["file", "_block"]).select((F.col("_all") + at).alias("seq"), "file", (F.col("_own") + at + 1).alias("line_number"), "value")
+
+
 def read_jsonl_quarantined(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, broken lines as raw_line and reject_reason). Lines that aren't blank are one or the other."""
-    rows = parse_lines(spark.read.text(path), schema)
+    """(good rows with seq, broken lines as file, line_number, raw_line and reject_reason). Lines that aren't blank are one or the other."""
+    rows = parse_lines(numbered_lines(spark, path), schema)
     bad = F.col("reject_reason").isNotNull()
-    return rows.filter(~bad).select("row.*"), rows.filter(bad).select(F.col("value").alias("raw_line"), "reject_reason")
+    return rows.filter(~bad).select("seq", "row.*"), rows.filter(bad).select("file", "line_number", F.col("value").alias("raw_line"), "reject_reason")
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """As quarantined reading, of lines in a column: line_number stays, row is the record or null, reject_reason says why."""
     row = F.from_json(value, schema, {"mode": "PERMISSIVE"})
-    good = F.get_json_object(value, "$").isNotNull()
+    good = F.get_json_object(value, "$").isNotNull() & strip(value).startswith("{")
     return lines.filter(strip(value) != "").withColumns({"row": F.when(good, row), "reject_reason": F.when(~good, F.lit("json_decode_error"))})
 
 
@@ -85,7 +100,7 @@ def write_if_absent(df: DataFrame, path: str) -> bool:
 
 
 def replace_atomically(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and rename: readers see the old files or the new ones."""
+    """Write beside ``path`` and rename twice: readers see the old files or the new ones, or for a moment between the renames none, never a part."""
     spark = df.sparkSession
     temp, old = f"{path}.tmp-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.json(temp)

@@ -17,26 +17,22 @@ def column(spark, f, values):
 
 
 def boxes(text):
-    """Scan for markers; a balanced one gives its content and the scan goes on after it, else after the marker."""
-    out, at = [], 0
-    while (at := text.find("\\boxed{", at)) >= 0:
-        depth, i = 1, at + 7
-        while i < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[i], 0)
-            i += 1
-        if depth == 0:
-            out.append(text[at + 7 : i - 1].strip())
-            at = i
-        else:
-            at += 7
-    return out
+    """Every brace with its partner; of the markers whose brace has one, those in no other such pair."""
+    partner, waiting = {}, []
+    for i, c in enumerate(text):
+        if c == "{":
+            waiting.append(i)
+        elif c == "}" and waiting:
+            partner[waiting.pop()] = i
+    pairs = [(m.end() - 1, partner[m.end() - 1]) for m in re.finditer(r"\\boxed\{", text) if m.end() - 1 in partner]
+    return [text[x + 1 : y].strip() for x, y in pairs if not any(u < x and y < v for u, v in pairs)]
 
 
 @pytest.mark.parametrize(
     "text,want",
     [
-        (r"\boxed{42}", ["42"]), (r"x \boxed{\frac{3}{4}} y", [r"\frac{3}{4}"]), (r"\boxed{1} and \boxed{2}", ["1", "2"]), (r"\boxed{\frac{1}{2}", []), ("none", []),
-        (r"\boxed{a \boxed{b}", ["b"]), (r"\boxed{a \boxed{b}} c \boxed{ d }", [r"a \boxed{b}", "d"]), (r"\boxed{}", [""]), (r"} \boxed{x}", ["x"]),
+        (r"so \boxed{-7.5}.", ["-7.5"]), (r"\boxed{\sqrt{2}+\binom{5}{2}}", [r"\sqrt{2}+\binom{5}{2}"]), (r"\boxed{u}\boxed{ v }\boxed{w}", ["u", "v", "w"]), (r"open \boxed{\sqrt{9}", []), ("no box {here}", []),
+        (r"\boxed{p + \boxed{q}", ["q"]), (r"\boxed{1 \boxed{2} 3} and \boxed{4}", [r"1 \boxed{2} 3", "4"]), (r"\boxed{ }", [""]), (r"}} \boxed{y} }", ["y"]), (r"{\boxed{z}}", ["z"]),
     ],
 )
 def test_boxes(spark, text, want):

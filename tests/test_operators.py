@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
-from loomwork.operators import joins, ledger, stats
+from loomwork.operators import gates, joins, ledger, stats
 from loomwork.operators import select as sel
 from loomwork.sources import records as io
 
@@ -173,6 +173,92 @@ def test_synthesis_and_scoring(spark):
     assert [r.prediction for r in ledger.generate(df.withColumn("prompt", F.col("instruction")), lambda: lambda ps: [p + "!" for p in ps]).collect()] == ["good!", "no!", "bad!"]
 
 
+def test_teacher_loop(spark):
+    waits = []
+
+    def make():
+        seen = {}
+
+        def client(prompt, stage):
+            kind, _, said = prompt.partition("|")
+            n = seen[kind] = seen.get(kind, 0) + 1
+            if stage == "verify":
+                return {"valid": "wrong" not in kind, "supports_answer": True, "missing_key_step": False, "error": "step 2"}, {"total_tokens": 1}
+            if kind == "flaky" and n == 1:
+                raise ledger.RetryableError("down")
+            if kind == "keyless":
+                raise KeyError("choices")
+            text = {"short": "one two" if "过短" not in said else "one two three four", "long": "a " * 50 if "以内" not in said else "a b c d", "brief": "one"}.get(kind, r"first\nSecond third fourth")
+            return {"status": "accepted", "reasoning": text}, {"total_tokens": 2}
+
+        return client
+
+    kinds = ["good", "short", "long", "brief", "wrong", "flaky", "keyless"]
+    df = spark.createDataFrame([(k, k) for k in kinds], "candidate_id string, instruction string").coalesce(1)
+    limits = ledger.Limits(least=3, most=20)
+    out = {r.candidate_id: r for r in ledger.synthesize(df, make, lambda r, f: f"{r['instruction']}|{f}", lambda r, t: r["instruction"], 3, limits, lambda s: None).collect()}
+    assert {k: out[k].outcome for k in kinds} == {"good": "accepted", "short": "accepted", "long": "accepted", "brief": "rejected", "wrong": "rejected", "flaky": "accepted", "keyless": "transient"}
+    assert out["good"].reasoning == "first\nSecond third fourth" and out["good"].reasoning_tokens == 4
+    assert out["brief"].reject_reason == "reasoning_too_short" and '"reasoning_tokens": 1' in out["brief"].draft
+    assert out["wrong"].reject_reason == "verifier_rejected:step 2" and out["keyless"].reject_reason.startswith("api_or_parse_error:KeyError")
+    import json
+
+    assert [(u["stage"], u["attempt"]) for u in json.loads(out["short"].usage)] == [("compress", 1), ("compress", 2), ("verify", 2)]
+
+    client = ledger.checked_client(lambda p, s: {"a": (401, ""), "b": (500, "x"), "c": (200, " "), "d": (200, '{"choices": [{"message": {"content": "```json\\n{\\"v\\": 1}\\n```"}}], "usage": {"n": 2}}'), "e": (200, '{"choices": [{"message": {"content": "none"}}]}')}[p], 0.5, waits.append)
+    for prompt, error in (("a", ledger.AuthenticationError), ("b", ledger.RetryableError), ("c", ledger.RetryableError), ("e", ledger.RetryableError)):
+        with pytest.raises(error):
+            client(prompt, "compress")
+    assert client("d", "compress") == ({"v": 1}, {"n": 2}) and len(waits) == 4 and all(0 < w <= 0.5 for w in waits)
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 3), ("c", 700)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"instruction": "{name}{i}"}}\n' if i % 100 else "broken\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = io.numbered_lines(spark, str(tmp_path)).orderBy("seq").collect()
+        good, bad = io.read_jsonl_quarantined(spark, str(tmp_path), io.SFT)
+        good, bad = good.orderBy("seq").collect(), bad.orderBy("file", "line_number").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(f, i) for f, n in (("a", 5000), ("b", 3), ("c", 700)) for i in range(n)]
+    assert [r.seq for r in rows] == list(range(5703)) and [(r.file[-7], r.line_number - 1) for r in rows] == want
+    assert [r.instruction for r in good] == [f"{f}{i}" for f, i in want if i % 100] and [(r.file[-7], r.line_number - 1) for r in bad] == [x for x in want if x[1] % 100 == 0]
+
+
+def test_small_gates(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 9), (None, 1)], "kind string, n int")
+    kinds = lambda x: sorted(r.kind or "" for r in x.collect())
+    assert kinds(gates.allowed(df, "kind", ["a"])) == ["a"] and kinds(gates.allowed(df, "kind", None, ["a"])) == ["", "b"] and kinds(gates.allowed(df, "kind")) == ["", "a", "b"]
+    assert gates.fail_if_longer(df, F.col("n"), 9).count() == 3
+    with pytest.raises(Exception, match="over the limit: 9"):
+        gates.fail_if_longer(df, F.col("n"), 8).collect()
+    done = ledger.normalized_accepted(spark.createDataFrame([(r"one\nTwo three",)], "reasoning string"), lambda c: F.size(F.split(c, r"\s+"))).first()
+    assert (done.reasoning, done.compressed_reasoning_tokens) == ("one\nTwo three", 3)
+    from loomwork.functions import text as X
+
+    both = spark.createDataFrame([("q", "r", "a")], "instruction string, reasoning string, answer string")
+    assert both.select(X.format_sft(both)).first()[0] == both.select(X.format_math_sft()).first()[0]
+    plain = both.select("instruction", F.col("answer").alias("target"))
+    assert plain.select(X.format_sft(plain)).first()[0] == plain.select(X.format_generic_sft("instruction", "target")).first()[0]
+    steps = F.array(F.lit("s0"), F.lit("s1"), F.lit("s2"))
+    assert both.select(X.rollout_prompt("instruction", steps, F.lit(1))).first()[0] == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\ns0\n\ns1\n\n"
+
+
+def test_first_seen(spark, tmp_path):
+    import datetime as dt
+
+    from loomwork.streaming import scoring
+
+    t = dt.datetime(2024, 1, 1)
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    spark.createDataFrame([(1, t), (1, t), (2, t), (1, t + dt.timedelta(minutes=5))], "key long, at timestamp").write.parquet(src)
+    scoring.resume(spark, src, "key long, at timestamp", lambda rows: scoring.first_seen(rows, "key", "at"), out, cp).awaitTermination()
+    assert sorted(r.key for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(0.2, True), (0.9, False), (1.0, True), (0.9, True)], "s double, ok boolean")
     r = stats.quadrants(df, "s", "ok").first()
