@@ -574,6 +574,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, folds: int = FOLDS) ->
     unknown = 1 - kept / tokens if tokens else 1.0
     model = spark.sparkContext.broadcast(Model(heavy, words, pairs, tokens, types, unigram, bigram, unknown, contexts))
     packed = staged(spark, spark.createDataFrame(tables.mapPartitions(lambda part: _score(part, model.value)), "kind int, task int, flush int, data binary"), "scores")
+    tables.cleanShuffleDependencies(True)  # all that is read from now on is stored
     asked, doc = _unseen(packed), ["task", "flush", "doc"]
     masses = _contexts(packed).groupBy("context", "head").agg(F.sum("freed").alias("freed"), F.sum("mass").alias("mass"))
     masses = staged(spark, masses.select("context", "head", F.log10(F.col("freed") / (1 - F.col("mass"))).alias("backoff")), "backoff")
