@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,17 @@ def strictly_valid(verifier: str = "verifier") -> Column:
     return v["valid"].eqNullSafe(F.lit(True)) & v["supports_answer"].eqNullSafe(F.lit(True)) & v["missing_key_step"].eqNullSafe(F.lit(False))
 
 
+def long_probe(df: DataFrame, token_length: Callable[[Column], Column], incomplete: Column, min_chars: int = 4000, cap: int = 2048, gold: str = "reliable_answer") -> DataFrame:
+    """Rows worth a longer generation: a long gold reasoning, an incomplete prediction that ran into the ``cap`` of tokens, and a reliable gold answer.
+
+    Adds gold_reasoning_chars and generated_tokens, those from ``<think>`` on.
+    """
+    text = F.coalesce("prediction", F.lit(""))
+    generated = F.when(text.contains("<think>"), F.expr("substring(coalesce(prediction, ''), instr(coalesce(prediction, ''), '<think>'))")).otherwise(text)
+    out = df.withColumns({"gold_reasoning_chars": F.length("reasoning"), "generated_tokens": token_length(generated)})
+    return out.filter((F.col("gold_reasoning_chars") >= min_chars) & incomplete & (F.col("generated_tokens") >= cap) & F.col(gold).isNotNull())
+
+
 def reasons(df: DataFrame, rules: dict[str, Column], name: str = "reasons") -> DataFrame:
     """``df`` with all reasons that hold, in order."""
     return df.withColumn(name, F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items()))))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from loomwork.functions import scoring as S
 from loomwork.functions import text as X
 from loomwork.functions.answers import check_correct, extract_number, normalize_answer
+from loomwork.functions import tokens as K
+from loomwork.operators import gates, joins, stats
 from loomwork.operators import select as sel
-from loomwork.operators import stats
 from loomwork.plans import dialect as d
 from loomwork.plans.fixtures import ctes, view
 from loomwork.plans.registry import query
@@ -221,7 +222,15 @@ def reward_means(spark, sf_dir):
     return _advantages(spark, sf_dir).groupBy(F.col("replica").alias("step")).agg(F.avg("reward").alias("mean_reward"), F.count("*").alias("n"))
 
 
-@query("long_probe", _with() + """ SELECT seq, source, length(reasoning) AS gold_reasoning_chars, prediction, completeness AS reason FROM scored WHERE length(reasoning) >= 300 AND completeness <> 'complete'""")
+GENERATED = "CASE WHEN contains(prediction, '<think>') THEN substr(prediction, instr(prediction, '<think>')) ELSE prediction END"
+
+
+@query("long_probe", f"""WITH {ctes('predictions', 'intermediates')}, {ONE}, {d.scored('p', 'full')}, b AS (SELECT source, instruction, reasoning, seq, unnest({d.full_boxes('answer')}) AS box, generate_subscripts({d.full_boxes('answer')}, 1) AS i FROM intermediates),
+  g AS (SELECT source, instruction, reasoning, list_last(list(box ORDER BY seq, i)) AS reliable_answer FROM b GROUP BY 1, 2, 3)
+  SELECT s.seq, s.source, length(s.reasoning) AS gold_reasoning_chars, len({d.toks(GENERATED)}) AS generated_tokens, s.completeness AS reason, g.reliable_answer FROM scored s JOIN g USING (source, instruction, reasoning)
+  WHERE length(s.reasoning) >= 200 AND s.completeness <> 'complete' AND len({d.toks(GENERATED)}) >= 40""")
 def long_probe(spark, sf_dir):
-    rows = _predictions(spark, sf_dir).withColumn("reason", S.completeness())
-    return rows.filter((F.length("reasoning") >= 300) & (F.col("reason") != "complete")).select("seq", "source", F.length("reasoning").alias("gold_reasoning_chars"), "prediction", "reason")
+    """With limits that these short texts reach."""
+    rows = joins.gather_last_box(_predictions(spark, sf_dir), view(spark, sf_dir, "intermediates"), ["source", "instruction", "reasoning"])
+    rows = gates.long_probe(rows.withColumn("reason", S.completeness()), K.token_length, F.col("reason") != "complete", 200, 40)
+    return rows.select("seq", "source", "gold_reasoning_chars", "generated_tokens", "reason", "reliable_answer")
