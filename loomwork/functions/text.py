@@ -53,25 +53,26 @@ def answer_or_last_line(c: Column | str) -> Column:
 def balanced_boxes(c: Column | str) -> Column:
     """All outermost balanced ``\\boxed{…}`` contents, stripped, in order; an unbalanced box gives way to those inside it.
 
-    A fold over the characters with a stack of open braces; only texts with a marker take it. Null for null.
+    A fold over markers, braces and what lies between them, with a stack of open braces; only texts with a marker take it.
+    Null for null.
     """
     text = _col(c)
     opened = "array<struct<at:int,box:boolean>>"
     found = "array<struct<at:int,text:string>>"
     start = F.struct(F.lit(0).alias("i"), F.array().cast(opened).alias("open"), F.array().cast(found).alias("out"))
+    pieces = F.regexp_extract_all(text, F.lit(r"(\\boxed\{|[{}]|[^{}\\]+|\\)"), F.lit(1))
 
-    def step(s: Column, ch: Column) -> Column:
-        i = s["i"] + 1
-        box = F.substring(text, i - 6, F.lit(7)) == BOX
+    def step(s: Column, piece: Column) -> Column:
+        i = s["i"] + F.length(piece)  # characters up to the piece's end, which is the brace of a marker
         top = F.try_element_at(s["open"], F.lit(-1))
-        closes = (ch == "}") & top.isNotNull()
+        closes = (piece == "}") & top.isNotNull()
         inner = F.filter(s["out"], lambda o: o["at"] < top["at"])
-        piece = F.struct(top["at"].alias("at"), strip(F.substring(text, top["at"] + 1, i - top["at"] - 1)).alias("text"))
-        stack = F.when(ch == "{", F.array_append(s["open"], F.struct(i.alias("at"), ((i >= 7) & box).alias("box")))).when(closes, F.slice(s["open"], 1, F.size(s["open"]) - 1)).otherwise(s["open"])
-        out = F.when(closes & top["box"], F.array_append(inner, piece)).otherwise(s["out"])
+        content = F.struct(top["at"].alias("at"), strip(F.substring(text, top["at"] + 1, i - top["at"] - 1)).alias("text"))
+        stack = F.when(piece.isin("{", BOX), F.array_append(s["open"], F.struct(i.alias("at"), (piece == BOX).alias("box")))).when(closes, F.slice(s["open"], 1, F.size(s["open"]) - 1)).otherwise(s["open"])
+        out = F.when(closes & top["box"], F.array_append(inner, content)).otherwise(s["out"])
         return F.struct(i.alias("i"), stack.alias("open"), out.alias("out"))
 
-    folded = F.transform(F.aggregate(F.split(text, ""), start, step)["out"], lambda o: o["text"])
+    folded = F.transform(F.aggregate(pieces, start, step)["out"], lambda o: o["text"])
     return F.when(text.contains(BOX), folded).when(text.isNotNull(), F.array().cast("array<string>"))
 
 

@@ -85,7 +85,7 @@ def stratified_holdout(df: DataFrame, strata: list[str], target: int, key: Colum
     return rows.withColumn("split", F.when(F.col("_rn") <= F.col("_quota"), "validation").otherwise("train")).drop("_rn", "_quota")
 
 
-def ordered_split(df: DataFrame, key: Column, train: float = 0.95, buckets: int = 256) -> DataFrame:
+def ordered_split(df: DataFrame, key: Column, train: float = 0.95) -> DataFrame:
     """``df`` with split: the first int(train n) rows in order of a hexadecimal key are train.
 
     Ranks come from counts by the key's first two digits and row numbers within them, so no task sorts all rows.
