@@ -93,30 +93,33 @@ def near_duplicates(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     share none of those can't reach the threshold. Sets of equal texts are one. ``ordered``: pairs of one frame, once each.
     """
     def texts(df: DataFrame) -> DataFrame:
-        """Different texts with their gram sets, behind an exchange, so that plans that use them twice read it again."""
-        one = df.select(F.col(text).alias("t")).distinct()
-        return one.withColumn("g", F.transform(ngrams("t", n), lambda g: F.xxhash64(g))).repartition("t")
+        """Digests of different texts with their lengths and gram sets, behind an exchange, so that plans that use them twice read it again."""
+        one = df.groupBy(F.md5(text).alias("t")).agg(F.first(text).alias("x"))
+        return one.select("t", F.length("x").alias("l"), F.transform(ngrams("x", n), lambda g: F.xxhash64(g)).alias("g")).repartition("t")
 
     def prefix(sets: DataFrame, side: str) -> DataFrame:
-        rare = sets.select("t", F.size("g").alias("m"), F.explode("g").alias("g")).join(grams.hint("merge"), "g")
+        rare = sets.select("t", "l", F.size("g").alias("m"), F.explode("g").alias("g")).join(grams.hint("merge"), "g")
         ranked = rare.withColumn("_rn", F.row_number().over(W.partitionBy("t").orderBy("df", "g")))
-        return ranked.filter(F.col("_rn") <= F.col("m") - F.ceil(F.lit(threshold) * F.col("m")) + 1).select("g", F.col("t").alias(f"_{side}t"), F.col("m").alias(f"_{side}m"))
+        return ranked.filter(F.col("_rn") <= F.col("m") - F.ceil(F.lit(threshold) * F.col("m")) + 1).select("g", *(F.col(c).alias(f"_{side}{c}") for c in ("t", "l", "m")))
+
+    def mirrored(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(F.col("_bt").alias("_at"), F.col("_bl").alias("_al"), F.col("_at").alias("_bt"), F.col("_al").alias("_bl"), *more)
 
     at = texts(left)
     bt = at if left is right else texts(right)
     grams = at.select(F.explode("g").alias("g")) if left is right else at.select(F.explode("g").alias("g")).unionByName(bt.select(F.explode("g").alias("g")))
     grams = grams.groupBy("g").agg(F.count("*").alias("df"))
-    lengths = F.try_divide(F.length("_at"), F.greatest(F.lit(1), F.length("_bt"))).between(*ratio)
-    pairs = prefix(at, "a").join(prefix(bt, "b").hint("merge"), "g").filter((F.least("_am", "_bm") >= threshold * F.greatest("_am", "_bm")) & lengths).select("_at", "_bt").distinct()
+    lengths = F.try_divide(F.col("_al"), F.greatest(F.lit(1), F.col("_bl"))).between(*ratio)
+    pairs = prefix(at, "a").join(prefix(bt, "b").hint("merge"), "g").filter((F.least("_am", "_bm") >= threshold * F.greatest("_am", "_bm")) & lengths).select("_at", "_al", "_bt", "_bl").distinct()
     if left is right and ordered:  # a pair and its mirror image share one comparison
-        pairs = pairs.filter("_at <= _bt").unionByName(pairs.filter("_at > _bt").select(F.col("_bt").alias("_at"), F.col("_at").alias("_bt"))).distinct()
+        pairs = pairs.filter("_at <= _bt").unionByName(mirrored(pairs.filter("_at > _bt"))).distinct()
     pairs = pairs.join(at.select(F.col("t").alias("_at"), F.col("g").alias("_ag")).hint("merge"), "_at").join(bt.select(F.col("t").alias("_bt"), F.col("g").alias("_bg")).hint("merge"), "_bt")
     common = F.size(F.array_intersect("_ag", "_bg"))
-    pairs = pairs.withColumn("jaccard", common / (F.size("_ag") + F.size("_bg") - common)).filter(F.col("jaccard") >= threshold).select("_at", "_bt", "jaccard")
+    pairs = pairs.withColumn("jaccard", common / (F.size("_ag") + F.size("_bg") - common)).filter(F.col("jaccard") >= threshold).select("_at", "_al", "_bt", "_bl", "jaccard")
     if left is right and ordered:
-        pairs = pairs.unionByName(pairs.filter("_at <> _bt").select(F.col("_bt").alias("_at"), F.col("_at").alias("_bt"), "jaccard")).filter(lengths)
-    a = left.select(F.col(left_id).alias("_a"), F.col(text).alias("_at"))
-    b = right.select(F.col(right_id).alias("_b"), F.col(text).alias("_bt"))
+        pairs = pairs.unionByName(mirrored(pairs.filter("_at <> _bt"), "jaccard")).filter(lengths)
+    a = left.select(F.col(left_id).alias("_a"), F.md5(text).alias("_at"))
+    b = right.select(F.col(right_id).alias("_b"), F.md5(text).alias("_bt"))
     out = a.join(pairs, "_at").join(b, "_bt")
     out = out.filter("_a < _b") if ordered else out
     names = (left_id, right_id) if left_id != right_id else (f"{left_id}_a", f"{right_id}_b")
