@@ -102,6 +102,34 @@ def op10_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and checksums of each document's fill-in-middle text, and of the text restored from it."""
+    from loomwork.llm.fim import PLAIN, fill_in_middle, restored
+
+    out = fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), "char")
+    chars = lambda c: F.when(F.col("fim_form") != PLAIN, F.length(c).cast("long"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), chars("fim_prefix").alias("prefix_chars"), chars("fim_middle").alias("middle_chars"), sha(F.col("fim_output")).alias("output_sha256"), sha(restored("fim_output", "fim_form")).alias("restored_sha256"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector."""
+    from loomwork.llm.spherical import near_vectors
+
+    return near_vectors(spark, embeddings(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of each vector, and the checksum of the codebooks."""
+    from loomwork.llm.pq import compress_vectors
+
+    return compress_vectors(spark, embeddings(spark, sf_dir)).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
@@ -144,5 +172,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_licenses": op9_licenses, "op10_simple8b": op10_simple8b}
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_quality": OP7_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, substr(t, 1, least(x, y)) AS pre, substr(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS mid, substr(t, greatest(x, y) + 1) AS suf FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN least(x, y)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (greatest(x, y) - least(x, y))::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (
+  SELECT a, min(b) AS c FROM reach GROUP BY a),
+n AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.c AS component_id, e.vec_id = least.c AS kept
+FROM embeddings e JOIN least ON e.vec_id = least.a LEFT JOIN n ON e.vec_id = n.a
+"""
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other: x holds whole components, c0 to c6 the codebooks, a0 to a6 the nearest entries."""
+    steps = [rf"""WITH x AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x, len(embedding) // {parts} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, unnest(range({parts})) AS part, unnest(list_transform(range({parts}), lambda i: x[i * w + 1:(i + 1) * w])) AS x FROM x),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(rf"""a{k} AS MATERIALIZED (
+  SELECT vec_id, label, part, x, min({{'d': d, 'entry': entry}}) AS best FROM (
+    SELECT p.*, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN c{k} USING (part))
+  GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(rf"""c{k + 1} AS MATERIALIZED (
+  SELECT o.part, o.entry, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN (
+    SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT part, entry, i, sum(y)::DOUBLE AS s, count(*) AS n FROM (SELECT part, best.entry AS entry, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL)
+    GROUP BY part, entry) n ON o.part = n.part AND o.entry = n.entry)""")
+    steps.append(rf"""r AS MATERIALIZED (
+  SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM r""")
+    return ",\n".join(steps)
+
+
+QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op3_katz": op3_katz, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_licenses": op9_licenses, "op10_simple8b": op10_simple8b, "op11_fill_in_middle": op11_fill_in_middle, "op12_embedding_dedup": op12_embedding_dedup, "op13_vector_codes": op13_vector_codes}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_quality": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_embedding_dedup": OP12_SQL, "op13_vector_codes": _op13_sql()}
