@@ -67,7 +67,7 @@ def draws(seed: int, doc_id: Column, n: int = 4) -> list[Column]:
 
 def _checked(sentinels: tuple[str, str, str]) -> None:
     """A sentinel's first character occurs nowhere else in a sentinel: so none can arise where a piece meets one."""
-    if len(set(sentinels)) < 3 or any(s.find(t[0], s == t or s[0] == t[0]) > 0 for s in sentinels for t in sentinels if t) or not all(sentinels):
+    if not all(sentinels) or len(set(sentinels)) < 3 or any(t[0] in s[1:] for s in sentinels for t in sentinels):
         raise ValueError("sentinels must differ, and their first characters occur nowhere else in them")
 
 
