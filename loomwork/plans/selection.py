@@ -29,7 +29,7 @@ def _key():
 @query("kind_quota_sample", f"SELECT doc_id, source FROM documents WHERE source IN ('src0', 'src1', 'src2') QUALIFY row_number() OVER (PARTITION BY source ORDER BY {DOC_KEY}) <= CASE source WHEN 'src0' THEN 20 WHEN 'src1' THEN 5 ELSE 1000 END")
 def kind_quota_sample(spark, sf_dir):
     quotas = sel.parse_quotas(["src0=20", "src1=5", "src2=1000"])
-    return sel.quota_sample(_docs(spark, sf_dir), "source", quotas, _key()).select("doc_id", "source")
+    return sel.quota_sample(_docs(spark, sf_dir), "source", quotas, _key(), ties=[]).select("doc_id", "source")
 
 
 @query("mining_pool", f"""WITH r AS (SELECT doc_id, source, text, {DOC_KEY} AS key, row_number() OVER (PARTITION BY source ORDER BY {DOC_KEY}) <= CASE source WHEN 'src0' THEN 10 WHEN 'src1' THEN 6 WHEN 'none' THEN 9 ELSE 0 END AS q FROM documents),
@@ -45,12 +45,12 @@ def mining_pool(spark, sf_dir):
   SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY d.lang, d.size ORDER BY key) <= quota THEN 'validation' ELSE 'train' END AS split FROM d JOIN q ON d.lang = q.lang AND d.size = q.size""")
 def stratified_holdout(spark, sf_dir):
     rows = _docs(spark, sf_dir).withColumn("size", F.when(F.col("n_chars") < 1000, "short").otherwise("long"))
-    return sel.stratified_holdout(rows, ["lang", "size"], 100, _key()).select("doc_id", "split")
+    return sel.stratified_holdout(rows, ["lang", "size"], 100, _key(), ties=[]).select("doc_id", "split")
 
 
 @query("train_val_split", f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {DOC_KEY}) <= floor((SELECT count(*) FROM documents) * 0.95) THEN 'train' ELSE 'validation' END AS split FROM documents")
 def train_val_split(spark, sf_dir):
-    return sel.ordered_split(_docs(spark, sf_dir), _key()).select("doc_id", "split")
+    return sel.ordered_split(_docs(spark, sf_dir), _key(), ties=[]).select("doc_id", "split")
 
 
 @query("first_wins_dedup", f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lower({d.strip('text')}) ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) = 1")
@@ -84,7 +84,7 @@ def _records(spark, sf_dir):
 
 @query("replay_budget", RECORDS + " SELECT seq, tokens FROM (SELECT *, sum(tokens) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) - tokens AS before FROM t) WHERE before < 2000")
 def replay_budget(spark, sf_dir):
-    return sel.running_budget(_records(spark, sf_dir), "tokens", X.stable_key(11, "replay"), 2000).select("seq", "tokens")
+    return sel.running_budget(_records(spark, sf_dir), "tokens", X.stable_key(11, "replay"), 2000, ties=["seq"]).select("seq", "tokens")
 
 
 BALANCED = RECORDS + """, q AS (SELECT source, round_even(CAST(3000 AS DOUBLE) * sum(tokens) / (SELECT sum(tokens) FROM t), 0)::BIGINT AS quota FROM t GROUP BY source),
@@ -94,7 +94,7 @@ BALANCED = RECORDS + """, q AS (SELECT source, round_even(CAST(3000 AS DOUBLE) *
 
 @query("source_balanced_replay", BALANCED + " SELECT seq, source, tokens, 'source' AS replay_part FROM s UNION ALL SELECT seq, source, tokens, 'fill' FROM r, h WHERE before < 3000 - have")
 def source_balanced_replay(spark, sf_dir):
-    out = sel.balanced_replay(_records(spark, sf_dir), "source", "tokens", 3000, X.stable_key(11, "replay"), X.stable_key(11, "fill"), "seq")
+    out = sel.balanced_replay(_records(spark, sf_dir), "source", "tokens", 3000, X.stable_key(11, "replay"), X.stable_key(11, "fill"), ties=["seq"])
     return out.select("seq", "source", "tokens", "replay_part")
 
 
@@ -115,14 +115,14 @@ def _failures(spark, sf_dir):
 @query("round_robin_queue", FAILED + f", r AS (SELECT seq, source, row_number() OVER (PARTITION BY source ORDER BY seq) AS turn, {PLACE} AS place FROM f WHERE kind = 'truncated') SELECT seq, source, turn FROM r ORDER BY turn, place LIMIT 15")
 def round_robin_queue(spark, sf_dir):
     rows = _failures(spark, sf_dir).filter("kind = 'truncated'")
-    return sel.round_robin(rows, "source", ORDER, "seq", 15).select("seq", "source", "turn")
+    return sel.round_robin(rows, "source", ORDER, "seq", 15, ties=["seq", "source"]).select("seq", "source", "turn")
 
 
 @query("failure_share_queue", FAILED + f""", n AS (SELECT count(*) FILTER (WHERE kind = 'truncated') AS t, count(*) FILTER (WHERE kind = 'wrong_complete') AS w FROM f), l AS (SELECT least(30 - least(30 - least(12, t), w), t) AS cut, least(30 - least(12, t), w) AS wrong FROM n),
   r AS (SELECT *, row_number() OVER (PARTITION BY kind, source ORDER BY seq) AS turn, {PLACE} AS place FROM f WHERE kind <> 'correct_complete'), x AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY turn, place) AS rn FROM r)
   SELECT seq, source, kind FROM x, l WHERE rn <= CASE WHEN kind = 'truncated' THEN cut ELSE wrong END""")
 def failure_share_queue(spark, sf_dir):
-    return sel.failure_share(_failures(spark, sf_dir), "kind", "source", ORDER, "seq", 30, 0.4)
+    return sel.failure_share(_failures(spark, sf_dir), "kind", "source", ORDER, "seq", 30, 0.4, ties=["seq", "source"])
 
 
 @query("exclude_evaluated", f"WITH {ctes('sft_records')} SELECT seq FROM sft_records WHERE (instruction, answer) NOT IN (SELECT instruction, answer FROM sft_records WHERE k % 5 = 0)")
