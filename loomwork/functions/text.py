@@ -114,15 +114,23 @@ def clean_answer_legacy(c: Column | str) -> Column:
     return F.when(F.size(boxes) > 0, strip(last(boxes))).otherwise(strip(F.when(F.length(plain) > 100, F.coalesce(number, plain)).otherwise(plain)))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no builtin for it."""
+#: Texts of these characters only are in NFKC: ASCII, and letters of Latin, Cyrillic, kana and Han scripts that nothing is composed with.
+NFKC_FORM = r"^[\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u045F\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5]*$"
+
+
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+#: Unicode NFKC; Spark has no builtin for it. Marked as non-deterministic so that no plan runs it twice for one column.
+nfkc = F.pandas_udf(_nfkc, T.StringType()).asNondeterministic()
+
+
 def normalize_question(c: Column | str, compat: bool = True) -> Column:
-    """NFKC, lower case, word characters only. ``compat=False`` leaves NFKC out, for texts known to be in that form, and so stays in the JVM."""
-    text = nfkc(_col(c)) if compat else _col(c)
+    """NFKC, lower case, word characters only. Texts that show they are in NFKC don't leave the JVM; ``compat=False`` takes all for such."""
+    text = _col(c)
+    if compat:
+        text = F.coalesce(nfkc(F.when(~text.rlike(NFKC_FORM), text)), text)
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "")
 
 

@@ -1,4 +1,4 @@
-"""Repair joins, decontamination, near-duplicates, matching."""
+"""Repair joins, decontamination, contained items, matching."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomwork.functions.text import balanced_boxes, last, ngrams
-
-#: Rows of a side that may be broadcast; a larger side is shuffled.
-BROADCAST_ROWS = 50_000
+from loomwork.operators.store import SMALL_ROWS as BROADCAST_ROWS
+from loomwork.operators.store import stored
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -86,52 +85,35 @@ def evaluation_signatures(frames: list[DataFrame], text: str, n: int = 5) -> Dat
     return out.select("signature", text, ngrams(text, n).alias("grams"))
 
 
-def near_duplicates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, threshold: float = 0.85, n: int = 5, ratio: tuple[float, float] = (0.75, 1.33), ordered: bool = False) -> DataFrame:
-    """(left_id, right_id, jaccard) of pairs whose n-gram sets have a Jaccard similarity of ``threshold`` or more and whose lengths are in ``ratio``.
+def contained_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
+    """(doc_id, item_id) where the item's normal form is a part of the document's; empty and null items are in none.
 
-    ``text`` is a normal form. Prefix filter: grams in order of rarity, of m of them the first m - ceil(t m) + 1; pairs that
-    share none of those can't reach the threshold. Sets of equal texts are one. ``ordered``: pairs of one frame, once each.
+    An item's grams have a length of 16 characters, or of the greatest power of two that it has. Of a document's grams those
+    that are in items are kept; the one of an item's that fewest documents have makes the candidates, and the texts decide.
+    Items of a gram that no document has are out. Any number of items; one that occurs in many documents costs as much as its
+    rows.
     """
-    def texts(df: DataFrame) -> DataFrame:
-        """Digests of different texts with their lengths and gram sets, behind an exchange, so that plans that use them twice read it again."""
-        one = df.groupBy(F.md5(text).alias("t")).agg(F.first(text).alias("x"))
-        return one.select("t", F.length("x").alias("l"), F.transform(ngrams("x", n), lambda g: F.xxhash64(g)).alias("g")).repartition("t")
-
-    def prefix(sets: DataFrame, side: str) -> DataFrame:
-        rare = sets.select("t", "l", F.size("g").alias("m"), F.explode("g").alias("g")).join(grams.hint("merge"), "g")
-        ranked = rare.withColumn("_rn", F.row_number().over(W.partitionBy("t").orderBy("df", "g")))
-        return ranked.filter(F.col("_rn") <= F.col("m") - F.ceil(F.lit(threshold) * F.col("m")) + 1).select("g", *(F.col(c).alias(f"_{side}{c}") for c in ("t", "l", "m")))
-
-    def mirrored(df: DataFrame, *more: str) -> DataFrame:
-        return df.select(F.col("_bt").alias("_at"), F.col("_bl").alias("_al"), F.col("_at").alias("_bt"), F.col("_al").alias("_bl"), *more)
-
-    at = texts(left)
-    bt = at if left is right else texts(right)
-    grams = at.select(F.explode("g").alias("g")) if left is right else at.select(F.explode("g").alias("g")).unionByName(bt.select(F.explode("g").alias("g")))
-    grams = grams.groupBy("g").agg(F.count("*").alias("df"))
-    lengths = F.try_divide(F.col("_al"), F.greatest(F.lit(1), F.col("_bl"))).between(*ratio)
-    pairs = prefix(at, "a").join(prefix(bt, "b").hint("merge"), "g").filter((F.least("_am", "_bm") >= threshold * F.greatest("_am", "_bm")) & lengths).select("_at", "_al", "_bt", "_bl").distinct()
-    if left is right and ordered:  # a pair and its mirror image share one comparison
-        pairs = pairs.filter("_at <= _bt").unionByName(mirrored(pairs.filter("_at > _bt"))).distinct()
-    pairs = pairs.join(at.select(F.col("t").alias("_at"), F.col("g").alias("_ag")).hint("merge"), "_at").join(bt.select(F.col("t").alias("_bt"), F.col("g").alias("_bg")).hint("merge"), "_bt")
-    common = F.size(F.array_intersect("_ag", "_bg"))
-    pairs = pairs.withColumn("jaccard", common / (F.size("_ag") + F.size("_bg") - common)).filter(F.col("jaccard") >= threshold).select("_at", "_al", "_bt", "_bl", "jaccard")
-    if left is right and ordered:
-        pairs = pairs.unionByName(mirrored(pairs.filter("_at <> _bt"), "jaccard")).filter(lengths)
-    a = left.select(F.col(left_id).alias("_a"), F.md5(text).alias("_at"))
-    b = right.select(F.col(right_id).alias("_b"), F.md5(text).alias("_bt"))
-    out = a.join(pairs, "_at").join(b, "_bt")
-    out = out.filter("_a < _b") if ordered else out
-    names = (left_id, right_id) if left_id != right_id else (f"{left_id}_a", f"{right_id}_b")
-    return out.select(F.col("_a").alias(names[0]), F.col("_b").alias(names[1]), "jaccard")
-
-
-def contained_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
-    """(doc_id, item_id) where the item's normal form is a part of the document's. Items are broadcast; more than BROADCAST_ROWS are refused."""
-    if not small_enough(items):
-        raise ValueError("too many items to compare each with each document")
-    i = items.select(item_id, F.col(text).alias("_it")).filter("_it <> ''")
-    return docs.join(F.broadcast(i), F.expr(f"contains({text}, _it)")).select(doc_id, item_id)
+    one = stored(items.filter(F.col(text) != "").groupBy(F.xxhash64(text).alias("_i")).agg(F.first(text).alias("_it")).withColumn("_len", F.pow(F.lit(2), F.least(F.lit(4), F.floor(F.log2(F.length("_it"))))).cast("int")))
+    few = small_enough(one)
+    lengths = sorted(r[0] for r in one.select("_len").distinct().collect())  # five at most
+    grams = lambda c, n: F.explode(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).alias("_g")
+    out = None
+    for n in lengths:
+        mine = one.filter(F.col("_len") == n).select("_i", grams(F.col("_it"), n)).select("_i", F.xxhash64("_g").alias("_g")).distinct()
+        known = mine.select("_g").distinct()
+        hits = docs.select(doc_id, grams(F.col(text), n)).select(doc_id, F.xxhash64("_g").alias("_g"))
+        hits = stored(hits.join(F.broadcast(known) if small_enough(known) else known, "_g", "left_semi").distinct())
+        held = hits.groupBy("_g").agg(F.count("*").alias("_df"))
+        anchors = mine.join(held, "_g", "left").groupBy("_i").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), "_g")).alias("_g"))
+        found = hits.join(F.broadcast(anchors) if few else anchors, "_g").select(doc_id, "_i")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return docs.limit(0).join(items.select(item_id).limit(0)).select(doc_id, item_id)
+    found = stored(out)
+    rows = docs.select(doc_id, text).join(F.broadcast(found) if small_enough(found) else found, doc_id)
+    rows = rows.join(F.broadcast(one.select("_i", "_it")) if few else one.select("_i", "_it"), "_i").filter(F.contains(F.col(text), F.col("_it"))).select(doc_id, "_i").distinct()
+    ids = items.filter(F.col(text) != "").select(item_id, F.xxhash64(text).alias("_i"))
+    return rows.join(F.broadcast(ids) if few else ids, "_i").select(doc_id, item_id)
 
 
 def match_controls(experiment: DataFrame, pool: DataFrame, tokens: str, identity: str, tolerance: int = 10, rounds: int = 100) -> DataFrame:

@@ -35,3 +35,9 @@ def held(df: DataFrame, rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     if len(found) <= rows:
         return df.sparkSession.createDataFrame(found, df.schema), True
     return stored(df), False
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where fewer partitions hold it, as those of a few small files; else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

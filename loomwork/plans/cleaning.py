@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
 from loomwork.functions import tokens as K
-from loomwork.operators import gates, joins, stats
+from loomwork.operators import gates, joins, near, stats
 from loomwork.operators import select as sel
+from loomwork.operators.store import spread, stored
 from loomwork.plans import dialect as d
 from loomwork.plans.fixtures import ctes, view
 from loomwork.plans.registry import query
@@ -180,11 +181,15 @@ def _normal(spark, sf_dir, table, key):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, X.normalize_question("text").alias("t"))
 
 
+def _toxic(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id").distinct()
+
+
 def _evaluation(spark, sf_dir):
-    """The evaluation sets: the benchmark, and the documents that are labelled toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id")
-    docs = _normal(spark, sf_dir, "documents", "doc_id")
-    return joins.evaluation_signatures([_normal(spark, sf_dir, "benchmark", "item_id"), docs.join(labels, "doc_id", "left_semi")], "t")
+    """Normal forms of the evaluation sets: the benchmark, and the documents that are labelled toxic."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(_toxic(spark, sf_dir), "doc_id", "left_semi").select("text")
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").unionByName(docs)
+    return texts.select(X.normalize_question("text").alias("t"))
 
 
 EVALUATION = f"{NORM_DOCS}, e AS (SELECT t FROM b UNION SELECT n.t FROM n JOIN labels l ON n.doc_id = l.doc_id WHERE l.toxic = 1)"
@@ -192,28 +197,74 @@ EVALUATION = f"{NORM_DOCS}, e AS (SELECT t FROM b UNION SELECT n.t FROM n JOIN l
 
 @query("evaluation_signatures", f"WITH {EVALUATION} SELECT sha256(t) AS signature, length(t) AS n_chars, CASE WHEN length(t) <= 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i::BIGINT, 5)))) END AS n_grams FROM e")
 def evaluation_signatures(spark, sf_dir):
-    return _evaluation(spark, sf_dir).select("signature", F.length("t").alias("n_chars"), F.size("grams").alias("n_grams"))
+    return joins.evaluation_signatures([_evaluation(spark, sf_dir)], "t").select("signature", F.length("t").alias("n_chars"), F.size("grams").alias("n_grams"))
 
 
 @query("decontam_exact", f"WITH {EVALUATION} SELECT doc_id, t IN (SELECT t FROM e) AS is_duplicate FROM n")
 def decontam_exact(spark, sf_dir):
-    """All documents against the evaluation sets, by digest: texts are not shuffled."""
-    docs = _normal(spark, sf_dir, "documents", "doc_id").select("doc_id", F.sha2("t", 256).alias("signature"))
-    known = _evaluation(spark, sf_dir).select("signature").withColumn("is_duplicate", F.lit(True))
-    return docs.join(known, "signature", "left").select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+    """All documents against the evaluation sets, by digest: every text is normalised once, and only digests are joined."""
+    toxic = _toxic(spark, sf_dir).withColumn("known", F.lit(True))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(True).alias("is_doc")))
+    docs = docs.join(F.broadcast(toxic) if joins.small_enough(toxic) else toxic, "doc_id", "left")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("is_doc"), F.lit(True).alias("known"))
+    rows = stored(docs.unionByName(items).select("doc_id", "is_doc", "known", F.sha2(X.normalize_question("text"), 256).alias("signature")))
+    known = rows.filter("known").select("signature").distinct().withColumn("is_duplicate", F.lit(True))
+    out = rows.filter("is_doc").join(F.broadcast(known) if joins.small_enough(known) else known, "signature", "left")
+    return out.select("doc_id", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+
+
+def _near_sql(condition: str) -> str:
+    """CTE members: g (doc_id, t, g, c the least doc_id of its text) and p, the pairs of classes whose lengths meet the condition."""
+    return f"""{NORM_DOCS}, g AS (SELECT min(doc_id) AS doc_id, t, CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i::BIGINT, 5))) END AS g FROM n WHERE t IS NOT NULL GROUP BY t),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.g AS ga, b.g AS gb, len(a.g) AS na, len(b.g) AS nb FROM g a JOIN g b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)) AND ({condition})),
+  q AS (SELECT a, b, na, nb, len(list_intersect(ga, gb)) AS c FROM p), links AS MATERIALIZED (SELECT a, b, c / (na + nb - c) AS jaccard FROM q WHERE c / (na + nb - c) >= 0.85)"""
+
+
+WAY = "length(a.t) / greatest(1, length(b.t)) BETWEEN 0.75 AND 1.33"
+BACK = "length(b.t) / greatest(1, length(a.t)) BETWEEN 0.75 AND 1.33"
+
+
+def _stored_docs(spark, sf_dir):
+    """Normal forms of the documents, worked out once."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return stored(docs.select("doc_id", X.normalize_question("text").alias("t")))
 
 
-@query("decontam_near", f"""WITH {NORM_DOCS}, g AS (SELECT doc_id, t, CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i::BIGINT, 5))) END AS g FROM n),
-  p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.g AS ga, b.g AS gb, len(a.g) AS na, len(b.g) AS nb FROM g a JOIN g b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)) AND length(a.t) / greatest(1, length(b.t)) BETWEEN 0.75 AND 1.33),
-  q AS (SELECT a, b, na, nb, len(list_intersect(ga, gb)) AS c FROM p) SELECT a AS doc_id_a, b AS doc_id_b, round(c / (na + nb - c), 6) AS jaccard FROM q WHERE c / (na + nb - c) >= 0.85""")
+@query("decontam_near", f"""WITH RECURSIVE {_near_sql(f"{WAY} OR {BACK}")}, e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), least AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a)
+  SELECT n.doc_id, coalesce(g.doc_id, n.doc_id) AS class_id, coalesce(least.group_id, n.doc_id) AS group_id FROM n LEFT JOIN g ON n.t = g.t LEFT JOIN least ON g.doc_id = least.a""")
 def decontam_near(spark, sf_dir):
-    docs = _normal(spark, sf_dir, "documents", "doc_id")
-    return joins.near_duplicates(docs, docs, "doc_id", "doc_id", "t", ordered=True)
+    """Class of equal normal forms and group of near-duplicates of each document."""
+    return near.near_groups(_stored_docs(spark, sf_dir), "doc_id", "t")
+
+
+@query("decontam_near_pairs", f"WITH {_near_sql(WAY)} SELECT a AS doc_id_a, b AS doc_id_b, round(jaccard, 6) AS jaccard FROM links")
+def decontam_near_pairs(spark, sf_dir):
+    """Links between different normal forms, each by its least document."""
+    return near.near_pairs(_stored_docs(spark, sf_dir), "doc_id", "t")
+
+
+def _evaluation_texts(spark, sf_dir):
+    """Evaluation texts near documents: items of the benchmark, and toxic documents without their last character."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(_toxic(spark, sf_dir), "doc_id", "left_semi").select(F.expr("left(text, length(text) - 1)").alias("text"))
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").unionByName(docs)
+    return texts.select(X.normalize_question("text").alias("t"))
+
+
+GRAMS = "CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i::BIGINT, 5))) END"
+
+
+@query("decontam_near_evaluation", f"""WITH n AS (SELECT doc_id, {d.question('text')} AS t FROM documents), x AS (SELECT {d.question('text')} AS t FROM benchmark UNION SELECT {d.question('left(text, length(text) - 1)')} FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+  a AS (SELECT doc_id, t, {GRAMS} AS g FROM n), b AS (SELECT t, {GRAMS} AS g FROM x WHERE t IS NOT NULL),
+  p AS (SELECT DISTINCT doc_id FROM a JOIN b ON least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)) AND {WAY} WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.85)
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM p) AS near_evaluation FROM n""")
+def decontam_near_evaluation(spark, sf_dir):
+    """Documents that are near some evaluation text."""
+    return near.near_evaluation(_stored_docs(spark, sf_dir), _evaluation_texts(spark, sf_dir), "t").select("doc_id", "near_evaluation")
 
 
 @query("decontam_contained", f"WITH {NORM_DOCS} SELECT doc_id, item_id FROM n, b WHERE b.t <> '' AND contains(n.t, b.t)")
 def decontam_contained(spark, sf_dir):
-    return joins.contained_items(_normal(spark, sf_dir, "documents", "doc_id"), _normal(spark, sf_dir, "benchmark", "item_id"), "doc_id", "item_id", "t")
+    return joins.contained_items(_stored_docs(spark, sf_dir), _normal(spark, sf_dir, "benchmark", "item_id"), "doc_id", "item_id", "t")
 
 
 @query("sft_format", f"WITH {ctes('sft_records')} SELECT seq, {d.MATH} AS text, {d.PREFIX} AS prefix FROM sft_records")

@@ -61,8 +61,11 @@ VIEWS = {
     k % 5 <> 0 AS valid, k % 5 <> 1 AS supports_answer, k % 5 = 2 AS missing_key_step,
     1 + k % 3 AS calls, 2000 + (k * 37) % 9000 AS sft_token_length
   FROM sft_records""",
+    "claims": """
+  SELECT seq, source, instruction, reasoning, answer, valid, supports_answer, missing_key_step FROM synthesis WHERE state = 'accepted'
+  UNION ALL SELECT seq + 1000000, source, upper(instruction) || ' !', reasoning, answer, valid, supports_answer, missing_key_step FROM synthesis WHERE state = 'accepted' AND k % 4 = 0""",
 }
-NEEDS = {"boxed": ["sft_records"], "intermediates": ["boxed"], "variants": ["sft_records"], "predictions": ["variants"], "rollouts": ["predictions"], "step_texts": ["sft_records"], "synthesis": ["sft_records"]}
+NEEDS = {"boxed": ["sft_records"], "intermediates": ["boxed"], "variants": ["sft_records"], "predictions": ["variants"], "rollouts": ["predictions"], "step_texts": ["sft_records"], "synthesis": ["sft_records"], "claims": ["synthesis"]}
 
 
 def _closure(names: list[str]) -> list[str]:

@@ -99,14 +99,14 @@ def move_transient(spark, sf_dir):
     return left.select(F.lit("rejected").alias("ledger"), "candidate_id").unionByName(moved.select(F.lit("transient").alias("ledger"), "candidate_id"))
 
 
-CLAIMS = f"""WITH {ctes('synthesis')}, b AS (SELECT seq, {d.question('instruction')} AS key, list_last({d.full_boxes('reasoning')}) AS box, answer, valid AND supports_answer AND NOT missing_key_step AS strict, len({d.toks(d.MATH)}) AS n FROM synthesis WHERE state = 'accepted'),
+CLAIMS = f"""WITH {ctes('claims')}, b AS (SELECT seq, {d.question('instruction')} AS key, list_last({d.full_boxes('reasoning')}) AS box, answer, valid AND supports_answer AND NOT missing_key_step AS strict, len({d.toks(d.MATH)}) AS n FROM claims),
   r AS (SELECT seq, key, list_filter([CASE WHEN box <> answer THEN 'reasoning_box_answer_mismatch' END, CASE WHEN NOT strict THEN 'verifier_not_strictly_valid' END, CASE WHEN n > 150 THEN 'formatted_too_long' END], lambda x: x IS NOT NULL) AS reasons FROM b),
   c AS (SELECT *, min(CASE WHEN len(reasons) = 0 THEN seq END) OVER (PARTITION BY key) AS claim FROM r)"""
 
 
 def _claims(spark, sf_dir):
     verifier = F.struct("valid", "supports_answer", "missing_key_step")
-    rows = view(spark, sf_dir, "synthesis").filter("state = 'accepted'").withColumn("verifier", verifier)
+    rows = view(spark, sf_dir, "claims").withColumn("verifier", verifier)
     n = K.token_counts(X.format_math_sft(), X.instruction_prefix())
     rows = rows.withColumns({"full": n["full"], "supervised": n["supervised"], "key": F.sha2(X.normalize_question("instruction"), 256)})
     return sel.first_claims(gates.reasons(rows, gates.synthesis_rules("full", "supervised", 150)), "key", "seq", "reasons")
