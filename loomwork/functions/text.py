@@ -339,34 +339,90 @@ def sentence_count(c: Column | str) -> Column:
     return F.size(F.filter(parts, lambda s: strip(s) != ""))
 
 
-def render_chat(messages: Column, generation_prompt: bool = False, thinking: bool = True) -> Column:
-    """Chat text of an array of (role, content) in order.
+#: Escapes of control characters with letters in them; Spark writes these in upper case, Python in lower case.
+_ESCAPES = ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F")
 
-    Reasoning in assistant turns stays after the last real user query only; successive tool turns share one user turn. With
-    ``generation_prompt`` an open assistant turn follows, closed for thinking if not ``thinking``.
+
+def spaced_json(c: Column | str) -> Column:
+    """A JSON text with a space after each comma and colon and no other between tokens; names, order and numbers stay as they are written."""
+    tokens = F.regexp_extract_all(_col(c), F.lit(r'("(?:[^"\\]|\\.)*"|[^"]+)'), F.lit(1))
+
+    def token(t: Column) -> Column:
+        text = t
+        for e in _ESCAPES:
+            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{e}", rf"$1\\u{e.lower()}")
+        text = F.when(t.contains("\\u00"), text).otherwise(t)
+        return F.when(t.startswith('"'), text).otherwise(F.regexp_replace(F.regexp_replace(t, r"\s+", ""), "([,:])", "$1 "))
+
+    return F.array_join(F.transform(tokens, token), "")
+
+
+#: What stands before and after the tools' schemas.
+TOOLS_HEAD = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_TAIL = '\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
+
+
+def _json_text(c: Column, kind: T.DataType) -> Column:
+    """Strings as they are; anything else as JSON. Fields that are null are left out."""
+    return c if isinstance(kind, T.StringType) else spaced_json(F.to_json(c))
+
+
+def _tool_calls(message: Column, content: Column, kind: T.StructType) -> Column:
+    """The calls of an assistant's turn, each in its tags; a call may stand in a field ``function``."""
+    call = kind["tool_calls"].dataType.elementType
+
+    def one(c: Column, i: Column) -> Column:
+        inner, names = c, call
+        if "function" in call.names:
+            inner, names = c["function"], call["function"].dataType
+        text = F.concat(F.lit('<tool_call>\n{"name": "'), inner["name"], F.lit('", "arguments": '), _json_text(inner["arguments"], names["arguments"].dataType), F.lit("}\n</tool_call>"))
+        return F.concat(F.when((i > 0) | (content != ""), "\n").otherwise(""), text)
+
+    return F.coalesce(F.array_join(F.transform(message["tool_calls"], one), ""), F.lit(""))
+
+
+def render_chat(messages: Column, generation_prompt: bool = False, thinking: bool = True, message: T.StructType | None = None, tools: Column | None = None) -> Column:
+    """Chat text of an array of messages in order.
+
+    ``message`` is their type: role and content (a string), and if they have them reasoning_content (a string; where it is
+    null, the reasoning is taken from the content) and tool_calls, an array of (name, arguments) or of (function: (name,
+    arguments)) with arguments as a string or any nested value. ``tools``: an array of schemas as JSON texts, null or empty
+    for none; they go into a system turn, after the text of a first system message. Reasoning in assistant turns stays after
+    the last real user query only; successive tool turns share one user turn. With ``generation_prompt`` an open assistant
+    turn follows, closed for thinking if not ``thinking``.
     """
+    fields = message.names if message is not None else ["role", "content"]
     n = F.size(messages)
-    real = F.transform(messages, lambda m, i: F.when((m["role"] == "user") & ~(m["content"].startswith("<tool_response>") & m["content"].endswith("</tool_response>")), i).otherwise(-1))
+    real = F.transform(messages, lambda m, i: F.when((m["role"] == "user") & m["content"].isNotNull() & ~(m["content"].startswith("<tool_response>") & m["content"].endswith("</tool_response>")), i).otherwise(-1))
     found = F.array_max(real)
     query = F.when(found >= 0, found).otherwise(n - 1)
     nl = lambda c: F.regexp_replace(c, r"^\n+|\n+$", "")
+    lead = lambda c: F.regexp_replace(c, r"^\n+", "")
+    has_tools = F.lit(False) if tools is None else F.coalesce(F.size(tools) > 0, F.lit(False))
+    first_system = F.coalesce(F.get(messages, F.lit(0))["role"] == "system", F.lit(False))
 
     def turn(m: Column, i: Column) -> Column:
         role, content = m["role"], F.coalesce(m["content"], F.lit(""))
-        thinks = content.contains("</think>")
+        given = m["reasoning_content"] if "reasoning_content" in fields else F.lit(None).cast("string")
+        thinks = content.contains("</think>") & given.isNull()
         before = F.regexp_replace(F.element_at(F.split(content, "</think>", -1), 1), r"\n+$", "")
-        reasoning = F.when(thinks, F.regexp_replace(F.element_at(F.split(before, "<think>", -1), -1), r"^\n+", "")).otherwise("")
-        body = F.when(thinks, F.regexp_replace(F.element_at(F.split(content, "</think>", -1), -1), r"^\n+", "")).otherwise(content)
+        reasoning = F.when(given.isNotNull(), given).when(thinks, lead(F.element_at(F.split(before, "<think>", -1), -1))).otherwise("")
+        body = F.when(thinks, lead(F.element_at(F.split(content, "</think>", -1), -1))).otherwise(content)
         shown = (i > query) & ((i == n - 1) | (reasoning != ""))
-        head = F.lit(f"{CHAT_START}assistant\n")
-        answer = F.concat(head, F.when(shown, F.concat(F.lit("<think>\n"), nl(reasoning), F.lit("\n</think>\n\n"), F.regexp_replace(body, r"^\n+", ""))).otherwise(body), F.lit(f"{CHAT_END}\n"))
+        calls = _tool_calls(m, body, message) if "tool_calls" in fields else F.lit("")
+        answer = F.concat(F.lit(f"{CHAT_START}assistant\n"), F.when(shown, F.concat(F.lit("<think>\n"), nl(reasoning), F.lit("\n</think>\n\n"), lead(body))).otherwise(body), calls, F.lit(f"{CHAT_END}\n"))
         tool_before = F.coalesce(F.get(messages, i - 1)["role"] == "tool", F.lit(False))
         tool_after = F.coalesce(F.get(messages, i + 1)["role"] == "tool", F.lit(False))
         tool = F.concat(F.when(tool_before, F.lit("")).otherwise(F.lit(f"{CHAT_START}user")), F.lit("\n<tool_response>\n"), content, F.lit("\n</tool_response>"), F.when(tool_after, F.lit("")).otherwise(F.lit(f"{CHAT_END}\n")))
         plain = F.concat(F.lit(CHAT_START), role, F.lit("\n"), content, F.lit(f"{CHAT_END}\n"))
-        return F.when(role.isin("user", "system"), plain).when(role == "assistant", answer).when(role == "tool", tool).otherwise("")
+        said = (role == "user") | (role == "system") & ((i > 0) | ~has_tools)
+        return F.when(said, plain).when(role == "assistant", answer).when(role == "tool", tool).otherwise("")
 
     text = F.array_join(F.transform(messages, turn), "")
+    if tools is not None:
+        opening = F.when(first_system, F.concat(F.coalesce(F.get(messages, F.lit(0))["content"], F.lit("")), F.lit("\n\n"))).otherwise("")
+        schemas = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), spaced_json(t))), "")
+        text = F.concat(F.when(has_tools, F.concat(F.lit(f"{CHAT_START}system\n"), opening, F.lit(TOOLS_HEAD), schemas, F.lit(f"{TOOLS_TAIL}{CHAT_END}\n"))).otherwise(""), text)
     if generation_prompt:
         text = F.concat(text, F.lit(f"{CHAT_START}assistant\n" + ("" if thinking else "<think>\n\n</think>\n\n")))
     return text

@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a table that may be held in the driver and broadcast; a larger one is stored and shuffled.
 SMALL_ROWS = 50_000
@@ -21,10 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or LOCAL_DIR).rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, below one of the application, where nothing is yet."""
+    return f"{shared_folder(spark)}/loomwork-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, below a folder of the application."""
+    """``df`` written as Parquet to the shared folder and read back."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_folder(spark)}/loomwork-{spark.sparkContext.applicationId}/stored-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stored")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -41,3 +47,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out to all cores where fewer partitions hold it, as those of a few small files; else as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def small_table(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has so few rows, by count; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

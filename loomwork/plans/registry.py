@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from loomwork.plans import cleaning, evaluation, ledgers, process, selection  # noqa: F401
+    from loomwork.plans import cleaning, evaluation, ingest, ledgers, process, selection  # noqa: F401
 
 
 load()

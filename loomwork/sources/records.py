@@ -1,15 +1,20 @@
-"""Readers and writers: JSON lines in three tolerances, guarded and atomic sinks, fingerprints, manifests, token arrays."""
+"""Readers and writers: JSON lines in three tolerances, guarded sinks, fingerprints, manifests, token arrays."""
 
 from __future__ import annotations
 
-import uuid
+import json
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from loomwork.functions.text import last, simple_boxes, strip
+from loomwork.operators.store import small_table
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 RAW_INSTRUCT = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "input", "target")])
@@ -35,9 +40,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, missing_ok:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def without_bad_bytes(c: Column | str) -> Column:
+    """A string whose bytes may not be UTF-8, without those that aren't. U+FFFD that stands in the text stays."""
+    text = F.col(c) if isinstance(c, str) else c
+    # what make_valid_utf8 puts in for bad bytes must not be taken for what was there: that is escaped meanwhile
+    swap = lambda x, *pairs: swap(F.replace(x, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else x
+    escaped = swap(text, ("\ue000", "\ue000\ue001"), ("\ufffd", "\ue000\ue002"))
+    cleaned = swap(F.make_valid_utf8(escaped), ("\ufffd", ""), ("\ue000\ue002", "\ufffd"), ("\ue000\ue001", "\ue000"))
+    return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
+
+
 def read_jsonl_dropping(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows whose line parses; other lines go."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    """Rows whose line parses once bytes that aren't UTF-8 are left out; other lines go."""
+    lines = spark.read.text(path).select(without_bad_bytes("value").alias("value"))
+    return parse_lines(lines, schema, errors=False).filter(F.col("reject_reason").isNull()).select("row.*")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,21 +67,44 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.select("file", "_block", "_first", before().alias("_all"), before("file").alias("_own"))
     at = F.col("_id") - F.col("_first")
     # a row for each split, whatever the number of lines
-    return lines.join(F.broadcast(blocks), ["file", "_block"]).select((F.col("_all") + at).alias("seq"), "file", (F.col("_own") + at + 1).alias("line_number"), "value")
+    return lines.join(small_table(blocks), ["file", "_block"]).select((F.col("_all") + at).alias("seq"), "file", (F.col("_own") + at + 1).alias("line_number"), "value")
 
 
 def read_jsonl_quarantined(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows with seq, broken lines as file, line_number, raw_line and reject_reason). Lines that aren't blank are one or the other."""
-    rows = parse_lines(numbered_lines(spark, path), schema)
-    bad = F.col("reject_reason").isNotNull()
-    return rows.filter(~bad).select("seq", "row.*"), rows.filter(bad).select("file", "line_number", F.col("value").alias("raw_line"), "reject_reason")
+    """(good rows with seq, broken lines as file, line_number, raw_line, reject_reason and error). Lines that aren't blank are one or the other."""
+    lines = numbered_lines(spark, path).withColumn("value", without_bad_bytes("value"))
+    rows, bad = parse_lines(lines, schema, errors=False), F.col("reject_reason").isNotNull()
+    broken = rows.filter(bad).withColumn("error", _parse_error("value"))
+    return rows.filter(~bad).select("seq", "row.*"), broken.select("file", "line_number", F.col("value").alias("raw_line"), "reject_reason", "error")
+
+
+def _message(line: str | None) -> str | None:
+    if line is None:
+        return None
+    try:
+        found = json.loads(line)
+    except ValueError as e:
+        return str(e)
+    return "" if isinstance(found, dict) else f"not an object but {type(found).__name__}"
+
+
+def _messages(lines: pd.Series) -> pd.Series:
+    return lines.map(_message)
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """As quarantined reading, of lines in a column: line_number stays, row is the record or null, reject_reason says why."""
+#: What a JSON parser says of a line; run once for a column.
+_parse_error = F.pandas_udf(_messages, T.StringType()).asNondeterministic()
+
+
+def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value", errors: bool = True) -> DataFrame:
+    """As quarantined reading, of lines in a column: line_number stays, row is the record or null, reject_reason says why and error what the parser says.
+
+    Only broken lines leave the JVM, for the parser's message; without ``errors`` none does.
+    """
     row = F.from_json(value, schema, {"mode": "PERMISSIVE"})
     good = F.get_json_object(value, "$").isNotNull() & strip(value).startswith("{")
-    return lines.filter(strip(value) != "").withColumns({"row": F.when(good, row), "reject_reason": F.when(~good, F.lit("json_decode_error"))})
+    out = lines.filter(strip(value) != "").withColumns({"row": F.when(good, row), "reject_reason": F.when(~good, F.lit("json_decode_error"))})
+    return out.withColumn("error", _parse_error(F.when(F.col("reject_reason").isNotNull(), F.col(value)))) if errors else out
 
 
 def merge_files(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
@@ -99,23 +138,74 @@ def write_if_absent(df: DataFrame, path: str) -> bool:
     return True
 
 
-def replace_atomically(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and rename twice: readers see the old files or the new ones, or for a moment between the renames none, never a part."""
-    spark = df.sparkSession
-    temp, old = f"{path}.tmp-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.json(temp)
-    fs, target = _fs(spark, path)
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(target):
-        fs.rename(target, make(old))
-    fs.rename(make(temp), target)
-    if fs.exists(make(old)):
-        fs.delete(make(old), True)
+#: Bytes of a file that are one row on their way to its digest, about.
+CHUNK = 1 << 20
+#: Endings of files that Spark's text reader would unpack.
+PACKED = r"(?i)\.(gz|bz2|zst|zstd|lz4|snappy|deflate|xz)$"
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of each file.
+
+    Files are read in splits, by newlines; chunks of about 1 MiB go to the task that a file's digest is made in, sorted by
+    their place, and pass through it one at a time. So memory doesn't grow with a file, unless it has a line of gigabytes.
+    Packed files, which the reader would unpack, are read whole.
+    """
+    binary = spark.read.format("binaryFile").load(path)
+    files = [re.sub(r"^(\w+):///", r"\1:/", f) for f in binary.inputFiles()]  # as paths are written in _metadata
+    listed = spark.createDataFrame([(f, unquote(f)) for f in files], "_file string, path string")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+
+    def chunks(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["path", "size", "block", "i", "data"]
+        for b in batches:  # a batch's lines of one split are one chunk, and chunks of a split are numbered
+            files, sizes, blocks, data = (c.to_pylist() for c in b.columns)
+            first = held = 0
+            for k in range(len(files) + 1):
+                if k == len(files) or (files[k], blocks[k]) != (files[first], blocks[first]) or held > CHUNK:
+                    if k > first:
+                        at = files[first], blocks[first]
+                        number[at] = number.get(at, -1) + 1
+                        yield pa.RecordBatch.from_pydict(dict(zip(names, ([at[0]], [sizes[first]], [at[1]], [number[at]], [b"\n".join(data[first:k])]), strict=True)))
+                    first, held = k, 0
+                if k < len(files):
+                    held += len(data[k]) + 1
+
+    number: dict = {}
+
+    def digests(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        now, state, fed, size = None, None, 0, 0
+        finished = lambda: pa.RecordBatch.from_pydict({"path": [now], "sha256": [state.hexdigest()]})
+        for b in batches:
+            for file, total, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if file != now:
+                    if now is not None:
+                        state.update(b"\n" * (size - fed))
+                        yield finished()
+                    now, state, fed, size = file, hashlib.sha256(), 0, total
+                elif fed < size:  # between chunks stood a newline
+                    state.update(b"\n")
+                    fed += 1
+                data = data.as_py()
+                state.update(data)
+                fed += len(data)
+        if now is not None:
+            state.update(b"\n" * (size - fed))
+            yield finished()
+
+    pieces = lines.filter(~F.col("path").rlike(PACKED)).mapInArrow(chunks, "path string, size long, block long, i long, data binary")
+    hashed = pieces.repartition("path").sortWithinPartitions("path", "block", "i").select("path", "size", "data").mapInArrow(digests, "path string, sha256 string")
+    whole = binary.filter(F.col("path").rlike(PACKED)).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"))
+    sizes = binary.select(F.col("_metadata.file_path").alias("_file"), F.col("length").alias("bytes"))  # without files that are empty
+    found = hashed.unionByName(whole).withColumnRenamed("path", "_file")
+    out = listed.join(sizes, "_file", "left").join(found, "_file", "left")
+    return out.select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("sha256", F.when(F.col("bytes").isNull(), F.sha2(F.lit("").cast("binary"), 256))).alias("sha256"))
 
 
 def manifest(df: DataFrame, **counts: Column) -> DataFrame:

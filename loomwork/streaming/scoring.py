@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +28,39 @@ def first_seen(rows: DataFrame, key: str, at: str, within: str = "1 hour") -> Da
     return rows.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def watch_log(spark: SparkSession, path: str, pattern: str, found: Callable[[], None], checkpoint: str) -> StreamingQuery:
-    """Calls ``found`` in the driver once a line of the log files matches, and stops."""
-    lines = spark.readStream.text(path).filter(F.col("value").rlike(pattern))
-    state = {"done": False}
+def watch_log(spark: SparkSession, path: str, pattern: str, found: Callable[[], None], timeout: float, every: float = 1.0) -> bool:
+    """Waits until a line of the log files at ``path`` matches, calls ``found`` and returns True; False after ``timeout`` seconds.
 
-    def look(batch: DataFrame, _: int) -> None:
-        if not state["done"] and batch.limit(1).count():
-            state["done"] = True
-            found()
+    A file source takes a file once and misses what is appended, so a clock drives the query: each tick reads the files again
+    if their number or size has changed. The files may not be there yet. The batch that sees the line ends the query.
+    """
+    seen = threading.Event()
+    state = {"size": None}
 
-    return lines.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def look(tick: DataFrame, _: int) -> None:
+        session = tick.sparkSession
+        at = session._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(session._jsc.hadoopConfiguration())
+        files = fs.globStatus(at) or []
+        files = [f for s in files for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+        size = (len(files), sum(f.getLen() for f in files))
+        if seen.is_set() or not files or size == state["size"]:
+            return
+        state["size"] = size
+        if session.read.text(path).filter(F.col("value").rlike(pattern)).limit(1).count():
+            seen.set()
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    query = clock.writeStream.foreachBatch(look).trigger(processingTime=f"{int(1000 * every)} milliseconds").start()
+    try:
+        end = time.monotonic() + timeout
+        while not seen.wait(min(0.2, max(0.0, end - time.monotonic()))):
+            if time.monotonic() >= end or not query.isActive:
+                break
+        if query.exception() is not None:
+            raise query.exception()
+    finally:
+        query.stop()
+    if seen.is_set():
+        found()
+    return seen.is_set()

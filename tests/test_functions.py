@@ -16,18 +16,31 @@ def column(spark, f, values):
     return [r[1] for r in sorted(df.select("i", f("v").alias("o")).collect())]
 
 
-def boxes(text):
-    """Every brace with its partner; of the markers whose brace has one, those in no other such pair."""
-    partner, waiting = {}, []
+def partners(text):
+    """The place of each brace that closes one, by the place of that one."""
+    out, waiting = {}, []
     for i, c in enumerate(text):
         if c == "{":
             waiting.append(i)
         elif c == "}" and waiting:
-            partner[waiting.pop()] = i
+            out[waiting.pop()] = i
+    return out
+
+
+def boxes(text):
+    """Every brace with its partner; of the markers whose brace has one, those in no other such pair."""
+    partner = partners(text)
     pairs = [(m.end() - 1, partner[m.end() - 1]) for m in re.finditer(r"\\boxed\{", text) if m.end() - 1 in partner]
     return [text[x + 1 : y].strip() for x, y in pairs if not any(u < x and y < v for u, v in pairs)]
 
 
+def first_box(text):
+    """What the first marker's brace encloses."""
+    found = re.search(r"\\boxed\{", text)
+    end = partners(text).get(found.end() - 1) if found else None
+    return None if end is None else text[found.end() : end].strip()
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
@@ -44,15 +57,7 @@ def test_boxes_of_random_texts(spark):
     rnd = random.Random(1)
     cases = ["".join(rnd.choice(["\\boxed{", "{", "}", "a", " ", "boxed"]) for _ in range(rnd.randint(0, 14))) for _ in range(800)]
     assert column(spark, X.balanced_boxes, cases) == [boxes(c) for c in cases]
-    firsts = []
-    for c in cases:
-        at = c.find("\\boxed{")
-        depth, i = 1, at + 7
-        while at >= 0 and i < len(c) and depth:
-            depth += {"{": 1, "}": -1}.get(c[i], 0)
-            i += 1
-        firsts.append(c[at + 7 : i - 1].strip() if at >= 0 and depth == 0 else None)
-    assert column(spark, X.first_box, cases) == firsts
+    assert column(spark, X.first_box, cases) == [first_box(c) for c in cases]
     assert column(spark, X.balanced_boxes, [None]) == [None]
 
 
@@ -123,3 +128,25 @@ def test_chat(spark):
     want = f"{s}system\ns{e}{s}user\nq{e}{s}assistant\na{e}{s}user\n<tool_response>\nt1\n</tool_response>\n<tool_response>\nt2\n</tool_response>{e}{s}user\nagain{e}{s}assistant\n<think>\nr2\n</think>\n\nb{e}"
     assert df.select(X.render_chat(F.col("m"))).first()[0] == want
     assert df.select(X.render_chat(F.col("m"), True, False)).first()[0] == want + f"{s}assistant\n<think>\n\n</think>\n\n"
+
+
+def test_chat_with_tools(spark):
+    """Schemas, calls and reasoning fields as the template writes them; nested values as a JSON text with Python's spacing."""
+    import json
+
+    tools = [{"type": "function", "function": {"name": "f", "description": 'says "hi: you, there" \\ é\n\x1f', "parameters": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {}}, "required": ["a", "b"], "x": [1, -2.5, True, None, []]}}}, {"name": "g"}]
+    call = "struct<name:string,arguments:struct<q:string,n:int,l:array<int>>>"
+    kind = f"array<struct<role:string,content:string,reasoning_content:string,tool_calls:array<{call}>>>"
+    m = [("system", "s", None, None), ("user", "q", None, None), ("assistant", "", "think\n", [("f", ('a "b", c: d', 3, [1, 2])), ("g", ("", None, []))]), ("tool", "t1", None, None), ("tool", "t2", None, None), ("assistant", "\n\nso", "\nmore\n", None), ("user", "<tool_response>x</tool_response>", None, None), ("assistant", "<think>\nr\n</think>\n\nend", None, [])]
+    df = spark.createDataFrame([(m, [json.dumps(t, separators=(",", ":")) if i else json.dumps(t, indent=2, ensure_ascii=False) for i, t in enumerate(tools)]), (m[1:], None), (None, [])], f"m {kind}, t array<string>")
+    s, e = "<|im_start|>", "<|im_end|>\n"
+    said = f"""{s}user\nq{e}{s}assistant\n<think>\nthink\n</think>\n\n<tool_call>\n{{"name": "f", "arguments": {{"q": "a \\"b\\", c: d", "n": 3, "l": [1, 2]}}}}\n</tool_call>\n<tool_call>\n{{"name": "g", "arguments": {{"q": "", "l": []}}}}\n</tool_call>{e}"""
+    said += f"{s}user\n<tool_response>\nt1\n</tool_response>\n<tool_response>\nt2\n</tool_response>{e}{s}assistant\n<think>\nmore\n</think>\n\nso{e}{s}user\n<tool_response>x</tool_response>{e}{s}assistant\n<think>\nr\n</think>\n\nend{e}"
+    head = f"{s}system\ns\n\n{X.TOOLS_HEAD}" + "".join("\n" + json.dumps(t, ensure_ascii=False) for t in tools) + X.TOOLS_TAIL + e
+    got = df.select(X.render_chat(F.col("m"), message=df.schema["m"].dataType.elementType, tools=F.col("t"))).collect()
+    assert [r[0] for r in got] == [head + said, said, None]
+    # calls in a field of their own, with arguments that are text already; no reasoning field
+    kind = "array<struct<role:string,content:string,tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>"
+    df = spark.createDataFrame([([("user", "q", None), ("assistant", "a", [(("f", '{"x":1}'),)])],)], f"m {kind}")
+    got = df.select(X.render_chat(F.col("m"), message=df.schema["m"].dataType.elementType)).first()[0]
+    assert got == f'{s}user\nq{e}{s}assistant\n<think>\n\n</think>\n\na\n<tool_call>\n{{"name": "f", "arguments": {{"x":1}}}}\n</tool_call>{e}'
