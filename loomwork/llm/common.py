@@ -67,15 +67,16 @@ def drop_staged(spark: SparkSession) -> None:
 
 
 def hash_sample(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """About ``n`` rows, ``n`` at most, of ``columns``: those of least hash of doc_id and text, over the whole table.
+    """The ``n`` rows of least hash of doc_id and text, in its order, of ``columns``; over the whole table.
 
-    The hash bounds what each partition hands on, so only about ``n`` rows move, whatever the number of partitions. Rows do
-    not depend on the partitioning unless more than ``n`` pass the bound.
+    A bound on the hash lets about 1.1 n rows pass, so only so many move and are sorted, whatever the number of partitions. What
+    comes out depends on the rows alone: if by chance fewer pass, those are it.
     """
     total = docs.count()
     rate = min(1.0, 1.1 * n / total) if total else 1.0
-    least = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < int(rate * (1 << 32))
-    return docs.filter(least).select(*columns).limit(n)
+    h = F.xxhash64("doc_id", "text")
+    passed = docs.filter(F.pmod(h, F.lit(1 << 32)) < int(rate * (1 << 32)))
+    return passed.select(*columns, F.pmod(h, F.lit(1 << 32)).alias("_hs_low"), h.alias("_hs_all")).orderBy("_hs_low", "_hs_all").limit(n).select(*columns)
 
 
 def doc_key(column: str = "doc_id") -> Column:

@@ -1,7 +1,12 @@
-"""Licence scans: a paragraph classifier on sparse word n-grams, an unknown class by calibrated probability, templates to confirm."""
+"""Licence scans: a paragraph classifier on sparse word n-grams, an unknown class by calibrated probability, templates to confirm.
+
+Classes are the families, a licence of no known family, and no licence. Features are words and word pairs; those of templates
+and of the ordinary sentences below have weights, any other only makes a paragraph longer.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,9 +66,22 @@ SENTENCES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "All-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved.", "No part of this publication may be reproduced without prior written permission.", "Proprietary and confidential. All rights reserved."],
 }
+#: Ordinary sentences with the words of licences, as examples of none: fixed values.
+ORDINARY = [
+    "The driver's license must be renewed every ten years.", "A fishing license is sold at the town hall.", "She took poetic licence with the facts.", "The license plate of the car was muddy.",
+    "He lost his driving licence after the accident.", "The bar has no license to sell wine.", "Under the terms of the contract the rent is due in May.", "The law protects the rights of the tenants.",
+    "Permission to enter the garden is granted by the mayor.", "The work of the public library is free of charge.", "The terms of the treaty were published in the morning.", "Copies of the book are distributed in schools.",
+    "The general public was not allowed to use the bridge.", "The program of the evening may be changed without notice.", "This file of letters was found in the attic.", "The author holds the copyright of the song.",
+    "A common attribution of the painting is wrong.", "The foundation of the house was built under the old wall.", "The new version of the play was published in the spring.", "The sale of software rose by a third.",
+    "You may use the door at the back of the house.", "The code of conduct applies to all members of the club.", "The clause in the license of the pilot must be read under the light of the law.", "All of the rights of way are reserved for walkers.",
+    "Released under the bright moon the birds flew away.", "He published his poems under another name.", "Distributed under the trees the chairs were soon taken.", "The king granted permission to build a mill.",
+    "The city licensed the work under a law of that year.", "The room is available under the roof for guests.",
+]
+#: Names of licences that there are not, so that notices with names of no family are known for what they are.
+OTHER_NAMES = ["{0} License", "{0} Public License", "{0} {1} License 1.1", "{2}", "{2} License", "{0}-{2}-2.0"]
 UNKNOWN = "unknown"
 #: Hashed features, and rows of the corpus (those of least hash) whose paragraphs serve as examples of no licence, at most so many.
-FEATURE_BITS = 16
+FEATURE_BITS = 18
 SAMPLE_ROWS = 400
 SAMPLE_LINES = 1500
 #: Share of a template's word pairs that a paragraph must hold; all of them where the template has no more than FEW_PAIRS.
@@ -76,13 +94,23 @@ WINDOW_WORDS = 24
 WINDOW_STEP = 12
 #: Of paragraphs without a licence at most so many may pass the calibrated threshold.
 FALSE_SHARE = 0.01
-#: The threshold goes no higher: templates confirm what passes.
-MAX_THRESHOLD = 0.9
+#: Notices that each name is fitted with; all of them are templates.
+FIT_NOTICES = 5
+_fitted: dict[str, Classifier] = {}
 
 
 def templates() -> dict[str, list[tuple[str, str]]]:
-    """Of each family the templates, each with the name that a notice must hold whole (none in the licences' own sentences)."""
-    return {f: [(t, "") for t in SENTENCES[f]] + [(n.format(name), name) for n in NOTICES for name in NAMES[f]] for f in NAMES}
+    """Of each family the templates, each with the name that a notice must hold whole (none in the licences' own sentences); the bare name is one."""
+    return {f: [(t, "") for t in SENTENCES[f]] + [(name, name) for name in NAMES[f]] + [(n.format(name), name) for n in NOTICES for name in NAMES[f]] for f in NAMES}
+
+
+def fit_texts() -> list[list[str]]:
+    """Of each family the texts that the fit takes: sentences, bare names, and each name in FIT_NOTICES of the notices, by turns."""
+    out = []
+    for f, names in NAMES.items():
+        turns = [[n.format(name) for n in (NOTICES * 2)[3 * j % len(NOTICES) :][:FIT_NOTICES]] for j, name in enumerate(names)]
+        out.append([*SENTENCES[f], *names, *(t for turn in turns for t in turn)])
+    return out
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +134,7 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Classifier:
-    """Multinomial logistic regression; the last class is the unknown one."""
+    """Multinomial logistic regression; the last class but one is a licence of no known family, the last is no licence."""
 
     families: list[str]
     weights: np.ndarray
@@ -114,7 +142,6 @@ class Classifier:
     temperature: float
     threshold: float
     templates: list[list[tuple[np.ndarray, np.ndarray]]]
-    known: np.ndarray
 
     def probabilities(self, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of each run of words the classes' probabilities."""
@@ -146,30 +173,43 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def examples(negatives: list[str], seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, classes, and which are held out for calibration: templates whole, with words before and after from the corpus, and with words left out; and paragraphs of the corpus.
+    """Texts, classes, and which are held out for calibration.
 
-    Every fifth template of a family is held out with all its variants, so calibration sees templates that the fit did not.
+    Texts of licences are whole, among words of the corpus, and with words left out. Those of no licence are paragraphs of the
+    corpus, ordinary sentences, and parts of notices among other words. Every fifth text of a family is held out with all its
+    variants, so calibration sees texts that the fit did not, and a fifth of those without a licence.
     """
     rnd = np.random.default_rng(seed)
     pool = [w for p in negatives[:2000] for w in p.split()] or ["word"]
     some = lambda n: " ".join(pool[i] for i in rnd.integers(0, len(pool), n))
+    letters = lambda n: "".join(chr(65 + i) for i in rnd.integers(0, 26, n))
     texts, classes, rest = [], [], []
-    for c, group in enumerate(templates().values()):
-        for k, (t, _) in enumerate(group):
-            words = t.split()
-            cut = [w for w in words if rnd.random() > 0.1]
-            for v in (t, f"{some(4)} {t}", f"{t} {some(4)}", f"{some(9)} {t} {some(9)}", f"{some(18)} {t}", " ".join(cut) or t, t.lower()):
-                texts.append(v)
-                classes.append(c)
-                rest.append(k % 5 == 3)
-    n = len(NAMES)
+
+    def add(text: str, c: int, held: bool) -> None:
+        cut = " ".join(w for w in text.split() if rnd.random() > 0.1) or text
+        for v in (text, f"{some(4)} {text}", f"{some(9)} {text} {some(9)}", cut.lower()):
+            texts.append(v)
+            classes.append(c)
+            rest.append(held)
+
+    for c, group in enumerate(fit_texts()):
+        for k, t in enumerate(group):
+            add(t, c, k % 5 == 3)
+    for k, notice in enumerate(NOTICES):
+        for j, name in enumerate(OTHER_NAMES):
+            add(notice.format(name.format(some(1).title(), some(1).title(), letters(4 + j % 3))), len(NAMES), (k + j) % 5 == 3)
+    known, none = len(texts), len(NAMES) + 1
     # words of notices in other company are no licence
-    spare = [t.split() for group in templates().values() for t, _ in group]
-    for i in rnd.integers(0, len(spare), 800):
-        k = int(rnd.integers(0, max(1, len(spare[i]) - 1)))
-        texts.append(f"{some(6)} {' '.join(spare[i][k : k + 2])} {some(6)}")
+    spare = [n.replace("{}", "").split() for n in NOTICES] + [t.split() for group in SENTENCES.values() for t in group]
+    for n, i in enumerate(rnd.integers(0, len(spare), 600)):
+        size = int(rnd.integers(1, 4 if n % 2 else 3))
+        k = int(rnd.integers(0, max(1, len(spare[i]) - size)))
+        part = " ".join(spare[i][k : k + size])
+        texts.append(f"{some(6)} {part} {some(6)}" if n % 2 else part)
+        rest.append(n % 10 == 1)  # a part alone is no paragraph to be measured by
+    texts += [v for t in ORDINARY for v in (t, f"{some(5)} {t}", f"{t} {some(8)}", t.lower())]
     texts += negatives
-    classes += [n] * (len(texts) - len(classes))
+    classes += [none] * (len(texts) - known)
     rest += (rnd.random(len(texts) - len(rest)) < 0.2).tolist()
     return texts, np.array(classes), np.array(rest)
 
@@ -177,48 +217,54 @@ def examples(negatives: list[str], seed: int = 7) -> tuple[list[str], np.ndarray
 def train(negatives: list[str], rounds: int = 60, rate: float = 2.0, decay: float = 1e-5, seed: int = 7) -> Classifier:
     """Temperature and threshold are set on held-out examples by a fit without them; the weights are then fitted on all."""
     texts, classes, rest = examples(negatives, seed)
-    words = tokens([t.encode() for t in texts])
-    single, double = features(words)
-    text = words.text_of()
-    inner = text[1:] == text[:-1]
-    keys, text = np.concatenate([single, double[inner]]), np.concatenate([text, text[:-1][inner]])
-    n, k = len(texts), len(NAMES) + 1
-    used, at = np.unique(keys, return_inverse=True)
-    value = 1 / np.sqrt(np.maximum(np.bincount(text, minlength=n), 1))[text]
-    target = np.eye(k)[classes]
-    by_text = np.argsort(text, kind="stable")
-    some, first = np.unique(text[by_text], return_index=True)
-
-    def sums(small: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = np.tile(bias, (n, 1))
-        out[some] += np.add.reduceat(small[at[by_text]] * value[by_text, None], first, axis=0)
-        return out
+    numbers = lambda some: _numbers(tokens([t.encode() for t in some]))
+    used = np.unique(numbers([t for group in fit_texts() for t in group] + ORDINARY + [n.replace("{}", "") for n in NOTICES])[0])
+    keys, text, size = numbers(texts)
+    at = np.searchsorted(used, keys).clip(max=len(used) - 1)
+    mine = used[at] == keys
+    n, k = len(texts), len(NAMES) + 2
+    x = np.zeros((n, len(used)), np.float32)  # the few features that have weights
+    np.add.at(x, (text[mine], at[mine]), (1 / np.sqrt(np.maximum(size, 1)))[text[mine]])
+    target = np.eye(k, dtype=np.float32)[classes]
 
     def fitted(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        small, grown, bias = np.zeros((len(used), k)), np.full((len(used), k), 1e-8), np.zeros(k)
-        share = np.where(use, 1 / np.maximum(np.bincount(classes[use], minlength=k), 1)[classes], 0)
-        share = share / share.sum()
-        mine = np.flatnonzero(use[text])
-        by_key = mine[np.argsort(at[mine], kind="stable")]
-        hit, begin = np.unique(at[by_key], return_index=True)
+        own, want = x[use], target[use]
+        w, grown, bias = np.zeros((len(used), k), np.float32), np.full((len(used), k), 1e-8, np.float32), np.zeros(k, np.float32)
+        share = 1 / np.maximum(np.bincount(classes[use], minlength=k), 1)[classes[use]]
+        share = (share / share.sum()).astype(np.float32)
+        last = np.inf
         for _ in range(rounds):
-            error = (softmax(sums(small, bias)) - target) * share[:, None]
-            step = decay * small
-            step[hit] += np.add.reduceat(error[text[by_key]] * value[by_key, None], begin, axis=0)
+            p = softmax(own @ w + bias)
+            loss = -float(share @ np.log((p * want).sum(axis=1) + 1e-12))
+            if last - loss < 1e-5:
+                break
+            last = loss
+            error = (p - want) * share[:, None]
+            step = own.T @ error + decay * w
             grown += step**2
-            small -= rate * step / np.sqrt(grown) * 0.1
+            w -= rate * step / np.sqrt(grown) * 0.1
             bias = bias - rate * error.sum(axis=0)
-        return small, bias
+        return w, bias
 
-    z, truth = sums(*fitted(~rest))[rest], classes[rest]
+    w, bias = fitted(~rest)
+    z, truth = (x[rest] @ w + bias).astype(np.float64), classes[rest]
     temperature = min(np.geomspace(0.1, 3, 30), key=lambda t: -np.log(softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean())
     p = softmax(z / temperature)
     wrong = np.sort(1 - p[truth == k - 1, -1])
     threshold = max(0.5, float(wrong[int(len(wrong) * (1 - FALSE_SHARE))]) + 1e-6 if len(wrong) else 0.5)
-    small, bias = fitted(np.ones(n, bool))
+    w, bias = fitted(np.ones(n, bool))
     weights = np.zeros((1 << FEATURE_BITS, k), np.float32)
-    weights[used] = small
-    return Classifier(list(NAMES), weights, bias, float(temperature), min(threshold, MAX_THRESHOLD), template_hashes(), known_pairs())
+    weights[used] = w
+    return Classifier(list(NAMES), weights, bias.astype(np.float64), float(temperature), threshold, template_hashes())
+
+
+def _numbers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers, the text that each is in, and how many each text has."""
+    single, double = features(words)
+    text = words.text_of()
+    inner = text[1:] == text[:-1]
+    text = np.concatenate([text, text[:-1][inner]])
+    return np.concatenate([single, double[inner]]), text, np.bincount(text, minlength=len(words.at) - 1)
 
 
 def word_pairs(hashes: np.ndarray) -> np.ndarray:
@@ -237,13 +283,21 @@ def known_pairs() -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """A classifier with the paragraphs of at most ``sample_rows`` rows as examples of no licence, but for those like a template."""
+    """A classifier with the paragraphs of at most ``sample_rows`` rows (those of least hash) as examples of no licence, but for those like a template.
+
+    Fitted once in a session for one sample: the last classifiers are kept by its checksum.
+    """
     table = hash_sample(docs, ["text"], sample_rows).toArrow()
     lines = [p for t in table.column("text").to_pylist() for p in (t or "").split("\n") if p.strip()]
     known = known_pairs()
     # a sentence in the middle of a paragraph counts too: a paragraph with over a few pairs of the templates is left out
-    lines = [p for p in lines if np.isin(word_pairs(tokens([p.encode()]).hashes()), known).sum() < 2]
-    return train(lines[:SAMPLE_LINES])
+    lines = [p for p in lines if np.isin(word_pairs(tokens([p.encode()]).hashes()), known).sum() < 2][:SAMPLE_LINES]
+    key = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    if key not in _fitted:
+        while len(_fitted) > 3:
+            _fitted.pop(next(iter(_fitted)))
+        _fitted[key] = train(lines)
+    return _fitted[key]
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier | None = None, confirm: float = CONFIRM) -> DataFrame:
@@ -252,9 +306,10 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier |
     Paragraphs are the lines with a word, counted from 0 over all lines; a long one is classified in overlapping windows, and
     the window with the least probability of no licence stands for it. If all families together reach the calibrated
     threshold there, the paragraph is of the most probable family that a template confirms: the paragraph holds ``confirm``
-    of its word pairs and the whole name (see :meth:`Classifier.similarity`). A paragraph that no template confirms is listed
-    as unknown if it holds FEW_PAIRS pairs of any templates. A null or empty text has no paragraphs. Repeated rows all come back. An empty table gives no rows (and a
-    classifier without the corpus's examples). The fit takes rows by hash, so it depends on the rows, not on their order.
+    of its word pairs and the whole name (see :meth:`Classifier.similarity`); of families of equal probability the first in
+    NAMES. A paragraph that no template confirms is listed as unknown, whatever it holds. A null or empty text has no
+    paragraphs. Repeated rows all come back. An empty table gives no rows (and a classifier without the corpus's examples).
+    The fit takes the rows of least hash, so it depends on the rows, not on their order or place.
     Other columns play no part.
     """
     held = spark.sparkContext.broadcast(classifier or fit(docs))
@@ -287,14 +342,12 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, classifier: Classifier |
                     i = int(where[k])
                     hashes = words.hashes() if hashes is None else hashes
                     mine = hashes[words.at[i] : words.at[i + 1]]
-                    for family in np.argsort(-p[k, :-1], kind="stable")[:3].tolist():
+                    for family in np.argsort(-p[k, :-2], kind="stable")[:3].tolist():
                         near = c.similarity(mine, family)
                         if near >= confirm:
                             break
                     else:
                         family, near = -1, 0.0
-                        if np.isin(word_pairs(mine), c.known).sum() < FEW_PAIRS:
-                            continue
                     rows[owner[i]].append({"paragraph": int(number[i]), "family": UNKNOWN if family < 0 else c.families[family], "probability": round(float(p[k, family] if family >= 0 else 1 - p[k, -1]), 6), "similarity": round(near, 6)})
                 found += rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=schema.names)
