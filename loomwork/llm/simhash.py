@@ -2,12 +2,13 @@
 
 Two settings. Fingerprints of 64 bits and a small distance: blocks by the pigeonhole principle, so no pair is missed.
 Wide fingerprints for a similarity of shingle sets: at 0.8 about an eighth of the bits differ, which leaves pigeonhole
-blocks of a few bits; there, fixed random blocks serve, enough of them to meet nearly all such pairs (see WIDE_TABLES).
+blocks of a few bits; there, fixed random blocks serve, enough of them to meet nearly all such pairs (see wide_plan).
 Wide fingerprints only find candidates: of what they link, the shingle sets themselves are compared (see similar_edges).
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -29,17 +30,25 @@ SEED = 42
 #: acos(2J / (1 + J)) / pi of the bits: 38.8 of 256 at 0.8, with a standard deviation of 5.7; unrelated ones in 128.
 WIDE_WORDS = 4
 WIDE_DISTANCE = 50
-#: Random blocks and bits of each. A pair at similarity 0.8 meets in one of them with probability 0.96, at 0.85 0.995.
-WIDE_TABLES = 48
+#: Random blocks: bits of each at least, fingerprints without likeness that one key should hold, the probability with which a
+#: pair at similarity 0.8 meets in one of the blocks (0.998 at 0.85), and the share of bits in which such a pair differs.
 WIDE_BITS = 16
+WIDE_KEY = 16
+WIDE_RECALL = 0.972
+WIDE_SHARE = 0.1516
+#: Fingerprints, and shingle sets, that are compared in one task; where more meet, each pair of blocks of them is a task.
+KEY_BLOCK = 8192
+SET_BLOCK = 1024
+#: Rounds in which the sets of a large label are compared with one of them, each time another.
+HUBS = 3
 #: The similarity from which documents are near copies, and the bits beyond which sets linked by others are not compared:
 #: seven standard deviations above the mean at 0.8.
 SIMILARITY = 0.8
 WIDE_SURE = 80
 #: Shingles that one comparison of a set with others gathers at once.
 GATHER = 1 << 20
-#: Levels of keys at most; at the last one keys are compared whole, whatever their size. Only pigeonhole blocks are split:
-#: random ones would lose pairs at each level, so wide keys are always compared whole.
+#: Levels of keys at most; at the last one keys are compared whole, in blocks if they are large. Only pigeonhole blocks are
+#: split: random ones would lose pairs at each level, so wide keys are always compared whole.
 MAX_LEVELS = 4
 
 Masks = list[tuple[int, ...]]
@@ -137,6 +146,32 @@ def random_masks(mask: tuple[int, ...], tables: int, bits: int) -> Masks:
     return [tuple(x | y for x, y in zip(mask, m, strict=True)) for m in chosen]
 
 
+def wide_plan(n: int) -> tuple[int, int]:
+    """(bits, blocks) for ``n`` fingerprints: as many bits as leave WIDE_KEY of them under a key, and as many blocks as WIDE_RECALL takes.
+
+    So comparisons of a document don't grow with the corpus but with the number of blocks, as its power 0.24.
+    """
+    bits = max(WIDE_BITS, math.ceil(math.log2(max(n, 1) / WIDE_KEY)))
+    meet = (1 - WIDE_SHARE) ** bits
+    return bits, math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - meet))
+
+
+def in_blocks(rows: DataFrame, key: str, spread: str, sizes: DataFrame, block: int) -> DataFrame:
+    """``rows`` with another key where over ``block`` of them hold one: cut into blocks by a hash of ``spread``, a row goes to each pair of blocks that its own is in.
+
+    ``sizes`` (key, _n) has the number of rows of those keys at least. Any two rows of a key meet again under some key.
+    """
+    large = sizes.filter(F.col("_n") > block).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_b"))
+    n = large.limit(100_001).count()
+    if not n:
+        return rows
+    out = rows.join(F.broadcast(large) if n <= 100_000 else large, key, "left")
+    mine = F.pmod(F.xxhash64(spread, F.lit(5)), F.col("_b")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("_b") - 1), lambda j: j != mine)
+    keys = F.when(F.col("_b").isNull(), F.array(key)).otherwise(F.transform(others, lambda j: F.xxhash64(key, F.least(mine, j), F.greatest(mine, j))))
+    return out.withColumn(key, F.explode(keys)).drop("_b")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -188,17 +223,50 @@ def similar_forest(words: np.ndarray, sets: list[np.ndarray], similarity: float
         front, todo = [int(todo[0])], todo[1:]
 
 
-def similar_edges(docs: DataFrame, held: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+def similar_edges(spark: SparkSession, docs: DataFrame, held: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
     """(a, b): edges that join, within each label, all fingerprints whose texts' shingle sets have SIMILARITY.
 
     ``held``: id, f0, ..., and the key _first and text hash _fth of a row that has the fingerprint; ``labels``: (node, label)
-    of those that are linked to another. Sets are dealt out by label, so only documents with candidates are compared.
+    of those that are linked to another. Sets are dealt out by label, so only documents with candidates are compared. Of a
+    label with over SET_BLOCK of them, all are first compared with one, HUBS times, wherever they are; those that are like it
+    are joined by it, and only the others are compared with all, in blocks.
     """
     names = [f"f{i}" for i in range(WIDE_WORDS)]
+    sizes = labels.groupBy("label").agg(F.count("*").alias("_n"))
+    large = staged(spark, sizes.filter(F.col("_n") > SET_BLOCK), "large-labels")
+    many = large.count()
     near = held.join(labels.withColumnRenamed("node", "id"), "id").select(F.col("_first").alias("_k"), F.col("_fth").alias("_th"), "id", "label", *names)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.concat(*(F.unhex(F.lpad(F.hex(n), 16, "0")) for n in names))
     rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), text.alias("text")).join(near, ["_k", "_th"]).select("label", "id", words.alias("words"), "text")
+    if not many:
+        return linked_sets(cut_sets(rows, shingle))
+    large = F.broadcast(large) if many <= 100_000 else large
+    edges = linked_sets(cut_sets(rows.join(large, "label", "left_anti"), shingle))
+    every = staged(spark, cut_sets(rows.join(large, "label", "left_semi"), shingle).dropDuplicates(["id"]), "large-sets")
+    rest = every
+    for k in range(HUBS):
+        hub = rest.groupBy("label").agg(F.min_by(F.struct("id", "words", "sets"), F.struct(F.xxhash64("id", F.lit(k)), "id")).alias("h")).select("label", F.col("h.id").alias("hub"), F.col("h.sets").alias("theirs"))
+        hub = staged(spark, hub, "hubs")
+        few = hub.count() <= 1000
+        found = staged(spark, like_hub(rest.join(F.broadcast(hub) if few else hub, "label")), "like-hubs")
+        edges = edges.unionByName(found.filter("a <> b"))
+        rest = staged(spark, rest.join(found.select(F.col("a").alias("id")), "id", "left_anti"), "unlike-hubs")
+    # what no hub is like: with each other and with all of the label
+    left = staged(spark, rest.groupBy("label").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("_i")).join(every.groupBy("label").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("_j")), "label"), "unlike-blocks")
+    few = left.count() <= 100_000
+    left = F.broadcast(left) if few else left
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(6)), F.col(n)).cast("int")
+    key = lambda i, j: F.xxhash64("label", i, j)
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = rest.join(left, "label").withColumn("_key", F.explode(F.transform(upto("_j"), lambda j: key(block("_i"), j))))
+    two = every.join(left, "label").join(rest.select("id"), "id", "left_anti").unionByName(rest.join(left, "label")).withColumn("_key", F.explode(F.transform(upto("_i"), lambda i: key(i, block("_j")))))
+    met = one.unionByName(two).select(F.col("_key").alias("label"), "id", "words", "sets")
+    return edges.unionByName(linked_sets(met))
+
+
+def cut_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(label, id, words, sets) of rows (label, id, words, text): the ascending hashes of a text's shingles, as bytes."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -211,6 +279,31 @@ def similar_edges(docs: DataFrame, held: DataFrame, labels: DataFrame, shingle:
                 yield pa.RecordBatch.from_arrays([*(c.slice(x, y - x) for c in b.columns[:3]), pa.array(sets, pa.binary())], names=["label", "id", "words", "sets"])
         release_memory()
 
+    return rows.mapInArrow(cut, "label long, id long, words binary, sets binary")
+
+
+def like_hub(rows: DataFrame) -> DataFrame:
+    """(a, b): id and hub of those rows (id, sets, hub, theirs, ...) whose sets have SIMILARITY; the hub itself is among them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for ident, mine, hub, theirs in zip(*(b.column(c).to_pylist() for c in ("id", "sets", "hub", "theirs")), strict=True):
+                x, y = np.frombuffer(mine, "<u8"), np.frombuffer(theirs, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if ident == hub or both and both / (len(x) + len(y) - both) >= SIMILARITY:
+                    out.append((ident, hub))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        release_memory()
+
+    return rows.select("id", "sets", "hub", "theirs").mapInArrow(run, "a long, b long")
+
+
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """(a, b): edges of a spanning forest of those sets that have SIMILARITY, within each label. ``sets``: (label, id, words, sets)."""
+
     def link(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -234,7 +327,6 @@ def similar_edges(docs: DataFrame, held: DataFrame, labels: DataFrame, shingle:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
         release_memory()
 
-    sets = rows.mapInArrow(cut, "label long, id long, words binary, sets binary")
     return sets.repartition("label").sortWithinPartitions("label").mapInArrow(link, "a long, b long")
 
 
@@ -281,8 +373,9 @@ def hamming_edges(spark: SparkSession, fps: DataFrame, width: int, distance: int
     """(a, b): edges between ids of ``fps`` (id, f0, ...: different fingerprints) within the distance that share a key.
 
     A fingerprint goes to the key that each mask makes of it. Keys with over ``max_bucket`` fingerprints are split by the
-    longer masks that ``split`` gives, until there are ``levels`` levels; one level splits none. Of each key only a spanning
-    forest leaves the worker. Only the number of large keys comes to the driver.
+    longer masks that ``split`` gives, until there are ``levels`` levels; one level splits none. Where keys are not split any
+    further, those with over KEY_BLOCK fingerprints are compared in blocks. Of each key only a spanning forest leaves the
+    worker. Only the number of large keys comes to the driver.
     """
     names = [f"f{i}" for i in range(width)]
     rows = fps.select("id", *names, F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"))
@@ -301,7 +394,11 @@ def hamming_edges(spark: SparkSession, fps: DataFrame, width: int, distance: int
             large = None if not n else F.broadcast(large) if n <= 100_000 else large
         here = rows if large is None else rows.join(large, "key", "left_anti")
         words = F.concat(*(F.unhex(F.lpad(F.hex(n), 16, "0")) for n in names))
-        links = link_sorted(here.select("key", "id", words.alias("words")), distance)
+        met = here.select("key", "id", words.alias("words"))
+        if large is None and level == levels:
+            sizes = staged(spark, here.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > KEY_BLOCK), "key-sizes")
+            met = in_blocks(met, "key", "id", sizes, KEY_BLOCK)
+        links = link_sorted(met, distance)
         found = links if found is None else found.unionByName(links)
         if large is None:
             break
@@ -325,12 +422,13 @@ def groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int
     held = staged(spark, held, "held")
     none = (0,) * width
     if wide:
-        edges = hamming_edges(spark, held, width, distance, random_masks(none, WIDE_TABLES, WIDE_BITS), lambda m: [], max_bucket, levels=1)
+        bits, tables = wide_plan(held.count())
+        edges = hamming_edges(spark, held, width, distance, random_masks(none, tables, bits), lambda m: [], max_bucket, levels=1)
     else:
         edges = hamming_edges(spark, held, width, distance, pigeonhole_masks(none, distance), lambda m: pigeonhole_masks(m, distance), max_bucket)
     labels = components(spark, edges)
     if wide:
-        labels = components(spark, similar_edges(docs, held, labels, shingle))
+        labels = components(spark, similar_edges(spark, docs, held, labels, shingle))
     held = staged(spark, held.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
     least = staged(spark, held.groupBy("label").agg(F.min("_first").alias("component"), F.count("*").alias("_held")), "components")
     held = staged(spark, skew_safe_lookup(held, least, ["label"], ["component"], "_held", ["id"]), "held-components")
