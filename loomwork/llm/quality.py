@@ -18,6 +18,8 @@ from loomwork.llm.textkit import IS_SPACE, Words, as_bytes, mix, release_memory,
 SAMPLE_ROWS = 2000
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
+#: ASCII letters, and first bytes of code points beyond ASCII.
+IS_LETTER = np.array([b >= 0xC0 or chr(b).isalpha() and b < 0x80 for b in range(256)])
 REPEAT_WINDOW = 3
 
 
@@ -117,9 +119,53 @@ def n_real_lines(t: Texts) -> np.ndarray:
     return np.bincount(text[real], minlength=len(t.texts))
 
 
+def n_top_word(t: Texts) -> np.ndarray:
+    """How often the most frequent word with a letter occurs."""
+    w = t.words
+    total = np.r_[0, np.cumsum(IS_LETTER[w.buf])]
+    real = total[w.end] > total[w.start]
+    out = np.zeros(len(t.texts), np.int64)
+    if real.any():
+        text, hashes = w.text_of()[real], w.hashes()[real]
+        order = np.lexsort((hashes, text))
+        text, hashes = text[order], hashes[order]
+        edge = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])])
+        np.maximum.at(out, text[edge], np.diff(np.r_[edge, len(order)]))
+    return out
+
+
+def n_letters(t: Texts) -> np.ndarray:
+    """ASCII letters and code points beyond ASCII."""
+    return _per_text(IS_LETTER[t.words.buf], t.words.text_at)
+
+
+def _line_ends(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with a word: its start, the places of its first and of its last byte in a word, and its text number."""
+    start, end, text, real = _lines(t)
+    inside = np.flatnonzero(~IS_SPACE[t.words.buf])
+    start, end, text = start[real], end[real], text[real]
+    return start, inside[np.searchsorted(inside, start)], inside[np.searchsorted(inside, end) - 1], text
+
+
+def n_bullet_lines(t: Texts) -> np.ndarray:
+    """Lines with a word that begin with - or *."""
+    _, first, _, text = _line_ends(t)
+    return np.bincount(text[np.isin(t.words.buf[first], (0x2D, 0x2A))], minlength=len(t.texts))
+
+
+def n_open_lines(t: Texts) -> np.ndarray:
+    """Lines with a word that end with three full stops or an ellipsis."""
+    start, _, last, text = _line_ends(t)
+    buf, inner = t.words.buf, last - 2 >= start
+    at = np.maximum(last, 2)
+    three = [buf[at - 2], buf[at - 1], buf[at]]
+    hit = inner & np.any([np.all([x == y for x, y in zip(three, mark, strict=True)], axis=0) for mark in (b"...", "…".encode())], axis=0)
+    return np.bincount(text[hit], minlength=len(t.texts))
+
+
 #: What op7 returns comes first.
 BASE_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-STATS: dict[str, Callable[[Texts], np.ndarray]] = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_real_lines": n_real_lines}
+STATS: dict[str, Callable[[Texts], np.ndarray]] = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_real_lines": n_real_lines, "n_top_word": n_top_word, "n_letters": n_letters, "n_bullet_lines": n_bullet_lines, "n_open_lines": n_open_lines}
 
 
 @dataclass(frozen=True)
@@ -151,9 +197,25 @@ def repeated_lines(t: Texts) -> np.ndarray:
     return 2 * t.stat("n_dup_lines") > t.stat("n_real_lines")
 
 
-#: The base rules and the cascade's further rules.
+def one_word(t: Texts) -> np.ndarray:
+    return 100 * t.stat("n_top_word") > 30 * t.stat("n_words")
+
+
+def few_letters(t: Texts) -> np.ndarray:
+    return 2 * t.stat("n_letters") < t.stat("word_chars")
+
+
+def bullet_lines(t: Texts) -> np.ndarray:
+    return 10 * t.stat("n_bullet_lines") > 9 * t.stat("n_real_lines")
+
+
+def open_lines(t: Texts) -> np.ndarray:
+    return 10 * t.stat("n_open_lines") > 3 * t.stat("n_real_lines")
+
+
+#: The base rules and the cascade's further rules. Statistics that no earlier rule needed are worked out for what is left only.
 BASE_RULES = (Rule("too_short", too_short), Rule("too_repetitive", too_repetitive))
-RULES = (*BASE_RULES, Rule("too_many_symbols", too_many_symbols), Rule("odd_words", odd_words), Rule("repeated_lines", repeated_lines))
+RULES = (*BASE_RULES, *(Rule(f.__name__, f) for f in (too_many_symbols, odd_words, repeated_lines, one_word, few_letters, bullet_lines, open_lines)))
 
 
 @dataclass(frozen=True)

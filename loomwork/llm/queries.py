@@ -159,16 +159,21 @@ covered AS (
 lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 real AS (
-  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE regexp_matches(line, '^[\x20\x09-\x0D]*[-*]')) AS bullets,
+    count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS open_ends FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+top AS (
+  SELECT doc_id, max(n) AS n FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM d) WHERE regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]') GROUP BY doc_id, w) GROUP BY doc_id),
 s AS (
   SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(real.dup, 0)::BIGINT AS n_dup_lines,
-    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(real.n, 0) AS n_lines
-  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN real USING (doc_id))
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(real.n, 0) AS n_lines, coalesce(real.bullets, 0) AS bullets, coalesce(real.open_ends, 0) AS open_ends, coalesce(top.n, 0) AS top,
+    length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) + length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN real USING (doc_id) LEFT JOIN top USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 5 * n_words
-    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines
+    OR 100 * top > 30 * n_words OR 2 * letters < word_chars OR 10 * bullets > 9 * n_lines OR 10 * open_ends > 3 * n_lines) AS kept
 FROM s
 """
 

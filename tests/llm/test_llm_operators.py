@@ -384,11 +384,16 @@ def test_quality_cascade(spark, docs, rows, none):
         c = Counter(wins)
         cover = {i + j for i, x in enumerate(wins) if c[x] > 1 for j in range(3)}
         real = [s for s in t.split("\n") if WORDS.search(s)]
-        return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(real) - len(set(real)), len(cover), len(real)
+        lettered = Counter(x for x in w if re.search(r"[A-Za-z]|[^\x00-\x7f]", x))
+        letters = len(re.findall(r"[A-Za-z]|[^\x00-\x7f]", t))
+        ends = [re.sub(r"^[\x20\x09-\x0d]+|[\x20\x09-\x0d]+$", "", s) for s in real]
+        bullets, opened = sum(s[0] in "-*" for s in ends), sum(s.endswith(("...", "…")) for s in ends)
+        return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(real) - len(set(real)), len(cover), len(real), max(lettered.values(), default=0), letters, bullets, opened
 
     def kept(s):
-        n, chars, sym, dup, rep, real = s
-        return not (n < 50 or 100 * rep > 50 * n or 10 * sym > 5 * n or chars < 2 * n or chars > 20 * n or 2 * dup > real)
+        n, chars, sym, dup, rep, real, top, letters, bullets, opened = s
+        base = n < 50 or 100 * rep > 50 * n or 10 * sym > 5 * n or chars < 2 * n or chars > 20 * n or 2 * dup > real
+        return not (base or 100 * top > 30 * n or 2 * letters < chars or 10 * bullets > 9 * real or 10 * opened > 3 * real)
 
     out = m.apply_rules(docs, stats=True)
     want = sorted(((i, *stats(t)[:5], kept(stats(t))) for i, t in rows), key=repr)
@@ -397,6 +402,12 @@ def test_quality_cascade(spark, docs, rows, none):
     assert sorted(((r.doc_id, r.text) for r in m.keep_good(docs).collect()), key=repr) == sorted(((i, t) for i, t in rows if kept(stats(t))), key=repr)
     assert m.keep_good(none).count() == 0
     assert {r.name for r in m.fit_order(docs)} == {r.name for r in m.RULES}
+    # each further rule on texts that only it rejects
+    line = lambda i: " ".join(f"word{i}x{j}" for j in range(12))
+    odd = {"one_word": "\n".join(f"the {line(i)} the the the the the the the" for i in range(9)), "few_letters": " ".join(f"{7 * i}:{i * i}" for i in range(99)), "bullet_lines": "\n".join(f" - {line(i)}" for i in range(9)), "open_lines": "\n".join(f"{line(i)} {e}" for i, e in enumerate(["...", "…", "end... ", "", "", ".", ".."])), None: "\n".join(f"{line(i)} {e}" for i, e in enumerate(["...", "…", "", "", "", ".", "..", "-"]))}
+    odd_docs = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(odd.items())], "doc_id long, text string")
+    for order in (m.RULES, m.RULES[::-1]):
+        assert [r.rejected_by for r in sorted(m.apply_rules(odd_docs, order).collect())] == list(odd)
 
 
 def repeated(rows, window):
