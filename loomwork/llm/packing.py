@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from loomwork.llm.common import new_path
+from loomwork.llm.common import new_path, staged
 from loomwork.llm.textkit import release_memory, text_slices
 from loomwork.llm.tokens import Encoder
 
 MAX_LENGTH = 1024
-#: Files whose first numbers may be broadcast: some 200 bytes each.
-BROADCAST_FILES = 200_000
+#: Files whose first numbers may be broadcast: some 300 bytes each, one file a task. Beyond, ids are shuffled to meet them.
+BROADCAST_FILES = 1_000_000
+#: Parts of the files whose rows are counted together before those of a part are.
+PARTS = 1024
 
 
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -56,22 +58,29 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """Write all sequences to ``path`` (a new folder in the shared one if None), a folder for each length, and read them back.
+    """Write all sequences to ``path`` (a new folder in the shared one if None), a file for each task with its lengths one after the other, and read them back.
 
     A sequence is one piece of one document: its length is a power of two, so it needs no padding and crosses no document.
     Each document is its ids and ``end_id``; a null or empty text is the end alone. Columns: doc_id, start (ids of the
     document before the piece), length, doc_tokens, ids, sequence_id (gapless from 0 over all buckets), offset (0).
-    Repeated rows and rows without an id are packed each for itself. An empty table writes nothing and gives no rows.
+    Repeated rows and rows without an id are packed each for itself. An empty table gives no rows.
 
-    The ids are written once and not shuffled; sequence_id is a row's place in its file after all rows of the files before.
+    A file is sorted by length, so a reader of one bucket skips the other row groups by their statistics. The ids are written
+    once and not shuffled; sequence_id is a row's place among its file's of that length, after those of the shorter lengths and
+    of the files before.
     """
     path = path or new_path(spark, "packed")
     rows = pieces(docs, tokenizer, max_length, end_id)
-    rows.write.partitionBy("length").option("compression", "zstd").parquet(path)
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "length"), rows.schema["length"]])
-    found = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    before = F.sum("_n").over(W.orderBy("length", "_file").rowsBetween(W.unboundedPreceding, -1))
-    files = found.groupBy("length", "_file").agg(F.count("*").alias("_n")).select("length", "_file", F.coalesce(before, F.lit(0)).alias("_first"))
-    # ids would be shuffled to meet a row of their file; the files are counted, and broadcast unless there are very many
-    out = found.join(F.broadcast(files) if files.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES else files, ["length", "_file"])
-    return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids", (F.col("_first") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows.sortWithinPartitions("length").write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(rows.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    runs = staged(spark, found.groupBy("length", "_file").agg(F.count("*").alias("_n"), F.min("_row").alias("_at")), "runs")
+    # rows of the runs before: first over lengths and parts of the files, then within a part
+    runs = runs.withColumn("_part", F.pmod(F.xxhash64("_file"), F.lit(PARTS)))
+    parts = runs.groupBy("length", "_part").agg(F.sum("_n").alias("_m"))
+    parts = parts.select("length", "_part", (F.sum("_m").over(W.orderBy("length", "_part")) - F.col("_m")).alias("_before"))  # PARTS rows a length
+    within = F.sum("_n").over(W.partitionBy("length", "_part").orderBy("_file")) - F.col("_n")
+    first = runs.withColumn("_within", within).join(F.broadcast(parts), ["length", "_part"]).select("_file", "length", (F.col("_before") + F.col("_within") - F.col("_at")).alias("_first"))
+    # a row a file; ids would be shuffled to meet it, so it is broadcast unless there are very many files
+    first = staged(spark, first.groupBy("_file").agg(F.map_from_entries(F.collect_list(F.struct("length", "_first"))).alias("_first")), "first-numbers")
+    out = found.join(F.broadcast(first) if first.count() <= BROADCAST_FILES else first, "_file")
+    return out.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids", (F.col("_first")[F.col("length")] + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -86,7 +86,10 @@ def next_map(spark: SparkSession, docs: DataFrame, n_shards: int = 16, n_slots:
     Without ``versions`` (or with an empty one) that is version 1 (:func:`first_map`); else the last one is edited
     (:func:`rebalanced_map`), so slots move only where a shard has outgrown its share, is new or is gone.
     """
-    slots = staged(spark, slot_bytes(with_slots(docs, n_slots), n_slots), "slot-bytes")
+    return _next(spark, staged(spark, slot_bytes(with_slots(docs, n_slots), n_slots), "slot-bytes"), n_shards, versions)
+
+
+def _next(spark: SparkSession, slots: DataFrame, n_shards: int, versions: DataFrame | None) -> DataFrame:
     if versions is None or not versions.limit(1).count():
         return staged(spark, first_map(slots, n_shards), "slot-map")
     return staged(spark, versions.unionByName(rebalanced_map(versions, slots, n_shards)), "slot-map")
@@ -100,13 +103,13 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 16, n_
     by little more than the smallest slot, unless one slot alone exceeds a share. Repeated rows and rows without an id each
     get a place of their own; ties in doc_id within a slot are broken by size and crc32 (equal rows in any order). A text of
     any length is one row; only its size and checksum travel. An empty table gives an empty result.
-    Only ids, sizes and checksums are shuffled. The map is stored in the shared folder and joined by broadcast: it has
+    The documents are read once; only their ids, sizes and checksums are stored and shuffled. The map is stored in the shared folder and joined by broadcast: it has
     ``n_slots`` rows a version whatever the input.
     """
-    rows = with_slots(docs, n_slots)
-    versions = next_map(spark, docs, n_shards, n_slots) if versions is None else versions
+    rows = staged(spark, with_slots(docs, n_slots), "slot-rows")
+    counts = staged(spark, slot_bytes(rows, n_slots), "slot-bytes")
+    versions = _next(spark, counts, n_shards, None) if versions is None else versions
     now = versions.groupBy().agg(F.max("version")).first()[0]
-    counts = staged(spark, slot_bytes(rows, n_slots), "slot-rows")
     placed = versions.filter(F.col("version") == now).join(counts, "virtual_slot")
     before = F.sum("rows").over(W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1))
     placed = placed.select("virtual_slot", "shard", "version", F.coalesce(before, F.lit(0)).alias("_first"))

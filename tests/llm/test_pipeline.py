@@ -15,7 +15,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return c
 
@@ -26,9 +26,9 @@ def test_sql(spark, duck, name):
     rel = duck.sql(queries.SQL[name])
     order = sorted(df.columns)
     assert order == sorted(rel.columns)
-    got = sorted(tuple(r[c] for c in order) for r in df.collect())
+    got = sorted((tuple(r[c] for c in order) for r in df.collect()), key=repr)
     at = [rel.columns.index(c) for c in order]
-    assert got == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+    assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
 
 
 def similar(a, b):
