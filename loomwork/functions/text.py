@@ -177,11 +177,16 @@ def stable_key(seed: int, namespace: str, source: Column | str = "source", norma
     return sha_key(F.lit(namespace), F.lit(str(seed)), source, normalized)
 
 
+#: Escapes that a teacher writes out, and what they stand for; the last is none before a lower-case letter, where a LaTeX command begins.
+WRITTEN_OUT = ((r"\\r\\n", "\n"), (r"\\n\\n", "\n\n"), (r"\\n(?=[^a-z])", "\n"))
+
+
 def teacher_text(c: Column | str) -> Column:
-    """Literal ``\\r\\n``, ``\\n\\n`` and ``\\n`` as newlines, the last only where no lower-case letter follows."""
-    text = F.replace(_col(c), F.lit("\\r\\n"), F.lit("\n"))
-    text = F.replace(text, F.lit("\\n\\n"), F.lit("\n\n"))
-    return F.regexp_replace(text, r"\\n(?=[^a-z])", "\n")
+    """The text with escapes that were written out resolved."""
+    text = _col(c)
+    for pattern, plain in WRITTEN_OUT:
+        text = F.regexp_replace(text, pattern, plain)
+    return text
 
 
 def compact(c: Column | str, max_chars: int = 12_000) -> Column:

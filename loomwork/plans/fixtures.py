@@ -47,7 +47,7 @@ VIEWS = {
   FROM (SELECT seq, answer, model, prediction FROM predictions) AS p
   JOIN (SELECT 0 AS r, 'm0' AS model UNION ALL SELECT 1 AS r, 'm1' AS model UNION ALL SELECT 2 AS r, 'm2' AS model) AS r ON p.model = r.model""",
     "firefly": """
-  SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN 'Cot' ELSE source END AS kind, substring(text, 1, 120) AS input,
+  SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN 'Cot' ELSE source END AS kind, text AS input,
     text || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '答案是： ' || CAST(doc_id % 97 AS STRING) || '。' || chr(10) || 'end' ELSE '' END ||
       CASE WHEN doc_id % 6 = 0 THEN ' 3 + 4' ELSE '' END AS target, source
   FROM {documents}""",

@@ -125,10 +125,20 @@ def failure_share_queue(spark, sf_dir):
     return sel.failure_share(_failures(spark, sf_dir), "kind", "source", ORDER, "seq", 30, 0.4, ties=["seq", "source"])
 
 
-@query("exclude_evaluated", f"WITH {ctes('sft_records')} SELECT seq FROM sft_records WHERE (instruction, answer) NOT IN (SELECT instruction, answer FROM sft_records WHERE k % 5 = 0)")
+@query("exclude_evaluated", "SELECT doc_id FROM documents WHERE (text, source) NOT IN (SELECT text, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
 def exclude_evaluated(spark, sf_dir):
-    rows = view(spark, sf_dir, "sft_records").withColumn("pair", F.struct("instruction", "answer"))
-    return joins.exact_overlap(rows, rows.filter("k % 5 = 0"), "pair", anti=True).select("seq")
+    """Documents whose text and source are no toxic one's, by digest."""
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id").distinct()
+    rows = _docs(spark, sf_dir).select("doc_id", F.struct(F.sha2("text", 256).alias("text"), "source").alias("pair"))
+    return joins.exact_overlap(rows, rows.join(toxic, "doc_id", "left_semi"), "pair", anti=True).select("doc_id")
+
+
+@query("question_join", rf"WITH {ctes('sft_records', 'intermediates')}, r AS (SELECT regexp_replace({d.strip('instruction')}, '\s+', ' ', 'g') AS q, arg_max(answer, seq) AS last_answer FROM intermediates GROUP BY 1) SELECT s.seq, r.last_answer FROM sft_records s JOIN r ON regexp_replace({d.strip('s.instruction')}, '\s+', ' ', 'g') = r.q")
+def question_join(spark, sf_dir):
+    """Records with the answer of the last intermediate of their question."""
+    key = F.regexp_replace(X.strip("instruction"), r"(?U)\s+", " ")
+    right = joins.last_by_key(view(spark, sf_dir, "intermediates"), key, "seq").select("join_key", F.col("answer").alias("last_answer"))
+    return view(spark, sf_dir, "sft_records").withColumn("join_key", key).join(right, "join_key").select("seq", "last_answer")
 
 
 @query("random_prompts", f"WITH {ctes('sft_records')} SELECT seq FROM sft_records ORDER BY sha256('step3' || chr(10) || seq::VARCHAR) LIMIT 8")
