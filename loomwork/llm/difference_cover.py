@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomwork.llm.common import doc_key, new_path, staged
+from loomwork.llm.common import new_path, staged
 
 #: Stands for what is behind the end; less than any symbol.
 END = -(1 << 62)
@@ -84,19 +84,20 @@ def _few(spark: SparkSession, text: DataFrame) -> DataFrame:
     return spark.createDataFrame([(i, r) for r, i in enumerate(order)], "i long, r long")
 
 
-def symbols(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """((i, c) of all texts one after the other, (d, first, size, text) of each, their length together): each text's bytes and an end of its own."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = staged(spark, docs.select(doc_key().alias("k"), text.alias("text"), F.octet_length(text).cast("long").alias("size")), "texts")
+def symbols(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """((i, c) of all ``texts`` (k long, text binary) one after the other, (k, d, first, text) of each, their length together): each text's bytes and an end of its own.
+
+    Texts are numbered by k, equal ones in any order; nulls are empty.
+    """
+    rows = staged(spark, texts.select("k", F.coalesce("text", F.lit(b"")).alias("text")).withColumn("size", F.octet_length("text").cast("long")), "texts")
     total = rows.agg(F.count("*").alias("n"), F.sum(F.col("size") + 1).alias("s")).first()
     if not total.n:
-        return spark.createDataFrame([], "i long, c long"), rows.limit(0), 0
-    found = numbered(spark, rows.select("k", "size", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"), "text"), ["k", "h", "u"], total.n)
+        return spark.createDataFrame([], "i long, c long"), rows.select("k", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("first"), "text"), 0
+    sizes = staged(spark, numbered(spark, rows, ["k"], total.n), "numbered")
     block = F.expr("_at div 4096")
-    sizes = staged(spark, found.select("_at", "size", "text"), "numbered")
     before = sizes.groupBy(block.alias("_b")).agg(F.sum(F.col("size") + 1).alias("_s")).select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_base"))
     own = F.sum(F.col("size") + 1).over(W.partitionBy("_b").orderBy("_at")) - F.col("size") - 1
-    placed = staged(spark, sizes.withColumn("_b", block).withColumn("_own", own).join(before, "_b").select(F.col("_at").alias("d"), (F.col("_base") + F.col("_own")).alias("first"), "size", "text"), "placed")
+    placed = staged(spark, sizes.withColumn("_b", block).withColumn("_own", own).join(before, "_b").select("k", F.col("_at").alias("d"), (F.col("_base") + F.col("_own")).alias("first"), "text"), "placed")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -109,26 +110,26 @@ def symbols(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame,
     return placed.select("d", "first", "text").mapInArrow(cut, "i long, c long"), placed, int(total.s)
 
 
-def repeated_positions(spark: SparkSession, docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """((i), placed): positions whose ``length`` bytes start somewhere else, too, in no other text's bytes; and where each text begins.
+def repeated_offsets(spark: SparkSession, texts: DataFrame, length: int) -> DataFrame:
+    """(k, offset): where in ``texts`` (k long, text binary) ``length`` bytes start that start somewhere else, too; no match crosses texts.
 
-    Adjacent suffixes are compared by a 64-bit hash of their first ``length`` bytes. Positions are those of :func:`symbols`.
+    Adjacent suffixes are compared by a 64-bit hash of their first ``length`` bytes.
     """
     from loomwork.llm.textkit import spans_hash
 
-    text, placed, n = symbols(spark, docs)
+    text, placed, n = symbols(spark, texts)
     ranks = suffix_ranks(spark, staged(spark, text, "symbols"), n)
 
     def heads(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            for first, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, first, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 buf = np.frombuffer(data.as_py(), np.uint8)
                 at = np.arange(max(0, len(buf) - length + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(spans_hash(buf, at, at + length).view(np.int64))], names=["i", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int64)), pa.array(at), pa.array(first + at), pa.array(spans_hash(buf, at, at + length).view(np.int64))], names=["k", "offset", "i", "h"])
 
-    rows = staged(spark, placed.select("first", "text").mapInArrow(heads, "i long, h long").join(ranks, "i"), "heads")
-    following = rows.select((F.col("r") - 1).alias("r"), F.col("h").alias("h2"), F.col("i").alias("i2"))
+    rows = staged(spark, placed.select("k", "first", "text").mapInArrow(heads, "k long, offset long, i long, h long").join(ranks, "i").drop("i"), "heads")
+    following = rows.select((F.col("r") - 1).alias("r"), F.col("h").alias("h2"), F.struct("k", "offset").alias("two"))
     pairs = rows.join(following, "r").filter("h = h2")
-    return pairs.select(F.explode(F.array("i", "i2")).alias("i")).distinct(), placed
+    return pairs.select(F.explode(F.array(F.struct("k", "offset"), "two")).alias("x")).select("x.*").distinct()

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.common import doc_key, skew_safe_lookup, staged
+from loomwork.llm.difference_cover import repeated_offsets
 from loomwork.llm.textkit import as_bytes, mix, release_memory, spans_hash, text_slices
 
 WINDOW = 400
@@ -155,26 +156,45 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], ends[np.r_[first[1:], len(starts)] - 1] if len(first) else ends
 
 
-def _bitmap(spark: SparkSession, keys: DataFrame) -> bytes:
-    """Bitmap of the top bits of a column of hashes, compressed; of a fixed size, so full ones tell less but nothing is lost."""
+def _bitmap(keys: DataFrame) -> bytes:
+    """Bitmap of the top bits of a column of hashes, compressed; of a fixed size, so full ones tell less but nothing is lost.
 
-    def one(rows: Iterator) -> Iterator:
-        top = [(r[0] & (1 << 64) - 1) >> 64 - ANCHOR_BITS for r in rows]
-        if top:
-            bits = np.zeros(1 << ANCHOR_BITS, bool)
-            bits[np.array(top)] = True
-            yield zlib.compress(np.packbits(bits).tobytes(), 1)
+    A task makes one, sixteen groups of them are put together by workers, and those come to the driver.
+    """
+
+    def one(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        bits = np.zeros(1 << ANCHOR_BITS, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - ANCHOR_BITS)] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])], names=["g", "bits"])
 
-    def both(a: bytes, b: bytes) -> bytes:
-        x, y = (np.frombuffer(zlib.decompress(c), np.uint8) for c in (a, b))
-        return zlib.compress((x | y).tobytes(), 1)
+    def both(blobs: list[bytes]) -> bytes:
+        out = np.zeros(1 << ANCHOR_BITS - 3, np.uint8)
+        for x in blobs:
+            out |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return zlib.compress(out.tobytes(), 1)
 
-    none = zlib.compress(bytes(1 << ANCHOR_BITS - 3), 1)
-    return keys.rdd.mapPartitions(one).treeAggregate(none, both, both, 2)
+    def group(table):
+        import pyarrow as pa
+
+        return pa.table({"g": table.column("g")[:1], "bits": pa.array([both(table.column("bits").to_pylist())], pa.binary())})
+
+    made = keys.mapInArrow(one, "g int, bits binary").groupBy("g").applyInArrow(group, "g int, bits binary")
+    return both([r.bits for r in made.select("bits").collect()])
 
 
-def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(_k, _th, start, end): byte spans of repeated windows of each text, by document key and hash of the text; they may overlap."""
+def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS, max_bytes: int = MAX_BYTES, distributed: bool = False) -> DataFrame:
+    """(_k, _th, start, end): byte spans of repeated windows of each text, by document key and hash of the text; they may overlap.
+
+    ``distributed``: the suffixes of all different contexts of repeated anchors are ranked together, by
+    :func:`loomwork.llm.difference_cover.suffix_ranks`, instead of an anchor's in one worker.
+    """
+    if distributed:
+        max_contexts = max_bytes = 1 << 62
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), text.alias("text"))
     gram = min(GRAM, window)
@@ -204,7 +224,7 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
     # one unit stands for all with its context: that of one text
     wanted = skew_safe_lookup(contexts, mixed.filter(~many_contexts), ["anchor"], ["_yes"], "_n", ["context"]).filter("_yes = 1")
     wanted = wanted.select(F.col("_row").bitwiseXOR(F.col("context")).alias("key"))
-    bits = spark.sparkContext.broadcast((_bitmap(spark, wanted), _bitmap(spark, mixed.filter(many_contexts).select("anchor"))))
+    bits = spark.sparkContext.broadcast((_bitmap(wanted), _bitmap(mixed.filter(many_contexts).select("anchor"))))
     rows = rows.select("_k", "_th", "text", row.alias("_row"))
 
     def fetch(batches: Iterator) -> Iterator:
@@ -240,6 +260,11 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
         release_memory()
 
     fetched = rows.mapInArrow(fetch, "_k long, _th long, start long, windows long, key long, data binary")
+    if distributed:
+        texts = staged(spark, fetched.withColumn("c", F.xxhash64("key", "data")).dropDuplicates(["c"]), "different-contexts")
+        hits = repeated_offsets(spark, texts.select(F.col("c").alias("k"), F.col("data").alias("text")), window)
+        at = F.col("start") + F.col("offset")
+        return whole.unionByName(texts.select(F.col("c").alias("k"), "_k", "_th", "start").join(hits, "k").select("_k", "_th", at.alias("start"), (at + window).alias("end")))
     has_large = mixed.filter(many_contexts).limit(1).count() > 0
     if has_large:
         fetched = staged(spark, fetched, "fetched")
@@ -295,15 +320,15 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
     return out
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS, distributed: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of each row: spans are the maximal runs removed, kept the bytes left (binary).
 
     A byte goes if a string of ``window`` bytes that covers it starts at another place too, in any document, the same
     included; all of them go. Texts are UTF-8 bytes, a null text is empty; matches never cross documents. Texts shorter than
     the window stay whole. Repeated rows repeat each other's strings and all come back. An empty table gives no rows. Other
-    columns play no part.
+    columns play no part. ``distributed``: see :func:`find_spans`; the results are the same.
     """
-    spans = find_spans(spark, docs, window, max_contexts).groupBy("_k", "_th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = find_spans(spark, docs, window, max_contexts, distributed=distributed).groupBy("_k", "_th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", doc_key().alias("_k"), F.xxhash64(text).alias("_th"), text.alias("text")).join(spans, ["_k", "_th"], "left")
     kind = docs.schema["doc_id"].dataType
