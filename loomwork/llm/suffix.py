@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from loomwork.llm.common import doc_key, skew_safe_lookup, staged
 from loomwork.llm.difference_cover import repeated_offsets
@@ -187,6 +188,14 @@ def _bitmap(keys: DataFrame) -> bytes:
     return both([r.bits for r in made.select("bits").collect()])
 
 
+def runs(spans: DataFrame) -> DataFrame:
+    """``spans`` (_k, _th, start, end) of one length each, those of a text that touch put together."""
+    order = W.partitionBy("_k", "_th").orderBy("start")
+    new = F.when(F.col("start") > F.lag("end").over(order), 1).otherwise(0)
+    counted = spans.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return counted.groupBy("_k", "_th", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
 def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_contexts: int = MAX_CONTEXTS, max_bytes: int = MAX_BYTES, distributed: bool = False) -> DataFrame:
     """(_k, _th, start, end): byte spans of repeated windows of each text, by document key and hash of the text; they may overlap.
 
@@ -264,7 +273,7 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
         texts = staged(spark, fetched.withColumn("c", F.xxhash64("key", "data")).dropDuplicates(["c"]), "different-contexts")
         hits = repeated_offsets(spark, texts.select(F.col("c").alias("k"), F.col("data").alias("text")), window)
         at = F.col("start") + F.col("offset")
-        return whole.unionByName(texts.select(F.col("c").alias("k"), "_k", "_th", "start").join(hits, "k").select("_k", "_th", at.alias("start"), (at + window).alias("end")))
+        return whole.unionByName(runs(texts.select(F.col("c").alias("k"), "_k", "_th", "start").join(hits, "k").select("_k", "_th", at.alias("start"), (at + window).alias("end"))))
     has_large = mixed.filter(many_contexts).limit(1).count() > 0
     if has_large:
         fetched = staged(spark, fetched, "fetched")
@@ -316,7 +325,7 @@ def find_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, max_c
         single = fetched.filter("data IS NULL").select("_k", "_th", "start", "key")
         twice = staged(spark, single.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_yes", F.lit(1)), "twice")
         found = skew_safe_lookup(single, twice, ["key"], ["_yes"], "_n", ["_k", "_th", "start"]).filter("_yes = 1")
-        out = out.unionByName(found.select("_k", "_th", "start", (F.col("start") + window).alias("end")))
+        out = out.unionByName(runs(found.select("_k", "_th", "start", (F.col("start") + window).alias("end"))))
     return out
 
 
