@@ -217,9 +217,10 @@ def ppo_objective(spark, sf_dir):
     return _advantages(spark, sf_dir).select("prompt_id", "replica", S.ppo_loss(*lp, F.col("advantage")).alias("loss"))
 
 
-@query("reward_means", ROLLED + " SELECT replica::BIGINT AS step, round(avg(reward)::DOUBLE, 6) AS mean_reward, count(*) AS n FROM g GROUP BY 1")
+@query("reward_means", ROLLED + " SELECT prompt_id // 8000 AS step, round(avg(reward)::DOUBLE, 6) AS mean_reward, count(*) AS n FROM g GROUP BY 1")
 def reward_means(spark, sf_dir):
-    return _advantages(spark, sf_dir).groupBy(F.col("replica").alias("step")).agg(F.avg("reward").alias("mean_reward"), F.count("*").alias("n"))
+    """Mean reward of each step; a step takes the prompts of eight conversations."""
+    return _advantages(spark, sf_dir).groupBy(F.expr("prompt_id div 8000").alias("step")).agg(F.avg("reward").alias("mean_reward"), F.count("*").alias("n"))
 
 
 GENERATED = "CASE WHEN contains(prediction, '<think>') THEN substr(prediction, instr(prediction, '<think>')) ELSE prediction END"

@@ -117,6 +117,12 @@ def first_claim_validation(spark, sf_dir):
     return _claims(spark, sf_dir).select("seq", "reasons")
 
 
+@query("clean_pool", CLAIMS + " SELECT seq, key AS question FROM c WHERE len(reasons) = 0 AND NOT coalesce(seq > claim, false)")
+def clean_pool(spark, sf_dir):
+    """Rows that no rule and no earlier row with their question keeps out."""
+    return _claims(spark, sf_dir).filter(F.size("reasons") == 0).select("seq", X.normalize_question("instruction").alias("question"))
+
+
 @query("validation_counts", CLAIMS + ", u AS (SELECT unnest(CASE WHEN seq > claim THEN list_append(reasons, 'internal_duplicate') ELSE reasons END) AS reason FROM c) SELECT reason, count(*) AS n FROM u GROUP BY 1")
 def validation_counts(spark, sf_dir):
     return stats.counts(_claims(spark, sf_dir).select(F.explode("reasons").alias("reason")), "reason")
