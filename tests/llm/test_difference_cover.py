@@ -8,7 +8,7 @@ import pytest
 from loomwork.llm import difference_cover as dc
 
 
-@pytest.mark.parametrize("text", ["", "a", "ba", "banana", "mississippi", "aaaaaaaaaaaaaaaaa", "abcabcabcabcabcab", "random"])
+@pytest.mark.parametrize("text", ["", "ba", "mississippi", "aaaaaaaaaaaaaaaaa", "random"])
 def test_ranks(spark, text):
     rnd = random.Random(2)
     s = [rnd.randrange(3) for _ in range(400)] if text == "random" else [ord(c) for c in text]

@@ -69,7 +69,7 @@ def rows():
     return [*enumerate(texts), (7, texts[3]), (900, None), (901, "never seen words"), (None, texts[5])]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("order", [2, 3])
 def test_scores(spark, rows, order):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     tables = katz_tables.fit_tables(spark, docs, order)
