@@ -52,3 +52,9 @@ def spread(df: DataFrame) -> DataFrame:
 def small_table(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has so few rows, by count; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what this application has stored in the shared folder; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/loomwork-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -106,6 +106,18 @@ def test_order_of_files_is_the_order_of_keys(spark, tmp_path):
     assert ordered.write_ordered(df.limit(0), str(tmp_path / "q"), F.lit(1)).count() == 0 and ordered.read_ordered(spark, str(tmp_path / "q")).count() == 0
 
 
+def test_stored_tables_go_on_request(spark):
+    from loomwork.operators import store
+
+    small, held = store.held(spark.range(5))
+    large, kept = store.held(spark.range(5), 2)
+    assert held and not kept and small.count() == large.count() == 5
+    folder = f"{store.LOCAL_DIR}/loomwork-{spark.sparkContext.applicationId}"
+    assert os.listdir(folder)
+    store.drop_stored(spark)
+    assert not os.path.exists(folder)
+
+
 def test_a_line_that_is_appended_later_is_seen(spark, tmp_path):
     log = tmp_path / "train.log"
     calls = []
