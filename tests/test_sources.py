@@ -112,10 +112,10 @@ def test_stored_tables_go_on_request(spark):
     small, held = store.held(spark.range(5))
     large, kept = store.held(spark.range(5), 2)
     assert held and not kept and small.count() == large.count() == 5
-    folder = f"{store.LOCAL_DIR}/loomwork-{spark.sparkContext.applicationId}"
-    assert os.listdir(folder)
+    folder = f"{store.shared_folder(spark)}/loomwork-{spark.sparkContext.applicationId}"
+    assert io.exists(spark, folder)
     store.drop_stored(spark)
-    assert not os.path.exists(folder)
+    assert not io.exists(spark, folder)
 
 
 def test_a_line_that_is_appended_later_is_seen(spark, tmp_path):
