@@ -19,7 +19,7 @@ from loomwork.operators.joins import small_enough
 from loomwork.operators.store import stored
 
 #: A gram with more texts than this is crowded: there, texts are first compared with one of them only.
-CROWD = 8
+CROWD = 32
 #: Rounds of such comparisons before those that are left are made.
 STARS = 2
 
@@ -69,11 +69,15 @@ def _counted(met: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(at, al, bt, bl, jaccard) of those pairs whose sets reach the threshold."""
+    """(at, al, bt, bl, jaccard) of those pairs whose sets reach the threshold. Only sets that are in a pair are shuffled, if those are few."""
+    pairs = stored(pairs.select("at", "al", "bt", "bl"))
+    ids = pairs.select(F.explode(F.array("at", "bt")).alias("t")).distinct()
+    if small_enough(ids):
+        sets = sets.join(F.broadcast(ids), "t", "left_semi")
     a = sets.select(F.col("t").alias("at"), F.col("g").alias("ag"))
     b = sets.select(F.col("t").alias("bt"), F.col("g").alias("bg"))
     common = F.size(F.array_intersect("ag", "bg"))
-    found = pairs.select("at", "al", "bt", "bl").join(a, "at").join(b, "bt").withColumn("jaccard", common / (F.size("ag") + F.size("bg") - common))
+    found = pairs.join(a, "at").join(b, "bt").withColumn("jaccard", common / (F.size("ag") + F.size("bg") - common))
     return found.filter(F.col("jaccard") >= threshold).select("at", "al", "bt", "bl", "jaccard")
 
 
@@ -130,7 +134,7 @@ def near_groups(df: DataFrame, id_col: str, text: str, threshold: float = 0.85,
             crowded = labelled.filter(F.col("df") > CROWD)
             hubs = crowded.groupBy("g").agg(F.min_by(F.struct("t", "l", "m", "p", "c"), F.xxhash64("t", F.lit(k))).alias("h")).select("g", *(F.col(f"h.{c}").alias(f"b{c}") for c in ("t", "l", "m", "p", "c")))
             met = _side(crowded, "a", "c").join(hubs, "g").filter("ac <> bc")
-            pairs = _counted(met.filter(_fits(threshold, ratio, True))).filter("n > 1")
+            pairs = _counted(met.filter(_fits(threshold, ratio, True))).filter("n > 1 AND 5 * n >= least(ap, bp)")  # likely ones; none is lost, the last round has the others
         else:
             cells = stored(labelled)
             many = cells.groupBy("g", "c").agg(F.count("*").alias("_k")).groupBy("g").agg(F.count("*").alias("_groups"), F.max_by("c", F.struct("_k", "c")).alias("_most")).filter("_groups > 1")
