@@ -154,7 +154,9 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     binary = spark.read.format("binaryFile").load(path)
     files = [re.sub(r"^(\w+):///", r"\1:/", f) for f in binary.inputFiles()]  # as paths are written in _metadata
     listed = spark.createDataFrame([(f, unquote(f)) for f in files], "_file string, path string")
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+    packed = [unquote(f) for f in files if re.search(PACKED, f)]
+    plain = [unquote(f) for f in files if not re.search(PACKED, f)] if packed else [path]
+    lines = spark.read.option("lineSep", "\n").text(plain or [path]).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
 
     def chunks(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,11 +201,13 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
             state.update(b"\n" * (size - fed))
             yield finished()
 
-    pieces = lines.filter(~F.col("path").rlike(PACKED)).mapInArrow(chunks, "path string, size long, block long, i long, data binary")
+    pieces = lines.mapInArrow(chunks, "path string, size long, block long, i long, data binary")
     hashed = pieces.repartition("path").sortWithinPartitions("path", "block", "i").select("path", "size", "data").mapInArrow(digests, "path string, sha256 string")
-    whole = binary.filter(F.col("path").rlike(PACKED)).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"))
+    if packed:
+        whole = spark.read.format("binaryFile").load(packed).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"))
+        hashed = hashed.unionByName(whole) if plain else whole
     sizes = binary.select(F.col("_metadata.file_path").alias("_file"), F.col("length").alias("bytes"))  # without files that are empty
-    found = hashed.unionByName(whole).withColumnRenamed("path", "_file")
+    found = hashed.withColumnRenamed("path", "_file")
     out = listed.join(sizes, "_file", "left").join(found, "_file", "left")
     return out.select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("sha256", F.when(F.col("bytes").isNull(), F.sha2(F.lit("").cast("binary"), 256))).alias("sha256"))
 
