@@ -85,9 +85,17 @@ def ctes(*names: str) -> str:
     return text
 
 
+#: DuckDB's upper maps characters one to one. Spark's makes several of some, as SS of ß; those stay here, but for the ones
+#: that have a capital of their own.
+CAPITALS = {"ß": "ẞ"} | {c: c.title() for i in range(0x110000) if len((c := chr(i)).upper()) > 1 and len(c.title()) == 1 and c.title() != c}
+UPPER = f"""CASE WHEN length(upper(instruction)) = length(instruction) THEN upper(instruction) ELSE
+    array_join(transform(split(instruction, ''), c -> CASE WHEN length(upper(c)) = 1 THEN upper(c) ELSE translate(c, '{"".join(CAPITALS)}', '{"".join(CAPITALS.values())}') END), '') END"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame."""
     text = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _closure([name])).replace("sha256(source || chr(10) || instruction)", "sha2(source || chr(10) || instruction, 256)")
+    text = text.replace("upper(instruction)", UPPER)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
     return spark.sql(_doubled(text, name), **used)
 

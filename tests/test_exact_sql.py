@@ -1,9 +1,10 @@
-"""Results at the edges of floats, as DuckDB has them."""
+"""Results at the edges of floats and of Unicode, as DuckDB has them."""
 
 import duckdb
 from pyspark.sql import functions as F
 
 from loomwork.functions import scoring as S
+from loomwork.plans import fixtures
 
 
 def test_means_and_deviations_to_the_last_bit(spark):
@@ -19,3 +20,13 @@ def test_means_and_deviations_to_the_last_bit(spark):
             # rows as an unnested list gives them: from the last on
             want = c.execute("SELECT avg(x), stddev_pop(x) FROM (SELECT unnest(list_reverse(?::DOUBLE[])) AS x)", [row]).fetchone()
             assert (r.m, r.s) == want
+
+
+def test_capitals_one_to_one(spark):
+    """Whether a character has one capital, several or none, claims hold what DuckDB's upper makes of it."""
+    odd = [c for i in range(0x110000) if len((c := chr(i)).upper()) > 1]
+    texts = ["Straße", "abc ä \U00010428", "", None, *(f"x{c}y{c}" for c in odd)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, instruction string")
+    got = [r[0] for r in df.orderBy("i").selectExpr(fixtures.UPPER).collect()]
+    c = duckdb.connect()
+    assert got == [c.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts]
