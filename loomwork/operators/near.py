@@ -98,16 +98,20 @@ def near_evaluation(df: DataFrame, evaluation: DataFrame, text: str, threshold:
     return out.withColumn("near_evaluation", F.coalesce(F.col("_near") & F.col(text).isNotNull(), F.lit(False))).select(*df.columns, "near_evaluation")
 
 
+def _all_links(sets: DataFrame, threshold: float, ratio: tuple[float, float]) -> DataFrame:
+    """(at, al, bt, bl, jaccard) of all pairs of different texts with the similarity, lengths in ``ratio`` one way or the other."""
+    entries = prefixes(sets, threshold)
+    met = _side(entries, "a").join(_side(entries, "b"), "g").filter(F.col("at") < F.col("bt")).filter(_fits(threshold, ratio, True))
+    return compared(_counted(met).filter(_enough(threshold)), sets, threshold)
+
+
 def near_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.85, n: int = 5, ratio: tuple[float, float] = (0.75, 1.33)) -> DataFrame:
     """(id_a, id_b, jaccard) of near-duplicate classes, each by the least id of its text; id_a is the lesser.
 
     The length ratio holds for id_a's text over id_b's. Rows of equal text are one class (see :func:`near_groups` for
     membership), so copies are not expanded; all links between different texts are there.
     """
-    sets = gram_sets([df], text, n)
-    entries = prefixes(sets, threshold)
-    met = _side(entries, "a").join(_side(entries, "b"), "g").filter(F.col("at") < F.col("bt")).filter(_fits(threshold, ratio, True))
-    links = compared(_counted(met).filter(_enough(threshold)), sets, threshold)
+    links = _all_links(gram_sets([df], text, n), threshold, ratio)
     first = stored(df.filter(F.col(text).isNotNull()).groupBy(text_key(text).alias("t")).agg(F.min(id_col).alias("id")))
     out = links.join(first.select(F.col("t").alias("at"), F.col("id").alias("_a")), "at").join(first.select(F.col("t").alias("bt"), F.col("id").alias("_b")), "bt")
     long, short = F.when(F.col("_a") < F.col("_b"), F.col("al")).otherwise(F.col("bl")), F.when(F.col("_a") < F.col("_b"), F.col("bl")).otherwise(F.col("al"))
@@ -155,3 +159,17 @@ def near_groups(df: DataFrame, id_col: str, text: str, threshold: float = 0.85,
     rows = df.select(F.col(id_col), F.when(F.col(text).isNotNull(), text_key(text)).alias("_t"))
     out = rows.join(F.broadcast(members) if small_enough(members) else members, "_t", "left")
     return out.select(id_col, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("group_id", id_col).alias("group_id"))
+
+
+def near_links(df: DataFrame, id_col: str, text: str, threshold: float = 0.85, n: int = 5, ratio: tuple[float, float] = (0.75, 1.33)) -> DataFrame:
+    """:func:`near_groups` with n_links, the number of other texts that the row's text links with: all links are worked out for it."""
+    links = stored(_all_links(gram_sets([df], text, n), threshold, ratio).select(F.col("at").alias("a"), F.col("bt").alias("b")))
+    groups = components(links).withColumnRenamed("node", "t")
+    degree = links.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("n_links"))
+    first = df.filter(F.col(text).isNotNull()).groupBy(text_key(text).alias("t")).agg(F.min(id_col).alias("class_id"))
+    first = stored(first.join(groups, "t", "left").join(degree, "t", "left").withColumn("label", F.coalesce("label", "t")))
+    least = first.groupBy("label").agg(F.min("class_id").alias("group_id"))
+    members = stored(first.join(least, "label").select(F.col("t").alias("_t"), "class_id", "group_id", "n_links"))
+    rows = df.select(F.col(id_col), F.when(F.col(text).isNotNull(), text_key(text)).alias("_t"))
+    out = rows.join(F.broadcast(members) if small_enough(members) else members, "_t", "left")
+    return out.select(id_col, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("group_id", id_col).alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

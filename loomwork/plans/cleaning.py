@@ -230,11 +230,11 @@ def _stored_docs(spark, sf_dir):
     return stored(docs.select("doc_id", X.normalize_question("text").alias("t")))
 
 
-@query("decontam_near", f"""WITH RECURSIVE {_near_sql(f"{WAY} OR {BACK}")}, e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), least AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a)
-  SELECT n.doc_id, coalesce(g.doc_id, n.doc_id) AS class_id, coalesce(least.group_id, n.doc_id) AS group_id FROM n LEFT JOIN g ON n.t = g.t LEFT JOIN least ON g.doc_id = least.a""")
+@query("decontam_near", f"""WITH RECURSIVE {_near_sql(f"{WAY} OR {BACK}")}, e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), least AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+  SELECT n.doc_id, coalesce(g.doc_id, n.doc_id) AS class_id, coalesce(least.group_id, n.doc_id) AS group_id, coalesce(degree.n_links, 0) AS n_links FROM n LEFT JOIN g ON n.t = g.t LEFT JOIN least ON g.doc_id = least.a LEFT JOIN degree ON g.doc_id = degree.a""")
 def decontam_near(spark, sf_dir):
-    """Class of equal normal forms and group of near-duplicates of each document."""
-    return near.near_groups(_stored_docs(spark, sf_dir), "doc_id", "t")
+    """Class of equal normal forms, group of near-duplicates and number of links of each document."""
+    return near.near_links(_stored_docs(spark, sf_dir), "doc_id", "t")
 
 
 @query("decontam_near_pairs", f"WITH {_near_sql(WAY)} SELECT a AS doc_id_a, b AS doc_id_b, round(jaccard, 6) AS jaccard FROM links")

@@ -80,6 +80,16 @@ def test_groups_and_pairs(spark, monkeypatch, texts, crowd):
         assert near.near_groups(df.limit(0), "id", "t").count() == 0 and near.near_pairs(df.limit(0), "id", "t").count() == 0
 
 
+def test_every_link_counts(spark, texts):
+    """Each row has its text's links with other texts, beside the class and group that plain comparison gives."""
+    groups, _ = plain_groups(texts)
+    first = {t: c for t, c in ((t, groups[i][0]) for i, t in texts if t is not None)}
+    linked = {t: sum(u != t and (ways(t, u) or ways(u, t)) and jaccard(grams(t), grams(u)) >= 0.85 for u in first) for t in first}
+    got = near.near_links(spark.createDataFrame(texts, "id long, t string").repartition(4), "id", "t").collect()
+    assert {r.id: (r.class_id, r.group_id, r.n_links) for r in got} == {i: (*groups[i], linked.get(t, 0)) for i, t in texts}
+    assert sum(n > 1 for n in linked.values()) > 20
+
+
 def test_evaluation_sets(spark, texts):
     rnd = random.Random(5)
     known = [t for _, t in texts if t][::7] + [None, ""]
