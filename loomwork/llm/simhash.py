@@ -4,6 +4,7 @@ Two settings. Fingerprints of 64 bits and a small distance: blocks by the pigeon
 Wide fingerprints for a similarity of shingle sets: at 0.8 about an eighth of the bits differ, which leaves pigeonhole
 blocks of a few bits; there, fixed random blocks serve, enough of them to meet nearly all such pairs (see wide_plan).
 Wide fingerprints only find candidates: of what they link, the shingle sets themselves are compared (see similar_edges).
+Similar sets that no block brings together are found by an exact way of their own (see further_edges), so no link is lost.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from loomwork.llm.common import components, doc_key, from_doc_key, skew_safe_lookup, staged
+from loomwork.llm.common import components, doc_key, from_doc_key, hash_sample, skew_safe_lookup, staged
 from loomwork.llm.textkit import Words, mix, release_memory, slices, text_slices, whole_windows, windows_hash
 
 #: Pigeonhole: a fingerprint falls into distance + EXTRA blocks; a pair within the distance shares EXTRA of them at least.
@@ -47,6 +49,9 @@ SIMILARITY = 0.8
 WIDE_SURE = 80
 #: Shingles that one comparison of a set with others gathers at once.
 GATHER = 1 << 20
+#: Documents in whose sets common shingles are counted, and how many of those go to the workers. They only order the shingles.
+ORDER_SAMPLE = 4096
+ORDER_SHINGLES = 1 << 16
 #: Levels of keys at most; at the last one keys are compared whole, in blocks if they are large. Only pigeonhole blocks are
 #: split: random ones would lose pairs at each level, so wide keys are always compared whole.
 MAX_LEVELS = 4
@@ -95,32 +100,83 @@ def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
 
 def wide_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     """WIDE_WORDS words for each text, from the set of its shingles. No words: zeros."""
-    out = np.zeros((len(texts), WIDE_WORDS), np.uint64)
+    return wide_of(list(shingle_sets(texts, shingle)))
+
+
+def wide_of(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(sets), WIDE_WORDS), np.uint64)
     salts = mix(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
-    for i, mine in enumerate(shingle_sets(texts, shingle)):
+    for i, mine in enumerate(sets):
         if len(mine):
             out[i] = majority(mix(mine[:, None] ^ salts).astype("<u8").view(np.uint8).reshape(-1, 8 * WIDE_WORDS))
     return out
 
 
+def prefix_size(m: int, similarity: float = SIMILARITY) -> int:
+    """Of two sets that have the similarity, in one order of all shingles, the first so many of each share one."""
+    return m - math.ceil(similarity * m - 1e-9) + 1 if m else 0
+
+
+def prefix(mine: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of an ascending set: rare ones before the ``common`` (ascending), those by their ``times``, then by hash."""
+    if not len(common):
+        return mine[: prefix_size(len(mine))]
+    at = np.minimum(np.searchsorted(common, mine), len(common) - 1)
+    return mine[np.argsort(np.where(common[at] == mine, times[at], 0), kind="stable")[: prefix_size(len(mine))]]
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample (ascending), the most frequent ones, and in how many of its texts they are."""
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for _, _, texts in text_slices(b.column(0)):
+                for mine in shingle_sets(texts, shingle):
+                    yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64))], names=["g"])
+        release_memory()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sample = hash_sample(docs, ["text"], ORDER_SAMPLE).select(text.alias("text"))
+    found = sample.mapInArrow(cut, "g long").groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "g").limit(ORDER_SHINGLES).collect()
+    common = np.array([r.g for r in found], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], np.array([r.n for r in found], np.int64)[order]
+
+
 def fingerprints(docs: DataFrame, shingle: int, wide: bool = False) -> DataFrame:
-    """(_k, _th, doc_id, f0, f1, ...) of each row: its document key, a hash of its text, its fingerprint as signed longs."""
+    """(_k, _th, doc_id, f0, f1, ...) of each row: its document key, a hash of its text, its fingerprint as signed longs.
+
+    Wide ones also have _set, m and pre: a hash of the shingle set, its size and its prefix.
+    """
     width = WIDE_WORDS if wide else 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["_k", "_th", "doc_id", *(f"f{i}" for i in range(width))]
+    names = ["_k", "_th", "doc_id", *(f"f{i}" for i in range(width)), *(["_set", "m", "pre"] if wide else [])]
+    common, times = common_shingles(docs, shingle) if wide else (None, None)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
         for b in batches:
             for x, y, texts in text_slices(b.column(3)):
-                fps = wide_fingerprints(texts, shingle) if wide else np.array([fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 1)
-                yield pa.RecordBatch.from_arrays([*(c.slice(x, y - x) for c in b.columns[:3]), *(pa.array(fps[:, i].copy().view(np.int64)) for i in range(width))], names=names)
+                more = []
+                if wide:
+                    sets = list(shingle_sets(texts, shingle))
+                    fps = wide_of(sets)
+                    first = [prefix(s, common, times).view(np.int64) for s in sets]
+                    edge = np.r_[0, np.cumsum([len(p) for p in first])].astype(np.int32)
+                    ids = np.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                    more = [pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(edge, pa.array(np.concatenate(first)))]
+                else:
+                    fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 1)
+                yield pa.RecordBatch.from_arrays([*(c.slice(x, y - x) for c in b.columns[:3]), *(pa.array(fps[:, i].copy().view(np.int64)) for i in range(width)), *more], names=names)
         release_memory()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), "doc_id", text.alias("text"))
-    return rows.mapInArrow(run, f"_k long, _th long, doc_id {kind}, " + ", ".join(f"f{i} long" for i in range(width)))
+    return rows.mapInArrow(run, f"_k long, _th long, doc_id {kind}, " + ", ".join(f"f{i} long" for i in range(width)) + (", _set long, m int, pre array<long>" if wide else ""))
 
 
 def _as_words(bits: list[int], width: int) -> tuple[int, ...]:
@@ -265,6 +321,35 @@ def similar_edges(spark: SparkSession, docs: DataFrame, held: DataFrame, labels:
     return edges.unionByName(linked_sets(met))
 
 
+def further_edges(spark: SparkSession, docs: DataFrame, held: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): all pairs of sets that have SIMILARITY and are in different labels: what the fingerprints have not brought together.
+
+    Exact: such sets share a shingle of their prefixes (``pre``), and so many that the rest can make up the overlap. Shingles of
+    one label only go first, then pairs with too few in common; of what is left the sets are compared.
+    """
+    once = held.select("id", F.explode("pre").alias("g")).withColumn("_c", F.count("*").over(W.partitionBy("g")))
+    shared = staged(spark, once.filter("_c > 1").select("g", "id"), "shared-shingles")
+    info = held.select("id", "m").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = staged(spark, shared.join(info, "id"), "named-shingles")
+    mixed = named.groupBy("g").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("g")
+    cells = staged(spark, named.join(mixed, "g"), "mixed-shingles")
+    side = lambda x: cells.select("g", F.col("id").alias(x), F.col("label").alias(f"_l{x}"), F.col("m").alias(f"_m{x}"))
+    fits = F.least("_ma", "_mb") >= SIMILARITY * F.greatest("_ma", "_mb") - 1e-9
+    met = side("a").join(side("b"), "g").filter((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits)
+    rest = lambda m: F.ceil(SIMILARITY * F.col(m) - 1e-9) - 1  # noqa: E731  what lies behind the prefix
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("_ma") + F.col("_mb")) - 1e-9)
+    pairs = met.groupBy("a", "b", "_ma", "_mb").agg(F.count("*").alias("_c")).filter(F.col("_c") + F.greatest(rest("_ma"), rest("_mb")) >= need)
+    pairs = staged(spark, pairs.select("a", "b"), "further-pairs")
+    ids = staged(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(held, "id").select(F.col("_first").alias("_k"), F.col("_fth").alias("_th"), "id"), "further-ids")
+    few = ids.limit(100_001).count() <= 100_000
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_key().alias("_k"), F.xxhash64(text).alias("_th"), text.alias("text")).join(F.broadcast(ids) if few else ids, ["_k", "_th"])
+    sets = cut_sets(rows.select(F.lit(0).cast("long").alias("label"), "id", F.lit(b"").alias("words"), "text"), shingle).select("id", "sets")
+    sets = staged(spark, sets.dropDuplicates(["id"]), "further-sets")
+    both = pairs.withColumnsRenamed({"a": "id", "b": "hub"}).join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("sets").alias("theirs")), "hub")
+    return staged(spark, like_hub(both), "further-edges")
+
+
 def cut_sets(rows: DataFrame, shingle: int) -> DataFrame:
     """(label, id, words, sets) of rows (label, id, words, text): the ascending hashes of a text's shingles, as bytes."""
 
@@ -411,15 +496,18 @@ def groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int
     """(_k, _th, doc_id, f0, ..., component) of every row of ``docs``; component is the smallest document key reachable by links, its own included.
 
     Fingerprints that differ in ``distance`` bits at most are linked; wide ones only if the shingle sets have SIMILARITY,
-    too. Equal ones are one node, so copies are never expanded into pairs. A null or empty text, or one without words, has fingerprint 0 and is linked like any other. A null doc_id
+    too, and so are all other sets that have it. Equal ones (wide: equal sets) are one node, so copies are never expanded into pairs. A null or empty text, or one without words, has fingerprint 0 and is linked like any other. A null doc_id
     counts as the largest. Repeated rows all come back. An empty table gives no rows. Other columns play no part.
     """
     width = WIDE_WORDS if wide else 1
     names = [f"f{i}" for i in range(width)]
     fps = staged(spark, fingerprints(docs, shingle, wide), "fingerprints")
-    ident = F.xxhash64(*names) if wide else F.col("f0")
-    held = fps.groupBy(*names).agg(F.min("_k").alias("_first"), F.min(F.struct("_k", "_th"))["_th"].alias("_fth"), F.count("*").alias("_n")).withColumn("id", ident)
+    nodes = ["_set", *names] if wide else names
+    ident = F.col(nodes[0])
+    more = [F.first("m").alias("m"), F.first("pre").alias("pre")] if wide else []
+    held = fps.groupBy(*nodes).agg(F.min("_k").alias("_first"), F.min(F.struct("_k", "_th"))["_th"].alias("_fth"), F.count("*").alias("_n"), *more).withColumn("id", ident)
     held = staged(spark, held, "held")
+    fps = fps.drop("m", "pre")
     none = (0,) * width
     if wide:
         bits, tables = wide_plan(held.count())
@@ -429,10 +517,12 @@ def groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int
     labels = components(spark, edges)
     if wide:
         labels = components(spark, similar_edges(spark, docs, held, labels, shingle))
+        labels = components(spark, labels.toDF("a", "b").unionByName(further_edges(spark, docs, held, labels, shingle)))
+        held = held.drop("m", "pre")
     held = staged(spark, held.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
     least = staged(spark, held.groupBy("label").agg(F.min("_first").alias("component"), F.count("*").alias("_held")), "components")
     held = staged(spark, skew_safe_lookup(held, least, ["label"], ["component"], "_held", ["id"]), "held-components")
-    return skew_safe_lookup(fps, held, names, ["component"], "_n", ["_k", "_th"])
+    return skew_safe_lookup(fps, held, nodes, ["component"], "_n", ["_k", "_th"]).drop("_set")
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:

@@ -72,3 +72,40 @@ def test_similar_forest_joins_what_is_similar():
                 if len(sets[a]) and len(sets[b]) and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8:
                     want = [want[b] if x == want[a] else x for x in want]
         assert [[x == y for y in label] for x in label] == [[x == y for y in want] for x in want]
+
+
+def test_pairs_at_the_threshold_are_all_linked(spark):
+    """Few bits of fingerprints of short texts tell little, and of pairs at 0.8 some share no block: all are linked."""
+    from loomwork.llm.simhash import drop_near_duplicates
+
+    rnd = random.Random(9)
+    out = []
+    for _ in range(700):
+        base = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.randrange(12, 60))]
+        # words at the end: m shingles of which k are others
+        m = len(base) - 4
+        k = max(k for k in range(m) if (m - k) / (m + k) >= 0.8)
+        out += [base, base[: len(base) - k] + [f"n{rnd.randrange(10**9)}" for _ in range(k)]]
+    line = [f"c{i}" for i in range(40)]  # shingles that are in many texts
+    for k in range(60):
+        words = line + [f"u{k}_{j}" for j in range(rnd.randrange(0, 16))]
+        out += [words, [f"w{k}_{j}" for j in range(10)] + line]
+    texts = [" ".join(w) for w in out]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 1, "k", 2) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    places = {}
+    for i, s in enumerate(sets):
+        for j in {j for g in s for j in places.get(g, [])}:
+            if similar(s, sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+        for g in s:
+            places.setdefault(g, []).append(i)
+    assert sorted(r.doc_id for r in drop_near_duplicates(spark, df).collect()) == [i for i in range(len(texts)) if find(i) == i]
