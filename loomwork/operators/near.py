@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomwork.functions.text import ngrams
+from loomwork.operators import similar
 from loomwork.operators.graph import components
 from loomwork.operators.joins import small_enough
 from loomwork.operators.store import stored
@@ -86,11 +87,9 @@ def near_evaluation(df: DataFrame, evaluation: DataFrame, text: str, threshold:
 
     ``text`` is a normal form in both. An equal text counts, an empty one too; a null one is near nothing.
     """
-    sets = gram_sets([df, evaluation], text, n)
-    entries = prefixes(sets, threshold)
-    met = _side(entries.filter("s0"), "a").join(_side(entries.filter("s1"), "b"), "g").filter(_fits(threshold, ratio, False))
-    near = compared(_counted(met).filter(_enough(threshold)), sets, threshold).select("at")
-    same = sets.filter("s0 AND s1").select(F.col("t").alias("at"))
+    sides = [f.select(text_key(text).alias("t"), F.lit(side).alias("side"), F.col(text).alias("x")) for f, side in ((df, 1), (evaluation, 2))]
+    near = similar.similar(sides[0].unionByName(sides[1]), threshold, n).filter(F.try_divide("al", F.greatest(F.lit(1), "bl")).between(*ratio)).select("at")
+    same = sides[1].filter("x IS NOT NULL").select(F.col("t").alias("at"))
     found = stored(near.unionByName(same).distinct().withColumnRenamed("at", "_t"))
     rows = df.withColumn("_t", text_key(text))
     found = found.withColumn("_near", F.lit(True))
@@ -98,11 +97,10 @@ def near_evaluation(df: DataFrame, evaluation: DataFrame, text: str, threshold:
     return out.withColumn("near_evaluation", F.coalesce(F.col("_near") & F.col(text).isNotNull(), F.lit(False))).select(*df.columns, "near_evaluation")
 
 
-def _all_links(sets: DataFrame, threshold: float, ratio: tuple[float, float]) -> DataFrame:
+def _all_links(df: DataFrame, text: str, threshold: float, n: int, ratio: tuple[float, float]) -> DataFrame:
     """(at, al, bt, bl, jaccard) of all pairs of different texts with the similarity, lengths in ``ratio`` one way or the other."""
-    entries = prefixes(sets, threshold)
-    met = _side(entries, "a").join(_side(entries, "b"), "g").filter(F.col("at") < F.col("bt")).filter(_fits(threshold, ratio, True))
-    return compared(_counted(met).filter(_enough(threshold)), sets, threshold)
+    way = lambda a, b: F.try_divide(F.col(a), F.greatest(F.lit(1), F.col(b))).between(*ratio)
+    return similar.similar(df.select(text_key(text).alias("t"), F.lit(3).alias("side"), F.col(text).alias("x")), threshold, n).filter(way("al", "bl") | way("bl", "al"))
 
 
 def near_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.85, n: int = 5, ratio: tuple[float, float] = (0.75, 1.33)) -> DataFrame:
@@ -111,7 +109,7 @@ def near_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.85, n
     The length ratio holds for id_a's text over id_b's. Rows of equal text are one class (see :func:`near_groups` for
     membership), so copies are not expanded; all links between different texts are there.
     """
-    links = _all_links(gram_sets([df], text, n), threshold, ratio)
+    links = _all_links(df, text, threshold, n, ratio)
     first = stored(df.filter(F.col(text).isNotNull()).groupBy(text_key(text).alias("t")).agg(F.min(id_col).alias("id")))
     out = links.join(first.select(F.col("t").alias("at"), F.col("id").alias("_a")), "at").join(first.select(F.col("t").alias("bt"), F.col("id").alias("_b")), "bt")
     long, short = F.when(F.col("_a") < F.col("_b"), F.col("al")).otherwise(F.col("bl")), F.when(F.col("_a") < F.col("_b"), F.col("bl")).otherwise(F.col("al"))
@@ -163,7 +161,7 @@ def near_groups(df: DataFrame, id_col: str, text: str, threshold: float = 0.85,
 
 def near_links(df: DataFrame, id_col: str, text: str, threshold: float = 0.85, n: int = 5, ratio: tuple[float, float] = (0.75, 1.33)) -> DataFrame:
     """:func:`near_groups` with n_links, the number of other texts that the row's text links with: all links are worked out for it."""
-    links = stored(_all_links(gram_sets([df], text, n), threshold, ratio).select(F.col("at").alias("a"), F.col("bt").alias("b")))
+    links = stored(_all_links(df, text, threshold, n, ratio).select(F.col("at").alias("a"), F.col("bt").alias("b")))
     groups = components(links).withColumnRenamed("node", "t")
     degree = links.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("n_links"))
     first = df.filter(F.col(text).isNotNull()).groupBy(text_key(text).alias("t")).agg(F.min(id_col).alias("class_id"))

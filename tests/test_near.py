@@ -165,3 +165,22 @@ def test_normal_form_is_worked_out_once(spark):
     twice = out.filter("n IS NOT NULL AND n <> 'x'").select("i", F.sha2("n", 256).alias("a"), F.length("n").alias("b")).filter("a IS NOT NULL")
     plan = twice._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("groups", [1, 40])
+def test_texts_meet_by_parts_not_by_single_grams(spark, monkeypatch, groups):
+    """Links are those of plain comparison at sizes of many classes; texts of the same words meet in few pairs, though each gram is in most of them."""
+    monkeypatch.setattr(near.similar, "GROUPS", groups)
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9))) for _ in range(400)]
+    out = ["".join(rnd.choice(words) for _ in range(rnd.choice((4, 30, 200, 220)))) for _ in range(240)]
+    out += [edited(rnd, t, rnd.choice((1, len(t) // 80, len(t) // 65, len(t) // 60, len(t) // 50))) + "z" * rnd.randrange(3) for t in out[::2]]
+    rows = list(enumerate(out))
+    sets = [grams(t) for t in out]
+    want = {(i, j): jaccard(a, b) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if out[i] != out[j] and min(len(a), len(b)) >= 0.85 * max(len(a), len(b))}
+    want = {k: v for k, v in want.items() if v >= 0.85}
+    compared, plain = [], near.similar.stored
+    monkeypatch.setattr(near.similar, "stored", lambda df: compared.append(plain(df)) or compared[-1])
+    got = {(r.id_a, r.id_b): r.jaccard for r in near.near_pairs(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", ratio=(0.5, 2.0)).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and len(want) > 60 and min(want.values()) < 0.87
+    assert compared[0].count() < 3 * len(want)
