@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
 from loomwork.functions import tokens as K
-from loomwork.operators import gates, joins, near, stats
+from loomwork.operators import gates, joins, near, similar, stats
 from loomwork.operators import select as sel
 from loomwork.operators.store import spread, stored
 from loomwork.plans import dialect as d
@@ -245,9 +245,15 @@ def decontam_near_pairs(spark, sf_dir):
 
 def _evaluation_texts(spark, sf_dir):
     """Evaluation texts near documents: items of the benchmark, and toxic documents without their last character."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(_toxic(spark, sf_dir), "doc_id", "left_semi").select(F.expr("left(text, length(text) - 1)").alias("text"))
+    docs = _toxic_docs(spark, sf_dir).select(F.expr("left(text, length(text) - 1)").alias("text"))
     texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").unionByName(docs)
-    return texts.select(X.normalize_question("text").alias("t"))
+    return stored(texts.select(X.normalize_question("text").alias("t")))
+
+
+def _toxic_docs(spark, sf_dir):
+    """Documents labelled toxic: their ids go to the texts, no text is shuffled for them."""
+    toxic = _toxic(spark, sf_dir)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").join(F.broadcast(toxic) if joins.small_enough(toxic, similar.KEYS) else toxic, "doc_id", "left_semi")
 
 
 GRAMS = "CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i::BIGINT, 5))) END"

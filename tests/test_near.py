@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as X
 from loomwork.operators import graph, joins, near
+from loomwork.plans import cleaning
 
 
 def grams(t, n=5):
@@ -184,3 +185,12 @@ def test_texts_meet_by_parts_not_by_single_grams(spark, monkeypatch, groups):
     got = {(r.id_a, r.id_b): r.jaccard for r in near.near_pairs(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", ratio=(0.5, 2.0)).collect()}
     assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and len(want) > 60 and min(want.values()) < 0.87
     assert compared[0].count() < 3 * len(want)
+
+
+def test_evaluation_shuffles_no_text_for_labels(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cleaning._toxic_docs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
